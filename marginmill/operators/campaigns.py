@@ -7,24 +7,27 @@ from ..fixed_values import CAMPAIGN_IDS
 from ..functions.columns import draw_choice, ratio_pct
 from .joins import distinct_orders, with_campaign, with_campaign_id
 from .relational import ranked, with_keys
-from .totals import attach_costs, item_totals, profit, revenue, roi_pct, roll_up
+from .totals import key_totals, product_totals, profit, revenue, roi_pct
 
 
-def campaign_product_totals(items: DataFrame, mapping: DataFrame, costs: DataFrame) -> DataFrame:
-    """Totals by campaign and product through the stored order-to-campaign mapping."""
-    joined = with_keys(with_campaign_id(items, mapping), "campaign_id")
-    return attach_costs(item_totals(joined, "product_id", "campaign_id"), costs, "campaign_id")
+def mapped(sales: DataFrame, mapping: DataFrame) -> DataFrame:
+    return with_keys(with_campaign_id(sales, mapping), "campaign_id")
 
 
-def drawn_campaign_product_totals(items: DataFrame, costs: DataFrame, campaign_ids=CAMPAIGN_IDS) -> DataFrame:
-    """The same for a drawn mapping, which is a function of order_id: no join, so the fact is not shuffled at all.
-    Equal to the join where every item's order exists."""
-    drawn = items.withColumn("campaign_id", draw_choice(F.col("order_id"), campaign_ids))
-    return attach_costs(item_totals(drawn, "product_id", "campaign_id"), costs, "campaign_id")
+def campaign_product_totals(sales: DataFrame, mapping: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """Totals by campaign and product through the order-to-campaign mapping."""
+    return product_totals(mapped(sales, mapping), costs, ["campaign_id"])
+
 
+def campaign_totals(sales: DataFrame, mapping: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    return key_totals(mapped(sales, mapping), costs, ["campaign_id"])
 
-def campaign_totals(by_product: DataFrame) -> DataFrame:
-    return roll_up(by_product, "campaign_id")
+
+def drawn_campaign_totals(sales: DataFrame, costs: DataFrame | None = None, campaign_ids=CAMPAIGN_IDS) -> DataFrame:
+    """The same for a drawn mapping, which is a function of order_id: no join, so the fact is not shuffled at all.
+    Equal to the join where every item's order exists."""
+    drawn = sales.withColumn("campaign_id", draw_choice(F.col("order_id"), campaign_ids))
+    return key_totals(with_keys(drawn, "campaign_id"), costs, ["campaign_id"])
 
 
 def campaign_roi(totals: DataFrame, campaigns: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ from .totals import TOTALS, cost, revenue, roll_up
 BASE = ["items", "priced", "costed", "revenue_cents", "cost_cents"]
 
 
-def category_segment_totals(segment_totals: DataFrame, products_tr: DataFrame) -> DataFrame:
+def category_segment_totals(by_product: DataFrame, products_tr: DataFrame) -> DataFrame:
     """Totals by category and segment. A segment without a plain name is still part of its category."""
-    named = with_category(segment_totals, products_tr, "keep").filter(F.col("category") != UNKNOWN)
+    named = with_category(by_product, products_tr, "keep").filter(F.col("category") != UNKNOWN)
     sums = [F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in TOTALS]
     return named.groupBy("category", "customer_segment").agg(*sums, F.sum("margin_sum").alias("margin_sum"))
 

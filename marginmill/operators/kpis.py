@@ -6,16 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cents, money, month_key, month_start, ratio_pct, safe_ratio
 from .relational import ordered, top_k, with_keys
 from .joins import with_orders
-from .totals import (
-    attach_costs,
-    avg_margin_pct,
-    cost,
-    item_totals,
-    margin_pct,
-    profit,
-    revenue,
-    roll_up,
-)
+from .totals import avg_margin_pct, cost, key_totals, margin_pct, profit, revenue, roll_up
 
 
 def total_orders(orders: DataFrame) -> DataFrame:
@@ -40,11 +31,10 @@ def kpi_summary(product_totals: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def executive_kpis(items: DataFrame, orders: DataFrame, costs: DataFrame) -> DataFrame:
+def executive_kpis(sales: DataFrame, orders: DataFrame, costs: DataFrame | None = None) -> DataFrame:
     """As kpi_summary for items whose order exists, with cost and average order value."""
-    known = with_orders(items, orders, cols=())
-    totals = roll_up(attach_costs(item_totals(known, "product_id"), costs))
-    sold = with_orders(items.select("order_id").distinct(), orders, cols=())
+    totals = key_totals(with_orders(sales, orders, cols=()), costs)
+    sold = with_orders(sales.select("order_id").distinct(), orders, cols=())
     return totals.select(
         revenue().alias("total_revenue"),
         profit().alias("total_profit"),
@@ -59,7 +49,9 @@ def top_products(product_totals: DataFrame, k: int = 10) -> DataFrame:
     return top_k(rows, "gross_profit", k, "product_id")
 
 
-def monthly_trend(items: DataFrame, orders: DataFrame, costs: DataFrame, low: str, high: str) -> DataFrame:
+def monthly_trend(
+    sales: DataFrame, orders: DataFrame, low: str, high: str, costs: DataFrame | None = None
+) -> DataFrame:
     """Revenue and profit per month of [low, high], given as 'yyyy-MM'. Only orders of those months are read on."""
     placed = F.col("order_purchase_timestamp")
     first = F.lit(f"{low}-01").cast("date")
@@ -67,8 +59,7 @@ def monthly_trend(items: DataFrame, orders: DataFrame, costs: DataFrame, low: st
     kept = orders.filter((placed >= first.cast("timestamp_ntz")) & (placed < past.cast("timestamp_ntz"))).select(
         "order_id", month_start(placed).alias("month_start")
     )
-    totals = item_totals(items.join(kept, "order_id"), "product_id", "month_start")
-    monthly = roll_up(attach_costs(totals, costs, "month_start"), "month_start")
+    monthly = key_totals(sales.join(kept, "order_id"), costs, ["month_start"])
     return ordered(
         monthly.select(
             month_key(F.col("month_start")).alias("month"),

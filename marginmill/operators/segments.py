@@ -7,7 +7,7 @@ from ..fixed_values import SEGMENT_NAMES
 from ..functions.columns import recode, round_even
 from .joins import distinct_orders, with_category
 from .relational import arg_max, filter_opt, top_k_per_group
-from .totals import attach_costs, avg_margin_pct, item_totals, items_count, profit, revenue, roll_up
+from .totals import avg_margin_pct, items_count, key_totals, product_totals, profit, revenue, roll_up
 
 # Treatment of each plain-language segment.
 TREATMENTS = {
@@ -19,15 +19,20 @@ TREATMENTS = {
 
 
 def segment_product_totals(
-    items: DataFrame, order_segments: DataFrame, costs: DataFrame, how: str = "inner"
+    sales: DataFrame, order_segments: DataFrame, costs: DataFrame | None = None, how: str = "inner"
 ) -> DataFrame:
     """Totals by segment and product: the only fact-sized join of this family."""
-    joined = items.join(order_segments, "order_id", how)
-    return attach_costs(item_totals(joined, "product_id", "customer_segment"), costs, "customer_segment")
+    return product_totals(sales.join(order_segments, "order_id", how), costs, ["customer_segment"])
 
 
-def segment_profitability(segment_totals: DataFrame) -> DataFrame:
-    return roll_up(segment_totals, "customer_segment").select(
+def segment_totals(
+    sales: DataFrame, order_segments: DataFrame, costs: DataFrame | None = None, how: str = "inner"
+) -> DataFrame:
+    return key_totals(sales.join(order_segments, "order_id", how), costs, ["customer_segment"])
+
+
+def segment_profitability(totals: DataFrame) -> DataFrame:
+    return totals.select(
         "customer_segment",
         round_even(revenue()).alias("revenue"),
         round_even(profit()).alias("gross_profit"),
@@ -39,10 +44,10 @@ def best_segment(profitability: DataFrame) -> DataFrame:
     return arg_max(profitability, "customer_segment", "gross_profit")
 
 
-def segment_summary(segment_totals: DataFrame, items: DataFrame, order_segments: DataFrame) -> DataFrame:
+def segment_summary(totals: DataFrame, items: DataFrame, order_segments: DataFrame) -> DataFrame:
     """Revenue, profit, mean margin, distinct orders and average order value per segment."""
     orders = distinct_orders(items, order_segments, "customer_segment")
-    sums = roll_up(segment_totals, "customer_segment").select(
+    sums = totals.select(
         "customer_segment",
         revenue().alias("revenue"),
         profit().alias("profit"),
@@ -59,9 +64,9 @@ def segment_summary(segment_totals: DataFrame, items: DataFrame, order_segments:
 
 
 def segment_top_categories(
-    segment_totals: DataFrame, products_tr: DataFrame, k: int = 5, segment: str | None = None
+    by_product: DataFrame, products_tr: DataFrame, k: int = 5, segment: str | None = None
 ) -> DataFrame:
-    named = with_category(filter_opt(segment_totals, "customer_segment", segment), products_tr, "keep")
+    named = with_category(filter_opt(by_product, "customer_segment", segment), products_tr, "keep")
     rows = roll_up(named, ["customer_segment", "category"]).select(
         "customer_segment",
         "category",

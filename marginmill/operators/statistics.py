@@ -1,9 +1,9 @@
 """Summary statistics with exact quartiles that never bring a column into one task.
 
-A money column is whole cents, so its quantiles can be read off a histogram. The histogram is counted in
-parallel; its values are laid into ranges of RANGE_CENTS cents. One pass over the range counts (as many rows
-as there are price ranges, whatever the number of sales) finds the range a quantile falls into; only that
-range, at most RANGE_CENTS distinct values, is then ordered.
+A money column is whole cents, so its quantiles can be read off a histogram of cents. The histogram is counted in
+parallel and laid into ranges of 65,536 cents. One pass over the range counts (as many rows as there are price
+ranges, whatever the number of sales) finds the ranges the quantiles fall into; only those ranges, at most 65,536
+distinct values each, are then put in order.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -11,74 +11,78 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cents, money
 
-RANGE_CENTS = 65536
+RANGE_BITS = 16
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def _long_format(df: DataFrame, cols) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in cols])
-    return df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
-
-
-def _positions(histogram: DataFrame, quantiles) -> DataFrame:
-    """For each metric and quantile the two ranks (from 0) that surround it, and where between them it lies."""
-    spots = [F.struct(F.lit(n).alias("quantile"), F.lit(float(q)).alias("q")) for n, q in quantiles.items()]
-    spot = F.col("q") * (F.col("n") - 1)
-    low = F.floor(spot)
-    sides = F.array(
-        F.struct(low.alias("rank"), (1.0 - (spot - low)).alias("weight")),
-        F.struct(F.ceil(spot).alias("rank"), (spot - low).alias("weight")),
-    )
-    return (
-        histogram.groupBy("metric")
-        .agg(F.sum("rows").alias("n"))
-        .select("metric", "n", F.inline(F.array(*spots)))
-        .select("metric", "quantile", F.inline(sides))
-    )
-
-
-def _with_span(df: DataFrame, *keys) -> DataFrame:
-    """Ranks covered by each row: after `before` others, up to and including `upto - 1`."""
-    running = Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
-    upto = F.sum("rows").over(running.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("rows"))
-
-
 def _histogram(df: DataFrame, cols) -> DataFrame:
-    values = _long_format(df, cols)
+    """metric, cents, rows, range. The cents are declared never NULL, so that no branch of the plan adds a filter
+    of its own and all branches share the one shuffle that counts the data."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), cents(F.col(c)).alias("cents")) for c in cols])
     return (
-        values.groupBy("metric", cents(F.col("value")).alias("cents"))
+        df.select(F.inline(pairs))
+        .filter(F.col("cents").isNotNull())
+        .groupBy("metric", F.coalesce("cents", F.lit(0)).alias("cents"))
         .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("range", F.floor(F.col("cents") / F.lit(RANGE_CENTS)))
+        .withColumn("range", F.shiftright("cents", RANGE_BITS))
     )
 
 
-def _quantiles(histogram: DataFrame, quantiles) -> DataFrame:
-    ranges = _with_span(
-        histogram.groupBy("metric", "range").agg(F.sum("rows").alias("rows")), "metric", "range"
-    ).withColumnsRenamed({"before": "range_before", "upto": "range_upto"})
-    wanted = _positions(histogram, quantiles)
-    hits = ranges.join(wanted, "metric").filter(
-        (F.col("rank") >= F.col("range_before")) & (F.col("rank") < F.col("range_upto"))
-    )
-    touched = hits.select("metric", "range", "range_before").distinct()
-    inside = _with_span(histogram.join(touched, ["metric", "range"]), "metric", "range", "cents")
-    found = inside.join(hits.select("metric", "range", "quantile", "rank", "weight"), ["metric", "range"]).filter(
-        (F.col("rank") - F.col("range_before") >= F.col("before"))
-        & (F.col("rank") - F.col("range_before") < F.col("upto"))
+def _targets(quantiles):
+    """For each quantile of n values the two ranks (from 0) around it, weighted by where it lies between them."""
+    targets = []
+    for name, q in quantiles.items():
+        spot = F.lit(float(q)) * (F.col("n") - 1)
+        above = spot - F.floor(spot)
+        for rank, weight in [(F.floor(spot), 1.0 - above), (F.floor(spot) + 1, above)]:
+            # The upper rank does not exist for the largest value, which then has no weight either.
+            rank = F.least(rank, F.col("n") - 1)
+            targets.append(
+                F.struct(F.lit(name).alias("quantile"), rank.alias("rank"), weight.alias("weight"))
+            )
+    return F.array(*targets)
+
+
+def _within(targets, before, upto):
+    return F.filter(targets, lambda t: (t["rank"] >= before) & (t["rank"] < upto))
+
+
+def _quantile_hits(histogram: DataFrame, quantiles) -> DataFrame:
+    """metric, quantile, cents, weight of the values that make up each quantile."""
+    by_metric = Window.partitionBy("metric")
+    ranges = (
+        histogram.groupBy("metric", "range")
+        .agg(F.sum("rows").alias("range_rows"))
+        .withColumn("upto", F.sum("range_rows").over(by_metric.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("n", F.sum("range_rows").over(by_metric))
+        .withColumn("range_before", F.col("upto") - F.col("range_rows"))
+        .withColumn("targets", _within(_targets(quantiles), F.col("range_before"), F.col("upto")))
+        .filter(F.size("targets") > 0)
+        .select("metric", "range", "range_before", "targets")
     )
-    return found.groupBy("metric", "quantile").agg(
-        F.round(F.sum(money(F.col("cents")) * F.col("weight")), 6).alias("value")
+    inside = Window.partitionBy("metric", "range").orderBy("cents").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (
+        histogram.join(ranges, ["metric", "range"])
+        .withColumn("upto", F.col("range_before") + F.sum("rows").over(inside))
+        .withColumn("hits", _within(F.col("targets"), F.col("upto") - F.col("rows"), F.col("upto")))
     )
+    return placed.select("metric", "cents", F.inline("hits")).select("metric", "quantile", "cents", "weight")
 
 
 def exact_quantiles(df: DataFrame, cols, quantiles=None) -> DataFrame:
-    """metric, quantile, value: linear interpolation between the two neighbouring ranks."""
-    return _quantiles(_histogram(df, cols), quantiles or QUARTILES)
+    """One row per money column, one value per quantile: linear between the two neighbouring values."""
+    quantiles = quantiles or QUARTILES
+    return _quantile_columns(_histogram(df, cols), quantiles)
+
+
+def _quantile_columns(histogram: DataFrame, quantiles) -> DataFrame:
+    share = money(F.col("cents")) * F.col("weight")
+    values = [F.round(F.sum(F.when(F.col("quantile") == q, share)), 6).alias(q) for q in quantiles]
+    return _quantile_hits(histogram, quantiles).groupBy("metric").agg(*values)
 
 
 def median(df: DataFrame, col: str) -> DataFrame:
-    return exact_quantiles(df, [col], {"q50": 0.5}).select(F.col("value").alias(col))
+    return exact_quantiles(df, [col], {"q50": 0.5}).select(F.col("q50").alias(col))
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
@@ -101,9 +105,5 @@ def describe(df: DataFrame, cols) -> DataFrame:
         .withColumn("mean", F.round(money(F.col("total")) / n, 6))
         .withColumn("std", F.round(F.sqrt(variance) / 100.0, 3))
     )
-    quartiles = (
-        _quantiles(histogram, QUARTILES)
-        .groupBy("metric")
-        .agg(*[F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(q) for q in QUARTILES])
-    )
+    quartiles = _quantile_columns(histogram, QUARTILES)
     return moments.join(quartiles, "metric").select("metric", "count", "mean", "std", "min", *QUARTILES, "max")

@@ -62,11 +62,9 @@ def attach_costs(totals: DataFrame, costs: DataFrame, *keys: str) -> DataFrame:
     return _with_cost_measures(joined, ["product_id", *keys])
 
 
-def product_totals(items: DataFrame, costs: DataFrame | None = None) -> DataFrame:
-    """Totals per product. Without a cost table the generated cost comes from the same totals: one scan, no join."""
+def generated_product_totals(items: DataFrame) -> DataFrame:
+    """Totals per product with the generated cost, which follows from the same totals: one scan and no join."""
     raw = item_totals(items, "product_id")
-    if costs is not None:
-        return attach_costs(raw, costs)
     mean_price = F.try_divide(money(F.col("revenue_cents")), F.col("priced"))
     return _with_cost_measures(
         raw.withColumn("cost_price", generated_cost(mean_price, F.col("product_id"))), ["product_id"]
@@ -92,6 +90,20 @@ def sales_totals(sales: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def product_totals(sales: DataFrame, costs: DataFrame | None = None, keys=()) -> DataFrame:
+    """Totals by product and `keys`. Without a cost table the rows are the stored sales fact, cost included."""
+    if costs is None:
+        return sales_totals(sales, "product_id", *keys)
+    return attach_costs(item_totals(sales, "product_id", *keys), costs, *keys)
+
+
+def key_totals(sales: DataFrame, costs: DataFrame | None, keys=()) -> DataFrame:
+    """Totals by `keys` alone. Raw items go by product first, to get their cost; the stored fact need not."""
+    if costs is None:
+        return roll_up(sales_totals(sales, *keys), keys)
+    return roll_up(product_totals(sales, costs, keys), keys)
+
+
 def roll_up(totals: DataFrame, keys=()) -> DataFrame:
     """Totals of totals on fewer keys; no key gives one row."""
     keys = as_list(keys)

@@ -55,13 +55,13 @@ REPORTS: dict[str, Callable[[Shop], DataFrame]] = {
     "q07_sales_stats": lambda s: features.sales_stats(s.sales),
     "q08_customer_segments": lambda s: s.segments,
     "q09_segment_counts": lambda s: features.segment_counts(s.segments),
-    "q10_kpi_summary": lambda s: kpis.kpi_summary(s.product_totals, s.items),
-    "q11_executive_kpis": lambda s: kpis.executive_kpis(s.items, s.orders, s.costs),
+    "q10_kpi_summary": lambda s: kpis.kpi_summary(s.product_totals, s.fact),
+    "q11_executive_kpis": lambda s: kpis.executive_kpis(s.fact, s.orders, s.fact_costs),
     "q12_top_products": lambda s: kpis.top_products(s.product_totals),
     "q13_top_products_by_category": lambda s: categories.top_products_by_category(
         s.ordered_product_totals, s.products_tr
     ),
-    "q14_monthly_trend": lambda s: kpis.monthly_trend(s.items, s.orders, s.costs, *s.months),
+    "q14_monthly_trend": lambda s: kpis.monthly_trend(s.fact, s.orders, *s.months, s.fact_costs),
     "q15_cost_profit_split": lambda s: kpis.cost_profit_split(s.ordered_product_totals),
     "q16_top_category_by_profit": lambda s: categories.top_category_by_profit(s.ordered_category_totals),
     "q17_margin_health": lambda s: kpis.margin_health(s.ordered_product_totals),
@@ -83,21 +83,21 @@ REPORTS: dict[str, Callable[[Shop], DataFrame]] = {
     "q27_marketing_insights": lambda s: categories.marketing_insights(s.category_totals),
     "q28_promotion_recommendations": lambda s: categories.promotion_recommendations(s.category_totals),
     "q29_strategy_advice": lambda s: categories.strategy_advice(s.customer_category_totals),
-    "q30_segment_profitability": lambda s: segments.segment_profitability(s.segment_product_totals("left")),
+    "q30_segment_profitability": lambda s: segments.segment_profitability(s.segment_totals("left")),
     "q31_best_segment": lambda s: segments.best_segment(
-        segments.segment_profitability(s.segment_product_totals("left"))
+        segments.segment_profitability(s.segment_totals("left"))
     ),
     "q32_segment_summary": lambda s: s.segment_summary(plain_names=True),
     "q33_segment_top_categories": lambda s: segments.segment_top_categories(
-        s.segment_product_totals("inner", True), s.products_tr
+        s.segment_product_totals, s.products_tr
     ),
     "q34_segment_advice": lambda s: segments.segment_advice(s.segment_summary(plain_names=True)),
     "q35_campaign_roi": lambda s: s.campaign_roi,
     "q35_campaign_roi_drawn": lambda s: campaigns.campaign_roi(
-        campaigns.campaign_totals(campaigns.drawn_campaign_product_totals(s.items, s.costs)), s.campaigns
+        campaigns.drawn_campaign_totals(s.fact, s.fact_costs), s.campaigns
     ),
     "q36_campaign_performance": lambda s: campaigns.campaign_performance(
-        s.campaign_totals, s.campaigns, s.items, s.mapping
+        s.campaign_totals, s.campaigns, s.fact, s.mapping
     ),
     "q37_campaign_kpis": lambda s: campaigns.campaign_kpis(s.campaign_roi),
     "q38_channel_roi": lambda s: campaigns.channel_roi(s.campaign_roi),
@@ -120,7 +120,7 @@ REPORTS: dict[str, Callable[[Shop], DataFrame]] = {
     "q49_answer_campaigns": lambda s: answers.answer_campaigns(s.campaign_roi),
     "q50_answer_segments": lambda s: answers.answer_segments(s.segment_summary(plain_names=False)),
     "q51_answer_categories": lambda s: answers.answer_categories(s.category_totals_with_unknown),
-    "q52_answer_kpis": lambda s: answers.answer_kpis(kpis.kpi_summary(s.product_totals, s.items)),
+    "q52_answer_kpis": lambda s: answers.answer_kpis(kpis.kpi_summary(s.product_totals, s.fact)),
     "q53_adhoc_sql": adhoc,
     "q54_tag_intents": lambda s: answers.tag_intents(s.questions).drop("text"),
     "q54_intent_counts": lambda s: answers.intent_counts(answers.tag_intents(s.questions)),

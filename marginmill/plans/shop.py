@@ -23,28 +23,40 @@ class Shop:
     questions: DataFrame | None = None
     thresholds: list = field(default_factory=lambda: SEGMENT_THRESHOLDS)
     months: tuple = ("2017-01", "2018-08")
-    # Stored derived tables, where a feature job has written them.
+    # Tables a feature job has written; what is missing is derived on the fly.
     stored_costs: DataFrame | None = None
     stored_mapping: DataFrame | None = None
     stored_segments: DataFrame | None = None
+    stored_sales: DataFrame | None = None
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        return self.items if self.stored_sales is None else self.stored_sales
 
     @cached_property
     def costs(self) -> DataFrame:
-        return self.stored_costs or features.product_costs(self.items)
+        return features.product_costs(self.items) if self.stored_costs is None else self.stored_costs
+
+    @cached_property
+    def fact_costs(self) -> DataFrame | None:
+        """The cost table the fact still needs: none where the stored fact has cost on its rows."""
+        return self.costs if self.stored_sales is None else None
 
     @cached_property
     def mapping(self) -> DataFrame:
-        return self.stored_mapping or features.campaign_mapping(self.orders)
+        return features.campaign_mapping(self.orders) if self.stored_mapping is None else self.stored_mapping
 
     @cached_property
     def sales(self) -> DataFrame:
+        if self.stored_sales is not None:
+            return self.stored_sales
         return features.sales_features(self.items, self.costs)
 
     @cached_property
     def segments(self) -> DataFrame:
-        return self.stored_segments or features.customer_segments(
-            self.items, self.orders, self.customers, self.thresholds, spend="price"
-        )
+        if self.stored_segments is not None:
+            return self.stored_segments
+        return features.customer_segments(self.items, self.orders, self.customers, self.thresholds, spend="price")
 
     @cached_property
     def products_tr(self) -> DataFrame:
@@ -52,13 +64,14 @@ class Shop:
 
     @cached_property
     def product_totals(self) -> DataFrame:
-        return totals.product_totals(self.items, self.stored_costs)
+        if self.stored_sales is None and self.stored_costs is None:
+            return totals.generated_product_totals(self.items)
+        return totals.product_totals(self.fact, self.fact_costs)
 
     @cached_property
     def ordered_product_totals(self) -> DataFrame:
         """Totals per product of the items whose order exists."""
-        sold = joins.with_orders(self.items, self.orders, cols=())
-        return totals.attach_costs(totals.item_totals(sold, "product_id"), self.costs)
+        return totals.product_totals(joins.with_orders(self.fact, self.orders, cols=()), self.fact_costs)
 
     @cached_property
     def ordered_category_totals(self) -> DataFrame:
@@ -68,8 +81,7 @@ class Shop:
     def customer_category_totals(self) -> DataFrame:
         """Totals per category of the items whose order and customer exist."""
         known = self.orders.join(self.customers.select("customer_id"), "customer_id")
-        sold = joins.with_orders(self.items, known, cols=())
-        by_product = totals.attach_costs(totals.item_totals(sold, "product_id"), self.costs)
+        by_product = totals.product_totals(joins.with_orders(self.fact, known, cols=()), self.fact_costs)
         return categories.category_totals(by_product, self.products_tr)
 
     @cached_property
@@ -82,11 +94,11 @@ class Shop:
 
     @cached_property
     def campaign_product_totals(self) -> DataFrame:
-        return campaigns.campaign_product_totals(self.items, self.mapping, self.costs)
+        return campaigns.campaign_product_totals(self.fact, self.mapping, self.fact_costs)
 
     @cached_property
     def campaign_totals(self) -> DataFrame:
-        return campaigns.campaign_totals(self.campaign_product_totals)
+        return campaigns.campaign_totals(self.fact, self.mapping, self.fact_costs)
 
     @cached_property
     def campaign_roi(self) -> DataFrame:
@@ -103,20 +115,20 @@ class Shop:
     def order_segments(self, how: str = "inner", plain_names: bool = False) -> DataFrame:
         return joins.order_segments(self.orders, self.segments, how, plain_names)
 
-    def segment_product_totals(self, how: str = "inner", plain_names: bool = False) -> DataFrame:
-        return segments.segment_product_totals(self.items, self.order_segments(how, plain_names), self.costs, how)
-
-    def segment_summary(self, plain_names: bool) -> DataFrame:
-        by_product = self.segment_product_totals("inner", plain_names)
-        return segments.segment_summary(by_product, self.items, self.order_segments("inner", plain_names))
+    def segment_totals(self, how: str = "inner", plain_names: bool = False) -> DataFrame:
+        return segments.segment_totals(self.fact, self.order_segments(how, plain_names), self.fact_costs, how)
 
     @cached_property
-    def category_segment_totals(self) -> DataFrame:
-        return forecast.category_segment_totals(self.segment_product_totals("inner", True), self.products_tr)
+    def segment_product_totals(self) -> DataFrame:
+        return segments.segment_product_totals(self.fact, self.order_segments("inner", True), self.fact_costs)
+
+    def segment_summary(self, plain_names: bool) -> DataFrame:
+        order_segments = self.order_segments("inner", plain_names)
+        return segments.segment_summary(self.segment_totals("inner", plain_names), self.fact, order_segments)
 
     @cached_property
     def forecast_base(self) -> DataFrame:
-        return forecast.base_stats(self.category_segment_totals)
+        return forecast.base_stats(forecast.category_segment_totals(self.segment_product_totals, self.products_tr))
 
     @cached_property
     def wide(self) -> DataFrame:
