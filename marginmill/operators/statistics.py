@@ -1,9 +1,8 @@
-"""Summary statistics with exact quartiles that never bring a column into one task.
+"""Summary statistics with exact quartiles that never shuffle a column or bring it into one task.
 
-A money column is whole cents, so its quantiles can be read off a histogram of cents. The histogram is counted in
-parallel and laid into ranges of 65,536 cents. One pass over the range counts (as many rows as there are price
-ranges, whatever the number of sales) finds the ranges the quantiles fall into; only those ranges, at most 65,536
-distinct values each, are then put in order.
+A money column is whole cents. A first pass counts the values per range of 65,536 cents, which every task does on
+its own; the few range counts tell which ranges the quantiles fall into. A second pass counts single values, but
+only those in these ranges: at most 65,536 distinct values each, whatever the number of rows.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -11,20 +10,27 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cents, money
 
-RANGE_BITS = 16
+RANGE_CENTS = 65536
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def _histogram(df: DataFrame, cols) -> DataFrame:
-    """metric, cents, rows, range. The cents are declared never NULL, so that no branch of the plan adds a filter
-    of its own and all branches share the one shuffle that counts the data."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), cents(F.col(c)).alias("cents")) for c in cols])
-    return (
-        df.select(F.inline(pairs))
-        .filter(F.col("cents").isNotNull())
-        .groupBy("metric", F.coalesce("cents", F.lit(0)).alias("cents"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("range", F.shiftright("cents", RANGE_BITS))
+def _values(df: DataFrame, cols) -> DataFrame:
+    """metric (position of the column), cents, range."""
+    pairs = [F.struct(F.lit(i).alias("metric"), cents(F.col(c)).alias("cents")) for i, c in enumerate(cols)]
+    values = df.select(F.inline(F.array(*pairs))).filter(F.col("cents").isNotNull())
+    return values.select("metric", "cents", F.shiftright("cents", 16).alias("range"))
+
+
+def _ranges(values: DataFrame) -> DataFrame:
+    """Count and moments per range. Sums run over the place within the range, so they stay small."""
+    place = F.col("cents") - F.col("range") * RANGE_CENTS
+    square = F.col("cents").cast("double") * F.col("cents").cast("double")
+    return values.groupBy("metric", "range").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(place).alias("places"),
+        F.sum(square).alias("squares"),
+        F.min("cents").alias("min"),
+        F.max("cents").alias("max"),
     )
 
 
@@ -37,9 +43,7 @@ def _targets(quantiles):
         for rank, weight in [(F.floor(spot), 1.0 - above), (F.floor(spot) + 1, above)]:
             # The upper rank does not exist for the largest value, which then has no weight either.
             rank = F.least(rank, F.col("n") - 1)
-            targets.append(
-                F.struct(F.lit(name).alias("quantile"), rank.alias("rank"), weight.alias("weight"))
-            )
+            targets.append(F.struct(F.lit(name).alias("quantile"), rank.alias("rank"), weight.alias("weight")))
     return F.array(*targets)
 
 
@@ -47,38 +51,53 @@ def _within(targets, before, upto):
     return F.filter(targets, lambda t: (t["rank"] >= before) & (t["rank"] < upto))
 
 
-def _quantile_hits(histogram: DataFrame, quantiles) -> DataFrame:
-    """metric, quantile, cents, weight of the values that make up each quantile."""
+def _quantile_columns(values: DataFrame, ranges: DataFrame, quantiles) -> DataFrame:
     by_metric = Window.partitionBy("metric")
-    ranges = (
-        histogram.groupBy("metric", "range")
-        .agg(F.sum("rows").alias("range_rows"))
-        .withColumn("upto", F.sum("range_rows").over(by_metric.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("n", F.sum("range_rows").over(by_metric))
-        .withColumn("range_before", F.col("upto") - F.col("range_rows"))
-        .withColumn("targets", _within(_targets(quantiles), F.col("range_before"), F.col("upto")))
+    hit_ranges = (
+        ranges.select(
+            "metric",
+            "range",
+            "rows",
+            F.sum("rows").over(by_metric.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+            F.sum("rows").over(by_metric).alias("n"),
+        )
+        .select(
+            "metric",
+            "range",
+            (F.col("upto") - F.col("rows")).alias("range_before"),
+            _within(_targets(quantiles), F.col("upto") - F.col("rows"), F.col("upto")).alias("targets"),
+        )
         .filter(F.size("targets") > 0)
-        .select("metric", "range", "range_before", "targets")
+    )
+    # Two ranks for each quantile of each column: the number of hit ranges does not depend on the data.
+    hit_ranges = F.broadcast(hit_ranges)
+    counted = (
+        values.join(hit_ranges.select("metric", "range"), ["metric", "range"], "left_semi")
+        .groupBy("metric", "range", "cents")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
     inside = Window.partitionBy("metric", "range").orderBy("cents").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        histogram.join(ranges, ["metric", "range"])
-        .withColumn("upto", F.col("range_before") + F.sum("rows").over(inside))
-        .withColumn("hits", _within(F.col("targets"), F.col("upto") - F.col("rows"), F.col("upto")))
+    placed = counted.join(hit_ranges, ["metric", "range"]).withColumn(
+        "upto", F.col("range_before") + F.sum("rows").over(inside)
     )
-    return placed.select("metric", "cents", F.inline("hits")).select("metric", "quantile", "cents", "weight")
+    hits = placed.select(
+        "metric", "cents", F.inline(_within(F.col("targets"), F.col("upto") - F.col("rows"), F.col("upto")))
+    )
+    share = money(F.col("cents")) * F.col("weight")
+    return hits.groupBy("metric").agg(
+        *[F.round(F.sum(F.when(F.col("quantile") == q, share)), 6).alias(q) for q in quantiles]
+    )
+
+
+def _metric_name(cols):
+    return F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("metric") + 1).alias("metric")
 
 
 def exact_quantiles(df: DataFrame, cols, quantiles=None) -> DataFrame:
     """One row per money column, one value per quantile: linear between the two neighbouring values."""
     quantiles = quantiles or QUARTILES
-    return _quantile_columns(_histogram(df, cols), quantiles)
-
-
-def _quantile_columns(histogram: DataFrame, quantiles) -> DataFrame:
-    share = money(F.col("cents")) * F.col("weight")
-    values = [F.round(F.sum(F.when(F.col("quantile") == q, share)), 6).alias(q) for q in quantiles]
-    return _quantile_hits(histogram, quantiles).groupBy("metric").agg(*values)
+    values = _values(df, cols)
+    return _quantile_columns(values, _ranges(values), quantiles).select(_metric_name(cols), *quantiles)
 
 
 def median(df: DataFrame, col: str) -> DataFrame:
@@ -86,24 +105,25 @@ def median(df: DataFrame, col: str) -> DataFrame:
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
-    """One row per money column: count, mean, sample std, min, quartiles, max, all from one histogram."""
-    histogram = _histogram(df, cols)
-    weighted = F.col("cents").cast("decimal(19,0)") * F.col("rows")
-    square = F.col("cents").cast("double") * F.col("cents").cast("double") * F.col("rows").cast("double")
-    n = F.col("count").cast("double")
-    cents_total = F.col("total").cast("double")
-    variance = F.try_divide(F.col("squares") - cents_total * cents_total / n, n - 1)
-    moments = (
-        histogram.groupBy("metric")
-        .agg(
-            F.sum("rows").alias("count"),
-            F.sum(weighted).alias("total"),
-            F.sum(square).alias("squares"),
-            money(F.min("cents")).alias("min"),
-            money(F.max("cents")).alias("max"),
-        )
-        .withColumn("mean", F.round(money(F.col("total")) / n, 6))
-        .withColumn("std", F.round(F.sqrt(variance) / 100.0, 3))
+    """One row per money column: count, mean, sample std, min, quartiles, max."""
+    values = _values(df, cols)
+    ranges = _ranges(values)
+    base = F.col("range").cast("decimal(18,0)") * RANGE_CENTS * F.col("rows")
+    n, total = F.col("count").cast("double"), F.col("total").cast("double")
+    variance = F.try_divide(F.col("squares") - total * total / n, n - 1)
+    moments = ranges.groupBy("metric").agg(
+        F.sum("rows").alias("count"),
+        F.sum(base + F.col("places")).cast("decimal(36,0)").alias("total"),
+        F.sum("squares").alias("squares"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+    )
+    return moments.join(_quantile_columns(values, ranges, QUARTILES), "metric").select(
+        _metric_name(cols),
+        "count",
+        F.round(money(F.col("total")) / n, 6).alias("mean"),
+        F.round(F.sqrt(variance) / 100.0, 3).alias("std"),
+        money(F.col("min")).alias("min"),
+        *QUARTILES,
+        money(F.col("max")).alias("max"),
     )
-    quartiles = _quantile_columns(histogram, QUARTILES)
-    return moments.join(quartiles, "metric").select("metric", "count", "mean", "std", "min", *QUARTILES, "max")

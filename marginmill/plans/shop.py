@@ -1,6 +1,7 @@
 """The logical tables of one shop and the frames derived from them. Everything is lazy; nothing is stored here."""
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,19 +9,15 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import SEGMENT_THRESHOLDS
 from ..operators import campaigns, categories, features, forecast, joins, pricing, segments, totals
+from ..schemas import RAW_TABLES
 from ..sources import tables
 
 
 @dataclass
 class Shop:
-    items: DataFrame
-    orders: DataFrame
-    customers: DataFrame
-    products: DataFrame
-    payments: DataFrame
-    translation: DataFrame
-    campaigns: DataFrame
-    questions: DataFrame | None = None
+    """`table` opens a logical table by name when a report first needs it."""
+
+    table: Callable[[str], DataFrame]
     thresholds: list = field(default_factory=lambda: SEGMENT_THRESHOLDS)
     months: tuple = ("2017-01", "2018-08")
     # Tables a feature job has written; what is missing is derived on the fly.
@@ -29,6 +26,15 @@ class Shop:
     stored_segments: DataFrame | None = None
     stored_sales: DataFrame | None = None
 
+    items = cached_property(lambda self: self.table("order_items"))
+    orders = cached_property(lambda self: self.table("orders"))
+    customers = cached_property(lambda self: self.table("customers"))
+    products = cached_property(lambda self: self.table("products"))
+    payments = cached_property(lambda self: self.table("payments"))
+    translation = cached_property(lambda self: self.table("category_translation"))
+    campaigns = cached_property(lambda self: self.table("campaigns"))
+    questions = cached_property(lambda self: self.table("questions"))
+
     @cached_property
     def fact(self) -> DataFrame:
         return self.items if self.stored_sales is None else self.stored_sales
@@ -137,87 +143,84 @@ class Shop:
         )
 
     def raw_tables(self) -> dict[str, DataFrame]:
-        return {
-            "customers": self.customers,
-            "orders": self.orders,
-            "products": self.products,
-            "order_items": self.items,
-            "payments": self.payments,
-        }
+        return {name: self.table(name) for name in RAW_TABLES}
 
 
 def load_shop(spark: SparkSession, directory: str, fmt: str = "parquet", **options) -> Shop:
     """A directory with one file per raw table plus category_translation."""
-    raw = tables.load_all(spark, directory, fmt)
-    return Shop(
-        items=raw["order_items"],
-        orders=raw["orders"],
-        customers=raw["customers"],
-        products=raw["products"],
-        payments=raw["payments"],
-        translation=tables.read_table(spark, "category_translation", directory, fmt),
-        campaigns=tables.campaigns(spark),
-        **options,
-    )
+
+    def table(name):
+        return tables.campaigns(spark) if name == "campaigns" else tables.read_table(spark, name, directory, fmt)
+
+    return Shop(table, **options)
+
+
+FEATURES = ["product_costs", "campaigns", "campaign_sales_mapping", "sales_features", "customer_segments"]
 
 
 def write_features(shop: Shop, directory: str, fmt: str = "parquet") -> None:
     """The feature jobs: write costs, campaigns, mapping, sales fact and segments, each one full overwrite."""
-    for name, df in [
-        ("product_costs", shop.costs),
-        ("campaigns", shop.campaigns),
-        ("campaign_sales_mapping", shop.mapping),
-        ("sales_features", shop.sales),
-        ("customer_segments", shop.segments),
-    ]:
+    for name, df in zip(FEATURES, [shop.costs, shop.campaigns, shop.mapping, shop.sales, shop.segments]):
         tables.write_table(df, f"{directory.rstrip('/')}/{name}.{fmt}", fmt)
 
 
-# Columns read of the star-schema tables; a declared schema spares the job that would look it up.
-LINEITEM = "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_extendedprice double"
-ORDERS = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz"
-CUSTOMER = "c_custkey bigint, c_name string"
-PART = "p_partkey bigint, p_brand string"
-CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
+def with_stored_features(spark: SparkSession, shop: Shop, directory: str, fmt: str = "parquet") -> Shop:
+    """The same shop reading the tables the feature jobs have written: reports then join no cost to the fact."""
+
+    def stored(name):
+        return tables.read_table(spark, name, directory, fmt)
+
+    return replace(
+        shop,
+        stored_costs=stored("product_costs"),
+        stored_mapping=stored("campaign_sales_mapping"),
+        stored_segments=stored("customer_segments"),
+        stored_sales=stored("sales_features"),
+    )
+
+
+# The star-schema test tables seen as a shop: a line is a sold item, a brand is a category. Each logical table is a
+# file, the columns read of it (a declared schema spares the job that would look it up), and their names here.
+STAR_TABLES = {
+    "order_items": ("lineitem", {
+        "l_orderkey bigint": "order_id",
+        "l_partkey bigint": "product_id",
+        "l_linenumber int": "item_no",
+        "l_extendedprice double": "price",
+    }),
+    "orders": ("orders", {
+        "o_orderkey bigint": "order_id",
+        "o_custkey bigint": "customer_id",
+        "o_orderdate timestamp_ntz": "order_purchase_timestamp",
+    }),
+    "payments": ("orders", {"o_orderkey bigint": "order_id", "o_totalprice double": "payment_value"}),
+    "customers": ("customer", {"c_custkey bigint": "customer_id", "c_name string": "customer_unique_id"}),
+    "products": ("part", {"p_partkey bigint": "product_id", "p_brand string": "product_category_name"}),
+    "questions": ("conversations", {
+        "conv_id bigint": "conv_id", "turn bigint": "turn", "role string": "role", "text string": "text",
+    }),
+}
 
 # Brands with a translated category; the remaining brands stay without one.
 TRANSLATED_BRANDS = range(1, 24)
 
 
 def bind_star_schema(spark: SparkSession, directory: str) -> Shop:
-    """The star-schema test tables seen as a shop: a line is a sold item, a brand is a category."""
-
-    def read(name, schema):
-        return spark.read.schema(schema).parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    def table(name):
+        if name == "campaigns":
+            return tables.campaigns(spark)
+        if name == "category_translation":
+            pairs = ", ".join(f"('Brand#{n}', 'category_{n}')" for n in TRANSLATED_BRANDS)
+            return spark.sql(
+                f"SELECT * FROM VALUES {pairs} AS t(product_category_name, product_category_name_english)"
+            )
+        file, columns = STAR_TABLES[name]
+        raw = spark.read.schema(", ".join(columns)).parquet(f"{directory.rstrip('/')}/{file}.parquet")
+        df = raw.toDF(*columns.values())
+        return df.filter(F.col("role") == "user").drop("role") if name == "questions" else df
 
-    orders = read("orders", ORDERS)
-    pairs = ", ".join(f"('Brand#{n}', 'category_{n}')" for n in TRANSLATED_BRANDS)
     return Shop(
-        items=read("lineitem", LINEITEM).select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_linenumber").alias("item_no"),
-            F.col("l_extendedprice").alias("price"),
-        ),
-        orders=orders.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").alias("order_purchase_timestamp"),
-        ),
-        customers=read("customer", CUSTOMER).select(
-            F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_unique_id")
-        ),
-        products=read("part", PART).select(
-            F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("product_category_name")
-        ),
-        payments=orders.select(
-            F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("payment_value")
-        ),
-        translation=spark.sql(
-            f"SELECT * FROM VALUES {pairs} AS t(product_category_name, product_category_name_english)"
-        ),
-        campaigns=tables.campaigns(spark),
-        questions=read("conversations", CONVERSATIONS).filter(F.col("role") == "user").select("conv_id", "turn", "text"),
+        table,
         thresholds=[(57000.0, "Premium"), (53000.0, "High Value"), (49000.0, "Regular")],
         months=("1996-01", "1999-12"),
     )
