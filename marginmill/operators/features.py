@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CAMPAIGN_IDS, LOWEST_SEGMENT, SEGMENT_THRESHOLDS
 from ..functions.columns import cents, draw_choice, money, ratio_pct
-from .relational import value_counts, with_keys
+from .relational import spread_join, value_counts, with_keys
 from .statistics import describe
 from .totals import costs_of, item_totals
 
@@ -20,19 +20,21 @@ def campaign_mapping(orders: DataFrame, campaign_ids=CAMPAIGN_IDS) -> DataFrame:
 
 
 def with_costs(items: DataFrame, costs: DataFrame) -> DataFrame:
-    return items.join(costs, "product_id", "left")
+    """`costs` may bring further columns of the product along."""
+    return spread_join(items, costs, "product_id", by="order_id")
 
 
 def sales_features(items: DataFrame, costs: DataFrame) -> DataFrame:
     """Every item with cost, revenue, profit and margin; the margin of a free item is NULL."""
-    carried = items.columns
+    further = [c for c in costs.columns if c not in ("product_id", "cost_price")]
     gross_profit = F.col("price") - F.col("cost_price")
     return with_costs(items, costs).select(
-        *carried,
+        *items.columns,
         "cost_price",
         F.col("price").alias("revenue"),
         gross_profit.alias("gross_profit"),
         ratio_pct(gross_profit, F.col("price")).alias("profit_margin_pct"),
+        *further,
     )
 
 

@@ -8,8 +8,10 @@ otherwise. Order attributes are joined among orders first, so the fact meets its
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import SEGMENT_NAMES, UNKNOWN
+from ..fixed_values import SEGMENT_NAMES
 from ..functions.columns import recode
+from .features import sales_features
+from .relational import fill_unknown, spread_join
 
 
 def translate_products(products: DataFrame, translation: DataFrame) -> DataFrame:
@@ -22,9 +24,7 @@ def translate_products(products: DataFrame, translation: DataFrame) -> DataFrame
 def with_category(df: DataFrame, products_tr: DataFrame, unknown: str = "drop") -> DataFrame:
     """Category of each product; unknown='keep' turns a missing one into a category of its own."""
     joined = df.join(products_tr, "product_id", "left")
-    if unknown == "keep":
-        joined = joined.withColumn("category", F.coalesce("category", F.lit(UNKNOWN)))
-    return joined
+    return fill_unknown(joined, "category") if unknown == "keep" else joined
 
 
 def with_campaign_id(sales: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -40,7 +40,9 @@ def with_orders(sales: DataFrame, orders: DataFrame, how: str = "inner", cols=("
 
 
 def with_segment(df: DataFrame, segments: DataFrame, how: str = "inner", plain_names: bool = False) -> DataFrame:
-    joined = df.join(segments.select("customer_id", "customer_segment"), "customer_id", how)
+    """`df` has an order per row or finer; a customer may have any number of them."""
+    by_customer = segments.select("customer_id", "customer_segment")
+    joined = spread_join(df, by_customer, "customer_id", by="order_id", how=how)
     if plain_names:
         joined = joined.withColumn("customer_segment", recode(F.col("customer_segment"), SEGMENT_NAMES))
     return joined
@@ -59,7 +61,8 @@ def distinct_orders(items: DataFrame, order_attributes: DataFrame, key: str, nam
 
 
 def sales_wide(
-    sales: DataFrame,
+    items: DataFrame,
+    costs: DataFrame | None,
     orders: DataFrame,
     segments: DataFrame,
     products_tr: DataFrame,
@@ -69,8 +72,15 @@ def sales_wide(
     unknown: str = "keep",
     plain_names: bool = True,
 ) -> DataFrame:
-    """Item-grain star join. Segment, campaign and discount are joined to the orders first, so the sales are
-    joined once by product and once by order, whatever the number of dimensions."""
+    """Item-grain star join. Cost and category are joined to each other first, and so are segment, campaign and
+    discount of the orders: the items are joined once by product and once by order. Without costs the items are the
+    stored sales fact."""
     by_order = with_segment(orders, segments, "inner", plain_names)
     by_order = with_campaign(with_campaign_id(by_order, mapping), campaigns, ("campaign_name", "discount_pct"))
-    return with_category(sales, products_tr, unknown).join(by_order, "order_id")
+    if costs is None:
+        sales = items.join(products_tr, "product_id", "left")
+    else:
+        sales = sales_features(items, costs.join(products_tr, "product_id", "full"))
+    if unknown == "keep":
+        sales = fill_unknown(sales, "category")
+    return sales.join(by_order, "order_id")

@@ -18,6 +18,16 @@ def with_keys(df: DataFrame, keys) -> DataFrame:
     return df.filter(reduce(and_, [F.col(k).isNotNull() for k in as_list(keys)]))
 
 
+def spread_join(df: DataFrame, table: DataFrame, key: str, by: str, how: str = "left", parts: int = 8) -> DataFrame:
+    """Join many rows to a smaller table when one key may have a large share of the rows. The rows of a key are spread
+    over `parts` tasks by a hash of another column, and the table is repeated for each of them. As both sides are
+    shuffled for this join alone, adaptive execution can split what is still too large; a table that comes straight
+    from an aggregation on the key would not leave it that choice."""
+    part = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")
+    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return df.withColumn("_part", part).join(copies, [key, "_part"], how).drop("_part")
+
+
 def filter_opt(df: DataFrame, col: str, value=None) -> DataFrame:
     """Equality filter; None means all rows."""
     return df if value is None else df.filter(F.col(col) == F.lit(value))

@@ -139,7 +139,13 @@ class Shop:
     @cached_property
     def wide(self) -> DataFrame:
         return joins.sales_wide(
-            self.sales, self.orders, self.segments, self.products_tr, self.mapping, self.campaigns
+            self.fact,
+            self.fact_costs,
+            self.orders,
+            self.segments,
+            self.products_tr,
+            self.mapping,
+            self.campaigns,
         )
 
     def raw_tables(self) -> dict[str, DataFrame]:
