@@ -21,19 +21,6 @@ def _values(df: DataFrame, cols) -> DataFrame:
     return values.select("metric", "cents", F.shiftright("cents", 16).alias("range"))
 
 
-def _ranges(values: DataFrame) -> DataFrame:
-    """Count and moments per range. Sums run over the place within the range, so they stay small."""
-    place = F.col("cents") - F.col("range") * RANGE_CENTS
-    square = F.col("cents").cast("double") * F.col("cents").cast("double")
-    return values.groupBy("metric", "range").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(place).alias("places"),
-        F.sum(square).alias("squares"),
-        F.min("cents").alias("min"),
-        F.max("cents").alias("max"),
-    )
-
-
 def _targets(quantiles):
     """For each quantile of n values the two ranks (from 0) around it, weighted by where it lies between them."""
     targets = []
@@ -51,40 +38,53 @@ def _within(targets, before, upto):
     return F.filter(targets, lambda t: (t["rank"] >= before) & (t["rank"] < upto))
 
 
-def _quantile_columns(values: DataFrame, ranges: DataFrame, quantiles) -> DataFrame:
-    by_metric = Window.partitionBy("metric")
-    hit_ranges = (
-        ranges.select(
-            "metric",
-            "range",
-            "rows",
-            F.sum("rows").over(by_metric.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-            F.sum("rows").over(by_metric).alias("n"),
-        )
-        .select(
-            "metric",
-            "range",
-            (F.col("upto") - F.col("rows")).alias("range_before"),
-            _within(_targets(quantiles), F.col("upto") - F.col("rows"), F.col("upto")).alias("targets"),
-        )
-        .filter(F.size("targets") > 0)
+def _hit_ranges(values: DataFrame, quantiles) -> DataFrame:
+    """The ranges that hold a quantile, with the number of values before them and the moments of the whole metric.
+    Sums run over the place within the range first, so they stay small."""
+    place = F.col("cents") - F.col("range") * RANGE_CENTS
+    square = F.col("cents").cast("double") * F.col("cents").cast("double")
+    ranges = values.groupBy("metric", "range").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(place).alias("places"),
+        F.sum(square).alias("squares"),
+        F.min("cents").alias("min"),
+        F.max("cents").alias("max"),
     )
+    whole = Window.partitionBy("metric")
+    upto = F.sum("rows").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    range_total = F.col("range").cast("decimal(18,0)") * RANGE_CENTS * F.col("rows") + F.col("places")
+    before = F.col("range_before")
+    return ranges.select(
+        "metric",
+        "range",
+        "rows",
+        (upto - F.col("rows")).alias("range_before"),
+        F.sum("rows").over(whole).alias("n"),
+        F.sum(range_total.cast("decimal(28,0)")).over(whole).alias("total"),
+        F.sum("squares").over(whole).alias("squares"),
+        F.min("min").over(whole).alias("min"),
+        F.max("max").over(whole).alias("max"),
+    ).filter(F.size(_within(_targets(quantiles), before, before + F.col("rows"))) > 0)
+
+
+def _quantile_columns(values: DataFrame, quantiles, moments=()) -> DataFrame:
+    """metric, n, the moments asked for, and one column per quantile. What describes the whole metric rides along as
+    a grouping column, which spares another pass over the data."""
+    carried = ["n", *moments]
     # Two ranks for each quantile of each column: the number of hit ranges does not depend on the data.
-    hit_ranges = F.broadcast(hit_ranges)
+    hit_ranges = F.broadcast(_hit_ranges(values, quantiles).select("metric", "range", "range_before", *carried))
     counted = (
-        values.join(hit_ranges.select("metric", "range"), ["metric", "range"], "left_semi")
-        .groupBy("metric", "range", "cents")
+        values.join(hit_ranges, ["metric", "range"])
+        .groupBy("metric", "range", "range_before", *carried, "cents")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     inside = Window.partitionBy("metric", "range").orderBy("cents").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.join(hit_ranges, ["metric", "range"]).withColumn(
-        "upto", F.col("range_before") + F.sum("rows").over(inside)
-    )
-    hits = placed.select(
-        "metric", "cents", F.inline(_within(F.col("targets"), F.col("upto") - F.col("rows"), F.col("upto")))
+    upto = F.col("upto")
+    hits = counted.withColumn("upto", F.col("range_before") + F.sum("rows").over(inside)).select(
+        "metric", *carried, "cents", F.inline(_within(_targets(quantiles), upto - F.col("rows"), upto))
     )
     share = money(F.col("cents")) * F.col("weight")
-    return hits.groupBy("metric").agg(
+    return hits.groupBy("metric", *carried).agg(
         *[F.round(F.sum(F.when(F.col("quantile") == q, share)), 6).alias(q) for q in quantiles]
     )
 
@@ -96,8 +96,7 @@ def _metric_name(cols):
 def exact_quantiles(df: DataFrame, cols, quantiles=None) -> DataFrame:
     """One row per money column, one value per quantile: linear between the two neighbouring values."""
     quantiles = quantiles or QUARTILES
-    values = _values(df, cols)
-    return _quantile_columns(values, _ranges(values), quantiles).select(_metric_name(cols), *quantiles)
+    return _quantile_columns(_values(df, cols), quantiles).select(_metric_name(cols), *quantiles)
 
 
 def median(df: DataFrame, col: str) -> DataFrame:
@@ -106,22 +105,12 @@ def median(df: DataFrame, col: str) -> DataFrame:
 
 def describe(df: DataFrame, cols) -> DataFrame:
     """One row per money column: count, mean, sample std, min, quartiles, max."""
-    values = _values(df, cols)
-    ranges = _ranges(values)
-    base = F.col("range").cast("decimal(18,0)") * RANGE_CENTS * F.col("rows")
-    n, total = F.col("count").cast("double"), F.col("total").cast("double")
+    n, total = F.col("n").cast("double"), F.col("total").cast("double")
     variance = F.try_divide(F.col("squares") - total * total / n, n - 1)
-    moments = ranges.groupBy("metric").agg(
-        F.sum("rows").alias("count"),
-        F.sum(base + F.col("places")).cast("decimal(36,0)").alias("total"),
-        F.sum("squares").alias("squares"),
-        F.min("min").alias("min"),
-        F.max("max").alias("max"),
-    )
-    return moments.join(_quantile_columns(values, ranges, QUARTILES), "metric").select(
+    return _quantile_columns(_values(df, cols), QUARTILES, ["total", "squares", "min", "max"]).select(
         _metric_name(cols),
-        "count",
-        F.round(money(F.col("total")) / n, 6).alias("mean"),
+        F.col("n").alias("count"),
+        F.round(money(F.col("total").cast("decimal(36,0)")) / n, 6).alias("mean"),
         F.round(F.sqrt(variance) / 100.0, 3).alias("std"),
         money(F.col("min")).alias("min"),
         *QUARTILES,
