@@ -11,6 +11,7 @@ import time
 from pyspark.sql import SparkSession
 
 from marginmill.plans import catalogue
+from marginmill.session import tuned
 
 HEADLINE = [
     "q03_product_costs",
@@ -45,10 +46,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = os.environ.get("BENCH_QUERIES")
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        tuned(SparkSession.builder)
+        .master(f"local[{cpus}]")
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")

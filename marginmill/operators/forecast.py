@@ -19,7 +19,7 @@ from ..fixed_values import (
 )
 from ..functions.columns import at_least, log1p, lookup, ratio_pct, round_int, safe_ratio
 from .joins import with_category
-from .totals import TOTALS, cost, revenue, roll_up
+from .totals import TOTALS, cost, revenue
 
 BASE = ["items", "priced", "costed", "revenue_cents", "cost_cents"]
 

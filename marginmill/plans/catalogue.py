@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import ADS, SEGMENT_NAMES
@@ -132,7 +132,7 @@ RELATIONS: dict[str, Callable[[Shop], DataFrame]] = {
     "s1_read_items": lambda s: s.items,
     "s2_profile": lambda s: tables.profile_all(s.raw_tables()),
     "s2_preview": lambda s: tables.preview(s.items),
-    "s7_sql_select": lambda s: _sql_select(s),
+    "s7_sql_select": lambda s: sql_report(s),
     "j2_sales_campaign_id": lambda s: joins.with_campaign_id(s.items, s.mapping),
     "j3_sales_campaign": lambda s: joins.with_campaign(joins.with_campaign_id(s.items, s.mapping), s.campaigns),
     "j4_sales_category": lambda s: joins.with_category(s.items, s.products_tr),
@@ -151,69 +151,135 @@ RELATIONS: dict[str, Callable[[Shop], DataFrame]] = {
 }
 
 
-def _sql_select(shop: Shop) -> DataFrame:
+def sql_report(shop: Shop) -> DataFrame:
     tables.register_views(shop.raw_tables())
-    return tables.sql_select(shop.items.sparkSession, "SELECT ROUND(SUM(payment_value), 2) AS paid, COUNT(*) AS payments FROM payments")
+    text = "SELECT ROUND(SUM(payment_value), 2) AS paid, COUNT(*) AS payments FROM payments"
+    return tables.sql_select(shop.items.sparkSession, text)
 
 
-def _labelled(shop: Shop) -> DataFrame:
-    return shop.items.withColumn("size", F.when(F.col("price") >= 60000, "large").when(F.col("price") >= 30000, "medium").otherwise("small"))
+def per_item(shop: Shop, name: str, column: Callable) -> DataFrame:
+    """One computed column for every item; the function is called once the session is up."""
+    return shop.items.select("order_id", "product_id", "item_no", column().alias(name))
 
 
-# Projections, filters, aggregates, sorts and scalar functions (P, A, O, F) over whole tables.
-GENERIC: dict[str, Callable[[Shop], DataFrame]] = {
+def per_question(shop: Shop, name: str, column: Callable) -> DataFrame:
+    return shop.questions.select("conv_id", "turn", column(F.col("text")).alias(name))
+
+
+def placed_month() -> Column:
+    return fn.month_key(F.col("order_purchase_timestamp")).alias("month")
+
+
+def price_size() -> Column:
+    price = F.col("price")
+    return F.when(price >= 60000, "large").when(price >= 30000, "medium").otherwise("small")
+
+
+# Projections, filters and rules (P) over whole tables.
+PROJECTIONS: dict[str, Callable[[Shop], DataFrame]] = {
     "p1_select": lambda s: s.orders.select("order_id", "customer_id"),
-    "p3_rename": lambda s: relational.group_agg(s.items, "product_id", sums={"r": "price"}, counts={"n": "order_id"}).toDF("product", "revenue", "units"),
+    "p3_rename": lambda s: relational.group_agg(
+        s.items, "product_id", sums={"r": "price"}, counts={"n": "order_id"}
+    ).toDF("product", "revenue", "units"),
     "p4_filter_and": lambda s: s.items.filter((F.col("item_no") == 1) & (F.col("price") > 50000)),
-    "p5_filter_not_unknown": lambda s: joins.with_category(s.products, s.products_tr, "keep").filter(F.col("category") != "unknown").select("product_id", "category"),
-    "p6_month_range": lambda s: s.orders.select("order_id", fn.month_key(F.col("order_purchase_timestamp")).alias("month")).filter(F.col("month").between(*s.months)),
+    "p5_filter_not_unknown": lambda s: categories.known(relational.fill_unknown(s.products_tr, "category")),
+    "p6_month_range": lambda s: s.orders.select("order_id", placed_month()).filter(
+        F.col("month").between(*s.months)
+    ),
     "p7_fill_unknown": lambda s: relational.fill_unknown(s.products_tr, "category"),
-    "p8_recode": lambda s: s.segments.select("customer_id", fn.recode(F.col("customer_segment"), SEGMENT_NAMES).alias("customer_type")),
-    "p9_rule": lambda s: _labelled(s),
-    "p10_filter_optional": lambda s: relational.filter_opt(relational.filter_opt(s.items, "item_no", 2), "product_id"),
+    "p8_recode": lambda s: s.segments.select(
+        "customer_id", fn.recode(F.col("customer_segment"), SEGMENT_NAMES).alias("customer_type")
+    ),
+    "p9_rule": lambda s: s.items.withColumn("size", price_size()),
+    "p10_filter_optional": lambda s: relational.filter_opt(
+        relational.filter_opt(s.items, "item_no", 2), "product_id"
+    ),
     "p10_advice_filtered": lambda s: categories.strategy_advice(s.category_totals, ADS),
     "p12_percent_label": lambda s: pricing.discount_labels(s.discount_performance),
-    "p13_distinct_values": lambda s: relational.distinct_values(relational.fill_unknown(s.products_tr, "category"), "category"),
+    "p13_distinct_values": lambda s: relational.distinct_values(
+        relational.fill_unknown(s.products_tr, "category"), "category"
+    ),
     "p14_top1": lambda s: relational.top1(s.items, "price", ["order_id", "product_id", "item_no"]),
     "p15_keyed_lookup": lambda s: pricing.discount_volume_change(s.discount_performance, 10, 20),
+}
+
+# Aggregates, sorts and top-k (A, O) over whole tables.
+AGGREGATES: dict[str, Callable[[Shop], DataFrame]] = {
     "a1_total": lambda s: relational.total(s.items, "price"),
     "a2_mean": lambda s: relational.mean(s.sales, "profit_margin_pct"),
     "a3_n_distinct": lambda s: relational.n_distinct(s.items, "order_id"),
     "a4_group_distinct": lambda s: relational.group_agg(s.items, "product_id", distinct={"orders": "order_id"}),
     "a5_group_count": lambda s: relational.group_agg(s.items, "product_id", counts={"items": "price"}),
     "a6_row_count": lambda s: relational.row_count(s.items),
-    "a7_group_agg": lambda s: relational.group_agg(s.sales, "product_id", sums={"revenue": "revenue", "gross_profit": "gross_profit"}, means={"avg_margin_pct": "profit_margin_pct"}, counts={"items": "order_id"}),
+    "a7_group_agg": lambda s: relational.group_agg(
+        s.sales,
+        "product_id",
+        sums={"revenue": "revenue", "gross_profit": "gross_profit"},
+        means={"avg_margin_pct": "profit_margin_pct"},
+        counts={"items": "order_id"},
+    ),
     "a8_group_two_keys": lambda s: relational.group_agg(s.items, ["product_id", "item_no"], sums={"revenue": "price"}),
     "a9_group_sum": lambda s: relational.group_sum(s.items, "order_id", "price"),
-    "a10_named_mean": lambda s: relational.group_agg(joins.with_orders(s.items, s.orders), "customer_id", means={"avg_spend": "price"}),
+    "a10_named_mean": lambda s: relational.group_agg(
+        joins.with_orders(s.items, s.orders), "customer_id", means={"avg_spend": "price"}
+    ),
     "a11_median": lambda s: statistics.median(s.items, "price"),
-    "a12_arg_max": lambda s: relational.arg_max(relational.group_sum(s.items, "product_id", "price"), "product_id", "price"),
-    "a13_ratio_of_sums": lambda s: relational.ratio_of_sums(s.sales, "item_no", "gross_profit", "revenue", "margin_pct"),
-    "a14_benchmark": lambda s: relational.benchmark(categories.category_performance(s.category_totals), ["revenue", "profit"]),
+    "a12_arg_max": lambda s: relational.arg_max(
+        relational.group_sum(s.items, "product_id", "price"), "product_id", "price"
+    ),
+    "a13_ratio_of_sums": lambda s: relational.ratio_of_sums(
+        s.sales, "item_no", "gross_profit", "revenue", "margin_pct"
+    ),
+    "a14_benchmark": lambda s: relational.benchmark(
+        categories.category_performance(s.category_totals), ["revenue", "profit"]
+    ),
     "a15_describe": lambda s: statistics.describe(s.payments, ["payment_value"]),
     "a16_value_counts": lambda s: relational.value_counts(s.items, "product_id"),
-    "a17_round_cols": lambda s: relational.round_cols(relational.group_agg(s.items, "item_no", means={"avg_price": "price"}), "avg_price"),
-    "a19_mixed_mean": lambda s: relational.group_agg(s.items, "item_no", sums={"revenue": "price"}, means={"avg_price": "price"}, distinct={"orders": "order_id"}),
+    "a17_round_cols": lambda s: relational.round_cols(
+        relational.group_agg(s.items, "item_no", means={"avg_price": "price"}), "avg_price"
+    ),
+    "a19_mixed_mean": lambda s: relational.group_agg(
+        s.items, "item_no", sums={"revenue": "price"}, means={"avg_price": "price"}, distinct={"orders": "order_id"}
+    ),
     "o1_ranked": lambda s: relational.ranked(s.payments, "payment_value", "order_id"),
     "o2_ordered": lambda s: relational.ordered(s.payments, ["payment_value", "order_id"]),
-    "o3_top_k": lambda s: relational.top_k(relational.group_sum(s.items, "order_id", "price"), "price", 15, "order_id"),
-    "o4_top_k_per_group": lambda s: relational.top_k_per_group(s.items, "product_id", "price", 3, ["order_id", "item_no"]),
-    "f1_bround2": lambda s: s.items.select("order_id", "product_id", "item_no", fn.bround2(F.col("price") * 0.333).alias("third")),
-    "f2_round_int": lambda s: s.items.select("order_id", "product_id", "item_no", fn.round_int(F.col("price") * 0.5).alias("half")),
-    "f3_log1p": lambda s: s.items.select("order_id", "product_id", "item_no", F.round(fn.log1p(F.col("price")), 9).alias("log_price")),
-    "f4_at_least": lambda s: s.items.select("order_id", "product_id", "item_no", fn.at_least(F.col("item_no"), 3).alias("at_least_3")),
-    "f5_safe_ratio": lambda s: s.items.select("order_id", "product_id", "item_no", fn.safe_ratio(F.col("price"), F.col("item_no") - 1).alias("ratio")),
-    "f6_to_ts": lambda s: s.orders.select("order_id", fn.to_ts(F.col("order_purchase_timestamp").cast("string")).alias("placed")),
-    "f7_month_key": lambda s: s.orders.select("order_id", fn.month_key(F.col("order_purchase_timestamp")).alias("month")),
-    "f8_contains_any": lambda s: s.questions.select("conv_id", "turn", fn.contains_any(F.col("text"), ["the", "und", "que"]).alias("hit")),
-    "f9_replace_all": lambda s: s.questions.select("conv_id", "turn", fn.replace_all(F.col("text"), [("an", "on"), ("on", "in")]).alias("text")),
-    "f10_lookup": lambda s: s.items.select("order_id", "product_id", "item_no", fn.lookup({1: "first", 2: "second"}, F.col("item_no"), "later").alias("place")),
-    "f11_pct_change": lambda s: s.sales.select("order_id", "product_id", "item_no", fn.pct_change(F.col("cost_price"), F.col("price")).alias("change_pct")),
+    "o3_top_k": lambda s: relational.top_k(
+        relational.group_sum(s.items, "order_id", "price"), "price", 15, "order_id"
+    ),
+    "o4_top_k_per_group": lambda s: relational.top_k_per_group(
+        s.items, "product_id", "price", 3, ["order_id", "item_no"]
+    ),
+}
+
+# Scalar functions (F) over whole tables.
+SCALARS: dict[str, Callable[[Shop], DataFrame]] = {
+    "f1_bround2": lambda s: per_item(s, "third", lambda: fn.bround2(F.col("price") * 0.333)),
+    "f2_round_int": lambda s: per_item(s, "half", lambda: fn.round_int(F.col("price") * 0.5)),
+    "f3_log1p": lambda s: per_item(s, "log_price", lambda: F.round(fn.log1p(F.col("price")), 9)),
+    "f4_at_least": lambda s: per_item(s, "at_least_3", lambda: fn.at_least(F.col("item_no"), 3)),
+    "f5_safe_ratio": lambda s: per_item(s, "ratio", lambda: fn.safe_ratio(F.col("price"), F.col("item_no") - 1)),
+    "f6_to_ts": lambda s: s.orders.select(
+        "order_id", fn.to_ts(F.col("order_purchase_timestamp").cast("string")).alias("placed")
+    ),
+    "f7_month_key": lambda s: s.orders.select("order_id", placed_month()),
+    "f8_contains_any": lambda s: per_question(s, "hit", lambda text: fn.contains_any(text, ["the", "und", "que"])),
+    "f9_replace_all": lambda s: per_question(
+        s, "text", lambda text: fn.replace_all(text, [("an", "on"), ("on", "in")])
+    ),
+    "f10_lookup": lambda s: per_item(
+        s, "place", lambda: fn.lookup({1: "first", 2: "second"}, F.col("item_no"), "later")
+    ),
+    "f11_pct_change": lambda s: s.sales.select(
+        "order_id", "product_id", "item_no", fn.pct_change(F.col("cost_price"), F.col("price")).alias("change_pct")
+    ),
     "f12_keyed_draw": lambda s: s.orders.select("order_id", fn.keyed_draw(F.col("order_id")).alias("draw")),
-    "f13_title": lambda s: s.questions.select("conv_id", "turn", fn.title(F.replace(F.col("text"), F.lit("ß"), F.lit("ss"))).alias("text")),
+    # The two engines disagree on the capital of a leading sharp s, so it is spelled out first.
+    "f13_title": lambda s: per_question(
+        s, "text", lambda text: fn.title(F.replace(text, F.lit("ß"), F.lit("ss")))
+    ),
 }
 
-CATALOGUE = {**REPORTS, **RELATIONS, **GENERIC}
+CATALOGUE = {**REPORTS, **RELATIONS, **PROJECTIONS, **AGGREGATES, **SCALARS}
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -164,10 +164,21 @@ def load_shop(spark: SparkSession, directory: str, fmt: str = "parquet", **optio
 FEATURES = ["product_costs", "campaigns", "campaign_sales_mapping", "sales_features", "customer_segments"]
 
 
-def write_features(shop: Shop, directory: str, fmt: str = "parquet") -> None:
-    """The feature jobs: write costs, campaigns, mapping, sales fact and segments, each one full overwrite."""
-    for name, df in zip(FEATURES, [shop.costs, shop.campaigns, shop.mapping, shop.sales, shop.segments]):
+def write_features(spark: SparkSession, shop: Shop, directory: str, fmt: str = "parquet") -> Shop:
+    """The feature jobs: write costs, campaigns, mapping, sales fact and segments, each one full overwrite. Costs are
+    written first and read back for the fact: of a stored table Spark knows the size, so it can broadcast a small one
+    instead of shuffling the fact to it. Returns the shop on its stored tables."""
+
+    def write(name, df):
         tables.write_table(df, f"{directory.rstrip('/')}/{name}.{fmt}", fmt)
+        return tables.read_table(spark, name, directory, fmt)
+
+    shop = replace(shop, stored_costs=write("product_costs", shop.costs))
+    write("campaigns", shop.campaigns)
+    mapping = write("campaign_sales_mapping", shop.mapping)
+    sales = write("sales_features", shop.sales)
+    segments_ = write("customer_segments", shop.segments)
+    return replace(shop, stored_mapping=mapping, stored_sales=sales, stored_segments=segments_)
 
 
 def with_stored_features(spark: SparkSession, shop: Shop, directory: str, fmt: str = "parquet") -> Shop:

@@ -1,7 +1,6 @@
 """Hand-made rows for the rules that test data alone does not reach."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from marginmill.fixed_values import ADS, FEWER_DISCOUNTS, SMALL_DISCOUNTS, STOP
 from marginmill.operators import campaigns, categories, features, forecast, kpis, pricing, relational, segments, statistics

@@ -61,8 +61,9 @@ def test_profile_and_preview(spark, csv_directory):
 def test_feature_jobs_write_tables_that_give_the_same_reports(spark, csv_directory, tmp_path, fmt):
     shop = load_shop(spark, csv_directory, "csv")
     out = str(tmp_path / "features")
-    write_features(shop, out, fmt)
-    write_features(shop, out, fmt)  # Full overwrite.
+    write_features(spark, shop, out, fmt)
+    again = write_features(spark, shop, out, fmt)  # Full overwrite.
+    assert again.sales.count() == 3 and again.segments.count() == 2
     stored = with_stored_features(spark, shop, out, fmt)
     for name in FEATURES:
         assert tables.read_table(spark, name, out, fmt).count() > 0
