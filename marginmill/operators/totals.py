@@ -3,7 +3,7 @@
 Sold items are summed as soon as possible, by product and whatever else a report groups on, before anything is
 shuffled. Cost is a property of the product, so it is joined to these totals and not to the items: the fact is
 never shuffled on product_id, and a product with a third of all rows is one row per task by then. Money is
-summed as whole cents; sums of sums are decimal, so they can neither overflow nor depend on the order.
+summed as whole cents and sums of sums as decimals, so no result depends on the order of the rows.
 """
 
 from pyspark.sql import Column, DataFrame

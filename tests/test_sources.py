@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marginmill.operators.answers import adhoc_sql
 from marginmill.operators.campaigns import campaign_roi
 from marginmill.operators.categories import category_detail
+from marginmill.operators.features import sales_features
 from marginmill.plans.shop import FEATURES, load_shop, with_stored_features, write_features
 from marginmill.sources import tables
 
@@ -74,6 +75,17 @@ def test_feature_jobs_write_tables_that_give_the_same_reports(spark, csv_directo
     assert "order_items" not in str(stored.campaign_totals.inputFiles())
 
 
+def test_a_small_stored_cost_table_is_broadcast_and_the_fact_not_shuffled(spark, csv_directory, tmp_path):
+    shop = load_shop(spark, csv_directory, "csv")
+    tables.write_table(shop.items, str(tmp_path / "items.parquet"))
+    tables.write_table(shop.costs, str(tmp_path / "product_costs.parquet"))
+    items = spark.read.parquet(str(tmp_path / "items.parquet"))
+    sales = sales_features(items, tables.read_table(spark, "product_costs", str(tmp_path)))
+    plan = sales._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sales.count() == 3
+
+
 def test_catalog_tables(spark):
     try:
         tables.save_table(spark.range(3), "numbers")
