@@ -17,7 +17,7 @@ from ..fixed_values import (
     TEST,
     UNKNOWN,
 )
-from ..functions.columns import recode
+from ..functions.columns import cents, money, recode
 from .joins import with_campaign, with_category
 from .relational import distinct_values, filter_opt, ranked, top_k, top_k_per_group, with_keys
 from .totals import avg_margin_pct, items_count, profit, revenue, roll_up
@@ -159,8 +159,16 @@ def marketing_insights(totals: DataFrame) -> DataFrame:
 
 
 def with_benchmark(groups: DataFrame, cols=("revenue", "profit")) -> DataFrame:
-    """Mean of the group totals next to every group, to the cent fraction a mean of exact sums allows."""
-    return groups.withColumns({f"mean_{c}": F.round(F.avg(c).over(every_category()), 4) for c in cols})
+    """Mean of the group totals next to every group, and on which side of it the group lies: 1, 0 or -1, compared in
+    whole cents so that a group equal to the mean is seen as equal."""
+    benchmarked = {}
+    for c in cols:
+        own = cents(F.col(c)).cast("decimal(28,0)")
+        whole = F.sum(own).over(every_category())
+        n = F.count(c).over(every_category())
+        benchmarked[f"mean_{c}"] = F.try_divide(money(whole.cast("decimal(36,0)")), n)
+        benchmarked[f"side_{c}"] = F.signum((own * n - whole).cast("double")).cast("int")
+    return groups.withColumns(benchmarked)
 
 
 def _category_summary(totals: DataFrame) -> DataFrame:
@@ -174,12 +182,11 @@ def _category_summary(totals: DataFrame) -> DataFrame:
 
 def promotion_recommendations(totals: DataFrame, k: int | None = 15) -> DataFrame:
     """Strict comparison with the mean category; a category equal to a mean is to be tested."""
-    r, p = F.col("revenue"), F.col("profit")
-    mean_r, mean_p = F.col("mean_revenue"), F.col("mean_profit")
+    sales, gain = F.col("side_revenue"), F.col("side_profit")
     rule = (
-        F.when((r > mean_r) & (p > mean_p), GROW)
-        .when((r > mean_r) & (p < mean_p), FIX_MARGIN)
-        .when((r < mean_r) & (p < mean_p), REVIEW)
+        F.when((sales > 0) & (gain > 0), GROW)
+        .when((sales > 0) & (gain < 0), FIX_MARGIN)
+        .when((sales < 0) & (gain < 0), REVIEW)
         .otherwise(TEST)
     )
     rows = with_benchmark(_category_summary(totals)).select(
@@ -190,12 +197,11 @@ def promotion_recommendations(totals: DataFrame, k: int | None = 15) -> DataFram
 
 def strategy_advice(totals: DataFrame, action: str | None = None) -> DataFrame:
     """As the strict rule, but a category equal to a mean counts as not above it; unknown is left out first."""
-    r, p = F.col("revenue"), F.col("profit")
-    mean_r, mean_p = F.col("mean_revenue"), F.col("mean_profit")
+    sales, gain = F.col("side_revenue"), F.col("side_profit")
     rule = (
-        F.when((r > mean_r) & (p > mean_p), ADS)
-        .when((r > mean_r) & (p <= mean_p), FEWER_DISCOUNTS)
-        .when((r <= mean_r) & (p <= mean_p), STOP)
+        F.when((sales > 0) & (gain > 0), ADS)
+        .when((sales > 0) & (gain <= 0), FEWER_DISCOUNTS)
+        .when((sales <= 0) & (gain <= 0), STOP)
         .otherwise(SMALL_DISCOUNTS)
     )
     rows = with_benchmark(_category_summary(known(totals))).select(

@@ -47,6 +47,11 @@ def money_sum(col: str):
     return F.coalesce(money(F.sum(cents(F.col(col)))), F.lit(0.0))
 
 
+def money_mean(col: str):
+    """Mean of a money column from its exact sum."""
+    return F.try_divide(money(F.sum(cents(F.col(col)))), F.count(col))
+
+
 def total(df: DataFrame, col: str) -> DataFrame:
     return df.agg(money_sum(col).alias(col))
 
@@ -64,10 +69,14 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"))
 
 
-def group_agg(df: DataFrame, keys, *, sums=None, means=None, counts=None, distinct=None) -> DataFrame:
-    """All measures of a grouping in one pass. Each argument maps an output name to an input column."""
+def group_agg(
+    df: DataFrame, keys, *, sums=None, means=None, money_means=None, counts=None, distinct=None
+) -> DataFrame:
+    """All measures of a grouping in one pass. Each argument maps an output name to an input column; sums and
+    money_means are exact, for money columns, and means take any column."""
     measures = [money_sum(c).alias(n) for n, c in (sums or {}).items()]
     measures += [F.round(F.avg(c), 6).alias(n) for n, c in (means or {}).items()]
+    measures += [money_mean(c).alias(n) for n, c in (money_means or {}).items()]
     measures += [F.count(c).alias(n) for n, c in (counts or {}).items()]
     measures += [F.count_distinct(F.col(c)).alias(n) for n, c in (distinct or {}).items()]
     return with_keys(df, keys).groupBy(*as_list(keys)).agg(*measures)
@@ -89,7 +98,7 @@ def ratio_of_sums(df: DataFrame, keys, num: str, den: str, name: str) -> DataFra
 
 def benchmark(groups: DataFrame, cols) -> DataFrame:
     """Mean over group totals, one row."""
-    return groups.agg(*[F.round(F.avg(c), 6).alias(c) for c in as_list(cols)])
+    return groups.agg(*[money_mean(c).alias(c) for c in as_list(cols)])
 
 
 def round_cols(df: DataFrame, cols, digits: int = 2) -> DataFrame:

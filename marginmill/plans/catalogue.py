@@ -146,7 +146,9 @@ RELATIONS: dict[str, Callable[[Shop], DataFrame]] = {
     "j10_customers_with_spend": lambda s: features.customers_with_spend(
         s.customers, features.customer_spend(s.items, s.orders, "price")
     ),
-    "j12_with_benchmark": lambda s: categories.with_benchmark(categories.category_performance(s.category_totals)),
+    "j12_with_benchmark": lambda s: categories.with_benchmark(
+        categories.category_performance(s.category_totals)
+    ).drop("side_revenue", "side_profit"),
     "j13_sales_wide": lambda s: s.wide,
 }
 
@@ -221,7 +223,7 @@ AGGREGATES: dict[str, Callable[[Shop], DataFrame]] = {
     "a8_group_two_keys": lambda s: relational.group_agg(s.items, ["product_id", "item_no"], sums={"revenue": "price"}),
     "a9_group_sum": lambda s: relational.group_sum(s.items, "order_id", "price"),
     "a10_named_mean": lambda s: relational.group_agg(
-        joins.with_orders(s.items, s.orders), "customer_id", means={"avg_spend": "price"}
+        joins.with_orders(s.items, s.orders), "customer_id", money_means={"avg_spend": "price"}
     ),
     "a11_median": lambda s: statistics.median(s.items, "price"),
     "a12_arg_max": lambda s: relational.arg_max(
@@ -236,10 +238,10 @@ AGGREGATES: dict[str, Callable[[Shop], DataFrame]] = {
     "a15_describe": lambda s: statistics.describe(s.payments, ["payment_value"]),
     "a16_value_counts": lambda s: relational.value_counts(s.items, "product_id"),
     "a17_round_cols": lambda s: relational.round_cols(
-        relational.group_agg(s.items, "item_no", means={"avg_price": "price"}), "avg_price"
+        relational.group_agg(s.items, "item_no", money_means={"avg_price": "price"}), "avg_price"
     ),
     "a19_mixed_mean": lambda s: relational.group_agg(
-        s.items, "item_no", sums={"revenue": "price"}, means={"avg_price": "price"}, distinct={"orders": "order_id"}
+        s.items, "item_no", sums={"revenue": "price"}, money_means={"avg_price": "price"}, distinct={"orders": "order_id"}
     ),
     "o1_ranked": lambda s: relational.ranked(s.payments, "payment_value", "order_id"),
     "o2_ordered": lambda s: relational.ordered(s.payments, ["payment_value", "order_id"]),

@@ -115,6 +115,7 @@ FORMULAS = {
     "{cost}": "coalesce(sum(cost_price::DECIMAL(18,2))::DOUBLE, 0)",
     "{margin}": "round(avg(profit_margin_pct), 6)",
     "{price}": "coalesce(sum(price::DECIMAL(18,2))::DOUBLE, 0)",
+    "{mean}": "sum(price::DECIMAL(18,2))::DOUBLE / count(price)",
     "{what}": "order_id, product_id, item_no",
 }
 
@@ -303,7 +304,8 @@ QUERIES = {
     "j10_customers_with_spend": """SELECT customer_id, customer_unique_id, coalesce(avg_spend, 0) AS avg_spend
         FROM cust LEFT JOIN spend USING (customer_id)""",
     "j12_with_benchmark": """SELECT cat.*, mean_revenue, mean_profit FROM cat,
-        (SELECT round(avg(revenue), 4) AS mean_revenue, round(avg(profit), 4) AS mean_profit FROM cat)""",
+        (SELECT sum(revenue::DECIMAL(36,2))::DOUBLE / count(*) AS mean_revenue,
+          sum(profit::DECIMAL(36,2))::DOUBLE / count(*) AS mean_profit FROM cat)""",
     "j13_sales_wide": """SELECT {what}, price, cost_price, revenue, gross_profit, profit_margin_pct, category_kept AS category,
         customer_id, placed AS order_purchase_timestamp, plain_name AS customer_segment, campaign_id, campaign_name, discount_pct
         FROM seg_sales LEFT JOIN mapping USING (order_id) LEFT JOIN camp USING (campaign_id)""",
@@ -335,15 +337,16 @@ QUERIES = {
         count(order_id) AS items FROM sales GROUP BY 1""",
     "a8_group_two_keys": "SELECT product_id, item_no, {price} AS revenue FROM items GROUP BY 1, 2",
     "a9_group_sum": "SELECT order_id, {price} AS price FROM items GROUP BY 1",
-    "a10_named_mean": """SELECT customer_id, round(avg(price), 6) AS avg_spend FROM items JOIN ord USING (order_id) GROUP BY 1""",
+    "a10_named_mean": """SELECT customer_id, {mean} AS avg_spend FROM items JOIN ord USING (order_id) GROUP BY 1""",
     "a11_median": "SELECT round(median(price), 6) AS price FROM items",
     "a12_arg_max": """SELECT product_id, {price} AS price FROM items GROUP BY 1 ORDER BY price DESC, product_id LIMIT 1""",
     "a13_ratio_of_sums": "SELECT item_no, {profit} / {revenue} * 100 AS margin_pct FROM sales GROUP BY 1",
-    "a14_benchmark": "SELECT round(avg(revenue), 6) AS revenue, round(avg(profit), 6) AS profit FROM cat",
+    "a14_benchmark": """SELECT sum(revenue::DECIMAL(36,2))::DOUBLE / count(*) AS revenue,
+        sum(profit::DECIMAL(36,2))::DOUBLE / count(*) AS profit FROM cat""",
     "a15_describe": _summary("pay", ["payment_value"]),
     "a16_value_counts": "SELECT product_id, count(*) AS rows FROM items GROUP BY 1",
-    "a17_round_cols": "SELECT item_no, round(avg(price), 2) AS avg_price FROM items GROUP BY 1",
-    "a19_mixed_mean": """SELECT item_no, {price} AS revenue, round(avg(price), 6) AS avg_price,
+    "a17_round_cols": "SELECT item_no, round_even({mean} * 100, 0) / 100 AS avg_price FROM items GROUP BY 1",
+    "a19_mixed_mean": """SELECT item_no, {price} AS revenue, {mean} AS avg_price,
         count(DISTINCT order_id) AS orders FROM items GROUP BY 1""",
     "o1_ranked": "SELECT * FROM pay ORDER BY payment_value DESC, order_id",
     "o2_ordered": "SELECT * FROM pay ORDER BY payment_value, order_id",
