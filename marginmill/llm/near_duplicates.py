@@ -1,19 +1,18 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures.
 
-A signature has VALUES minima of 16 bits each. Two documents whose signatures differ in at most MOST_APART values
-are candidates; their links are confirmed on the full shingle sets. MOST_APART = 31 of 64 leaves a pair of
-similarity 0.75, which differs in 16 values on average, 4.3 standard deviations (about 1 in 50,000 such pairs is
-missed, at 0.8 fewer than 1 in 10 million).
-
-The join is complete for that distance by the pigeonhole principle: of the 16 chunks of four values, one differs in
-at most one value, as 31 < 16 * 2. Chunks that may have one error are matched by enumerating the place of the error:
-four keys for each chunk, each without one of its values. Documents with equal shingle sets are one from the start.
-
-Work stays linear in large groups. First every document of a bucket (of a key) is compared with the first one of it
-only; confirmed links give components. Then, among the buckets that still hold several components, pairs from
-different components under the distance are confirmed as well, so that no link between components is lost; links
-inside of a component would not change it. A hot bucket is a hot key of plain joins, which adaptive execution
-splits. Links, components and signatures stay in tables.
+A signature has 16 bits of each of VALUES minima. The join finds all pairs whose signatures differ in at most 31 of 64
+values, by the pigeonhole principle: of the 16 chunks of four values, one differs in at most one value, as 31 < 16 * 2.
+Chunks that may have one error are matched by enumerating the place of the error: four keys for each chunk, each without one
+of its values. A pair of similarity 0.75 differs in 16 values on average; 31 is 4.3 standard deviations more, and more
+distant pairs that share a key by chance are not turned away. Links are confirmed on the full shingle sets. Before that, a
+parity bitmap of each set (PARITY bits, each flipped by the shingles that fall on it) rules out most pairs without
+loss: two bitmaps differ in at most as many bits as the sets have shingles apart.
+
+Work stays linear in large groups. Documents with equal shingle sets are one from the start. Then every document of a
+bucket (of a key) is compared with the first one of it only; confirmed links give components. Then, among the buckets that
+still hold several components, pairs from different components are confirmed as well, each at the first key it shares, so
+that no link between components is lost; links inside of a component would not change it. A hot bucket is a hot key of
+plain joins, which adaptive execution splits. Links, components and signatures stay in tables.
 """
 
 import numpy as np
@@ -29,12 +28,13 @@ SHINGLE_WORDS = 5
 VALUES = 64
 CHUNK = 4
 CHUNKS = VALUES // CHUNK
-MOST_APART = 2 * CHUNKS - 1
+PARITY = 1024
 #: Similarity of at least PART / WHOLE links two documents.
 PART, WHOLE = 75, 100
 
-_LANES = [0xFFFF << (16 * i) for i in range(CHUNK)]
-_COLUMNS = [f"c{i}" for i in range(CHUNKS)]
+_CHUNKS = [f"c{i}" for i in range(CHUNKS)]
+_BITS = [f"b{i}" for i in range(PARITY // 64)]
+_COLUMNS = _CHUNKS + _BITS
 
 
 def _signed(x: int) -> int:
@@ -42,29 +42,36 @@ def _signed(x: int) -> int:
 
 
 def _sketches(texts: pa.Array, size: int) -> pa.Array:
-    """n (distinct shingles), a and b (together 128 bits that identify the set), and the chunks of the signature."""
+    """n (distinct shingles), a and b (together 128 bits that identify the set), the signature and the parity bitmap."""
     seeds = words.mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64), 0x2545F4914F6CDD1D)
     n = np.zeros(len(texts), np.int64)
     identity = np.zeros((2, len(texts)), np.uint64)
-    signatures = np.zeros((len(texts), VALUES), np.uint64)
-    for block in words.word_blocks(texts, words.byte_table(words.SPACES)):
+    values = np.zeros((len(texts), VALUES), np.uint64)
+    parity = np.zeros((len(texts), PARITY), np.uint8)
+    # Small blocks: the hashes are gone through once for each minimum.
+    for block in words.word_blocks(texts, words.byte_table(words.SPACES), 1 << 17):
         hashes, bounds = words.shingle_hashes(block, size)
         rows = np.flatnonzero(np.diff(bounds))
         if not len(rows):
             continue
+        at, to = bounds[rows], block.first_row + rows
+        turned = np.empty_like(hashes)
         for k in range(VALUES):
-            least = np.minimum.reduceat(hashes * (seeds[2 * k] | np.uint64(1)) + seeds[2 * k + 1], bounds[rows])
-            signatures[block.first_row + rows, k] = words.mix(least) & np.uint64(0xFFFF)
+            np.multiply(hashes, seeds[2 * k] | np.uint64(1), out=turned)
+            turned += seeds[2 * k + 1]
+            values[to, k] = words.mix(np.minimum.reduceat(turned, at)) & np.uint64(0xFFFF)
         for row in rows:
             own = np.unique(hashes[bounds[row] : bounds[row + 1]])
-            n[block.first_row + row] = len(own)
-            identity[0, block.first_row + row] = words.mix(own, 17).sum()
-            identity[1, block.first_row + row] = words.mix(own, 71).sum()
+            place = block.first_row + row
+            n[place] = len(own)
+            identity[0, place] = words.mix(own, 17).sum()
+            identity[1, place] = words.mix(own, 71).sum()
+            parity[place] = np.bincount((own & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
     shifts = np.arange(CHUNK, dtype=np.uint64) * np.uint64(16)
-    chunks = (signatures.reshape(-1, CHUNKS, CHUNK) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
-    columns = [pa.array(n), *(pa.array(x.view(np.int64)) for x in identity)]
-    columns += [pa.array(np.ascontiguousarray(chunks[:, i])) for i in range(CHUNKS)]
-    return pa.StructArray.from_arrays(columns, ["n", "a", "b", *_COLUMNS])
+    chunks = (values.reshape(-1, CHUNKS, CHUNK) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
+    packed = np.packbits(parity, axis=1).view(np.int64).reshape(-1, PARITY // 64)
+    columns = [n, *identity.view(np.int64), *chunks.T, *packed.T]
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["n", "a", "b", *_COLUMNS])
 
 
 def _sets(texts: pa.Array, size: int) -> pa.Array:
@@ -100,7 +107,7 @@ def _set_udf(size: int):
 def _keys():
     """The 64 keys of a signature: a chunk without one of its values, and which chunk and value that is."""
     keys = []
-    for i, c in enumerate(_COLUMNS):
+    for i, c in enumerate(_CHUNKS):
         for lane in range(CHUNK):
             upper = F.col(c).bitwiseAND(F.lit(_signed(~((1 << 16 * (lane + 1)) - 1) & (1 << 64) - 1)))
             rest = F.shiftrightunsigned(upper, 16)
@@ -110,39 +117,43 @@ def _keys():
     return F.explode(F.array(*keys))
 
 
-def _apart(left: str, right: str):
-    """In how many values two signatures differ."""
-    total = F.lit(0)
-    high = _signed(0x8000800080008000)
-    for c in _COLUMNS:
-        x = F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))
-        # The top bit of each lane is set if any bit of the lane is: adding 0x7FFF carries into it, within the lane.
-        carried = _carry(x)
-        total = total + F.bit_count(carried.bitwiseOR(x).bitwiseAND(F.lit(high)))
-    return total
+def _may_be_similar(x: str, y: str):
+    """Whether sizes and parity bitmaps leave two documents a chance: sets as similar as that differ in at most
+    (WHOLE - PART) / (WHOLE + PART) of the sum of their sizes."""
+    apart = F.lit(0)
+    for c in _BITS:
+        apart = apart + F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (F.least(n, m) * WHOLE >= F.greatest(n, m) * PART) & (apart * (WHOLE + PART) <= (n + m) * (WHOLE - PART))
 
 
-def _carry(x):
-    """(x & 0x7FFF) + 0x7FFF in each lane; halves are added apart, so that the sum stays within a signed long."""
-    half = 0x7FFF7FFF
-    right = x.bitwiseAND(F.lit(half)) + F.lit(half)
-    left = F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(half)) + F.lit(half)
-    return F.shiftleft(left, 32).bitwiseOR(right)
+def _first_shared(left: str, right: str):
+    """The number of the first key that two signatures share."""
+    half, places = 0x7FFF7FFF, 0x0001000100010001
+    firsts = []
+    for i, c in enumerate(_CHUNKS):
+        x = F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))
+        # The top bit of each 16-bit lane is set if any bit of it is: adding 0x7FFF carries into it, within the lane.
+        low = x.bitwiseAND(F.lit(half)) + F.lit(half)
+        high = F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(half)) + F.lit(half)
+        differ = F.shiftleft(high, 32).bitwiseOR(low).bitwiseOR(x)
+        differ = F.shiftrightunsigned(differ, 15).bitwiseAND(F.lit(places))
+        # One error is in the lane with so many lanes below; without an error the key without lane 0 is the first.
+        lane = F.bit_count((differ - F.lit(1)).bitwiseAND(F.lit(places))).bitwiseAND(F.lit(3))
+        firsts.append(F.when(F.bit_count(differ) <= 1, lane + F.lit(CHUNK * i)))
+    return F.least(*firsts)
 
 
-def _similar_sizes(left, right):
-    return F.least(left, right) * WHOLE >= F.greatest(left, right) * PART
+def _similar(x, y):
+    """Whether two full shingle sets are similar enough."""
+    common = F.size(F.array_intersect(x, y)).cast("long")
+    return common * WHOLE >= (F.size(x) + F.size(y) - common) * PART
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, size: int) -> DataFrame:
-    """Of the pairs (u, v) those whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = documents.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", _set_udf(size)("text").alias("s"))
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("u"), F.col("s").alias("x"))
     right = sets.select(F.col("id").alias("v"), F.col("s").alias("y"))
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    union = F.size("x") + F.size("y") - common
-    return pairs.join(left, "u").join(right, "v").filter(common * WHOLE >= union * PART).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").filter(_similar(F.col("x"), F.col("y"))).select("u", "v")
 
 
 def near_duplicates(
@@ -173,10 +184,12 @@ def near_duplicates(
     near = (
         first_pairs.join(signed.alias("x"), F.col("u") == F.col("x.id"))
         .join(signed.alias("y"), F.col("v") == F.col("y.id"))
-        .filter(_similar_sizes(F.col("x.n"), F.col("y.n")) & (_apart("x", "y") <= MOST_APART))
+        .filter(_may_be_similar("x", "y"))
         .select("u", "v")
     )
-    links = stored(_confirmed(stored(near, "pairs"), documents, size), "links")
+    texts = documents.join(shared.select("id").distinct(), "id", "left_semi")
+    sets = stored(texts.select("id", _set_udf(size)("text").alias("s")), "sets")
+    links = stored(_confirmed(near, sets), "links")
     grouped = stored(components(links), "components")
 
     # What is left: pairs from different components, in the buckets that hold more than one.
@@ -184,7 +197,7 @@ def near_duplicates(
         "key", "id", "first", F.coalesce("component", "id").alias("component")
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_rows = placed.join(mixed.filter("low <> high").select("key"), "key").filter("id <> first")
+    open_rows = placed.filter("id <> first").join(mixed.filter("low <> high").select("key"), "key")
     open_rows = stored(open_rows.join(signed, "id").select("key", "component", *signed.columns), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     between = x.join(
@@ -192,10 +205,10 @@ def near_duplicates(
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") != F.col("y.component"))
         & (F.col("x.id") > F.col("y.id"))
-        & _similar_sizes(F.col("x.n"), F.col("y.n"))
-        & (_apart("x", "y") <= MOST_APART),
+        & _may_be_similar("x", "y")
+        & (_first_shared("x", "y") == F.col("x.key").bitwiseAND(F.lit(63))),
     ).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
-    more = stored(_confirmed(stored(between.distinct(), "pairs"), documents, size), "links")
+    more = stored(_confirmed(stored(between, "pairs"), sets), "links")
     grouped = components(links.union(more))
 
     # A class belongs to the component of its smallest document; ids that stand for several texts join their classes.
