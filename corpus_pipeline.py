@@ -1,14 +1,47 @@
 """A corpus from raw documents: stages that each work on all that the one before kept."""
 
+import public_tokenizers
+
+from marginmill.llm.decontamination import without_contamination
+from marginmill.llm.languages import with_language
 from marginmill.llm.near_duplicates import without_near_duplicates
+from marginmill.llm.packing import pack
+from marginmill.llm.pseudonyms import pseudonymise
 from marginmill.llm.shared import stored
 
 
+def languages(spark, docs, sf_dir):
+    """Documents in a language that can be told; the others go."""
+    return with_language(docs)
+
+
 def near_duplicates(spark, docs, sf_dir):
+    """One document of each near-duplicate group."""
     return without_near_duplicates(docs)
 
 
-STAGES = [("near duplicates", near_duplicates)]
+def decontamination(spark, docs, sf_dir):
+    """Documents without the test phrases of the benchmark: these are cut from their texts."""
+    return without_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pseudonyms(spark, docs, sf_dir):
+    """Documents with pseudonyms in place of personal data."""
+    return pseudonymise(docs)
+
+
+def packing(spark, docs, sf_dir):
+    """The pieces of all documents, by sequence."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("languages", languages),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pseudonyms", pseudonyms),
+    ("packing", packing),
+]
 
 #: SQL cannot express language models, signatures, keyed permutations and packing.
 ORACLE_SQL = None

@@ -1,15 +1,41 @@
 """The queries of this subpackage, by name; each applies its operator to its whole table."""
 
+import public_tokenizers
+
+from .decontamination import find_contamination
+from .languages import identify_languages
 from .near_duplicates import near_duplicates
+from .packing import pack
+from .pseudonyms import pseudonym_report
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark, directory, name):
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op1_pseudonyms(spark, directory):
+    return pseudonym_report(table(spark, directory, "documents"))
+
+
 def op2_near_duplicates(spark, directory):
     return near_duplicates(table(spark, directory, "documents"))
 
 
+def op3_packing(spark, directory):
+    return pack(table(spark, directory, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op5_languages(spark, directory):
+    return identify_languages(table(spark, directory, "documents"))
+
+
+def op9_decontamination(spark, directory):
+    return find_contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 def registered():
-    return {f.__name__: f for f in (op2_near_duplicates,)}
+    return {
+        f.__name__: f for f in (op1_pseudonyms, op2_near_duplicates, op3_packing, op5_languages, op9_decontamination)
+    }

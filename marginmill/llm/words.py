@@ -60,7 +60,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the offsets of its rows in them; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(texts):
         offsets = np.zeros(1, np.int64)
@@ -90,7 +90,14 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_blocks(texts: pa.Array, table: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[Block]:
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARKS = np.zeros(256, bool)
+_MARKS[[b for b in PUNCTUATION if b not in SPACES]] = True
+
+
+def word_blocks(texts: pa.Array, table: np.ndarray, most: int = BLOCK_BYTES, cut_marks: bool = False) -> Iterator[Block]:
+    """The words of all rows. With `cut_marks` a word also ends where an ASCII mark follows an ASCII letter."""
     data, offsets = text_bytes(texts)
     for first, end in row_blocks(offsets, most):
         own = data[offsets[first] : offsets[end]]
@@ -100,6 +107,8 @@ def word_blocks(texts: pa.Array, table: np.ndarray, most: int = BLOCK_BYTES) ->
         n = len(own)
         breaks = np.zeros(n + 1, bool)
         breaks[at] = True
+        if cut_marks:
+            breaks[1:n] |= _LETTERS[own[:-1]] & _MARKS[own[1:]]
         before = np.concatenate(([False], inside[:-1])) & ~breaks[:-1] if n else inside
         after = np.concatenate((inside[1:], [False])) & ~breaks[1:] if n else inside
         starts = np.flatnonzero(inside & ~before)
@@ -127,7 +136,7 @@ def shingle_hashes(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(bounds[-1], np.uint64)
     long_rows = np.where(counts >= size, shingles, 0)
     shift = np.repeat(block.bounds[:-1] - bounds[:-1], long_rows)
-    places = np.repeat(bounds[:-1], long_rows) + _count_up(long_rows)
+    places = np.repeat(bounds[:-1], long_rows) + count_up(long_rows)
     out[places] = found[places + shift]
     for row in np.flatnonzero((counts > 0) & (counts < size)):
         words = block.hashes[block.bounds[row] : block.bounds[row + 1]]
@@ -135,7 +144,7 @@ def shingle_hashes(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _count_up(counts: np.ndarray) -> np.ndarray:
+def count_up(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... for each count."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
