@@ -2,11 +2,16 @@
 
 import public_tokenizers
 
+from .archives import page_records
 from .decontamination import find_contamination
+from .fingerprints import edited_fingerprints
 from .languages import identify_languages
+from .licences import scan_licences
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .pseudonyms import pseudonym_report
+from .quality import score_quality
+from .quotations import link_quotations
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -27,15 +32,47 @@ def op3_packing(spark, directory):
     return pack(table(spark, directory, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_licences(spark, directory):
+    return scan_licences(table(spark, directory, "documents"))
+
+
 def op5_languages(spark, directory):
     return identify_languages(table(spark, directory, "documents"))
 
 
+def op6_archives(spark, directory):
+    return page_records(table(spark, directory, "pages"))
+
+
+def op7_quotations(spark, directory):
+    return link_quotations(table(spark, directory, "conversations"))
+
+
+def op8_quality(spark, directory):
+    return score_quality(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
 def op9_decontamination(spark, directory):
     return find_contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+def op10_fingerprints(spark, directory):
+    return edited_fingerprints(table(spark, directory, "documents"))
+
+
+QUERIES = [
+    op1_pseudonyms,
+    op2_near_duplicates,
+    op3_packing,
+    op4_licences,
+    op5_languages,
+    op6_archives,
+    op7_quotations,
+    op8_quality,
+    op9_decontamination,
+    op10_fingerprints,
+]
+
+
 def registered():
-    return {
-        f.__name__: f for f in (op1_pseudonyms, op2_near_duplicates, op3_packing, op5_languages, op9_decontamination)
-    }
+    return {f.__name__: f for f in QUERIES}

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
@@ -26,3 +27,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows in order with a number `row`, and the ends of each task. Rows are range-partitioned and sorted there;
+    a number is the task (above 33 bits) and the place in it, so neighbours have neighbouring numbers except from one task
+    to the next: `ends` has task, first and last, one row for each task."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = stored(ordered.withColumn("row", F.monotonically_increasing_id()), name)
+    ends = ordered.groupBy(F.shiftright("row", 33).alias("task")).agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    return ordered, ends
