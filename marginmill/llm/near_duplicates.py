@@ -10,7 +10,7 @@ loss: two bitmaps differ in at most as many bits as the sets have shingles apart
 
 Work stays linear in large groups. Documents with equal shingle sets are one from the start. Then every document of a
 bucket (of a key) is compared with the first one of it only; confirmed links give components. Then, among the buckets that
-still hold several components, pairs from different components are confirmed as well, each at the first key it shares, so
+still hold several components, pairs from different components are confirmed as well, so
 that no link between components is lost; links inside of a component would not change it. A hot bucket is a hot key of
 plain joins, which adaptive execution splits. Links, components and signatures stay in tables.
 """
@@ -127,23 +127,6 @@ def _may_be_similar(x: str, y: str):
     return (F.least(n, m) * WHOLE >= F.greatest(n, m) * PART) & (apart * (WHOLE + PART) <= (n + m) * (WHOLE - PART))
 
 
-def _first_shared(left: str, right: str):
-    """The number of the first key that two signatures share."""
-    half, places = 0x7FFF7FFF, 0x0001000100010001
-    firsts = []
-    for i, c in enumerate(_CHUNKS):
-        x = F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))
-        # The top bit of each 16-bit lane is set if any bit of it is: adding 0x7FFF carries into it, within the lane.
-        low = x.bitwiseAND(F.lit(half)) + F.lit(half)
-        high = F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(half)) + F.lit(half)
-        differ = F.shiftleft(high, 32).bitwiseOR(low).bitwiseOR(x)
-        differ = F.shiftrightunsigned(differ, 15).bitwiseAND(F.lit(places))
-        # One error is in the lane with so many lanes below; without an error the key without lane 0 is the first.
-        lane = F.bit_count((differ - F.lit(1)).bitwiseAND(F.lit(places))).bitwiseAND(F.lit(3))
-        firsts.append(F.when(F.bit_count(differ) <= 1, lane + F.lit(CHUNK * i)))
-    return F.least(*firsts)
-
-
 def _similar(x, y):
     """Whether two full shingle sets are similar enough."""
     common = F.size(F.array_intersect(x, y)).cast("long")
@@ -205,10 +188,9 @@ def near_duplicates(
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") != F.col("y.component"))
         & (F.col("x.id") > F.col("y.id"))
-        & _may_be_similar("x", "y")
-        & (_first_shared("x", "y") == F.col("x.key").bitwiseAND(F.lit(63))),
+        & _may_be_similar("x", "y"),
     ).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
-    more = stored(_confirmed(stored(between, "pairs"), sets), "links")
+    more = stored(_confirmed(stored(between.distinct(), "pairs"), sets), "links")
     grouped = components(links.union(more))
 
     # A class belongs to the component of its smallest document; ids that stand for several texts join their classes.
