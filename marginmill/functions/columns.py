@@ -100,8 +100,9 @@ def draw_fraction(key, low, width):
 
 
 def draw_choice(key, values):
-    position = F.pmod(keyed_draw(key), F.lit(len(values))).cast("int") + 1
-    return F.element_at(F.array(*[F.lit(v) for v in values]), position)
+    """One of the values, a list or an array column."""
+    choices = values if isinstance(values, Column) else F.array(*[F.lit(v) for v in values])
+    return F.element_at(choices, F.pmod(keyed_draw(key), F.size(choices)).cast("int") + 1)
 
 
 def percent_label(col):
@@ -109,14 +110,32 @@ def percent_label(col):
 
 
 def title(col):
-    """Capital at the start of every run of letters, small letters after it."""
+    """Capital at the start of every run of letters, small letters after it; a leading sharp s, which has no capital, becomes
+    Ss."""
     runs = F.regexp_extract_all(col, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")
+    first = lambda run: F.when(F.substring(run, 1, 1) == "ß", "Ss").otherwise(F.upper(F.substring(run, 1, 1)))
+    return F.array_join(F.transform(runs, lambda run: F.concat(first(run), F.lower(F.substring(run, 2, 1 << 30)))), "")
+
+
+def whole_units(col, digits):
+    """A number as a whole count of 10 ** -digits: sums of these are exact, order-free and as cheap as double sums. A
+    value that has more digits than that, or is no number, is an error and not rounded."""
+    scaled = col.cast("double") * F.lit(float(10**digits))
+    whole = F.rint(scaled)
+    # What is left of a double after scaling is far below this.
+    finer = F.isnan(scaled) | (F.abs(scaled - whole) > F.greatest(F.lit(0.001), F.abs(scaled) * 1e-12))
+    text = F.concat(F.lit(f"more than {digits} decimals: "), col.cast("string"))
+    return F.when(finer, F.raise_error(text).cast("bigint")).otherwise(whole.cast("bigint"))
+
+
+def from_units(col, digits):
+    """Whole counts of 10 ** -digits back to the number, rounded once."""
+    return (col * F.expr(f"{10.0**-digits:.{digits}f}BD")).cast("double")
 
 
 def cents(col):
-    """Money as whole cents: sums are exact, order-free and as cheap as double sums."""
-    return F.rint(col * F.lit(100.0)).cast("bigint")
+    """Money as whole cents."""
+    return whole_units(col, 2)
 
 
 def money(col):

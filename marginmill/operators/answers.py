@@ -1,5 +1,8 @@
 """Answers to questions: the fixed reports by topic, ad-hoc SQL, and tagging of question texts."""
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +33,42 @@ def answer_kpis(summary: DataFrame) -> DataFrame:
 
 
 def plain_sql(text: str) -> str:
+    """The text without code fences around it; what stands inside of it stays."""
+    text = text.strip()
     for fence in CODE_FENCES:
-        text = text.replace(fence, "")
-    return text.strip().rstrip(";")
-
-
-def adhoc_sql(spark: SparkSession, text: str, limit: int = 20) -> DataFrame:
-    """First rows of a SELECT over the registered views. Only a query can stand as a derived table, so Spark itself
-    rejects any other statement before running it."""
-    return spark.sql(f"SELECT * FROM (\n{plain_sql(text)}\n) AS answer LIMIT {int(limit)}")
+        text = text.removeprefix(fence)
+    return text.removesuffix(CODE_FENCES[-1]).strip().rstrip(";")
+
+
+#: Functions that run methods of the engine's own process.
+REFLECTIVE = {"reflect", "java_method", "try_reflect"}
+
+
+def adhoc_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None, limit: int = 20) -> DataFrame:
+    """First rows of one query over the given tables, and nothing else.
+
+    Spark's parser must take the text alone for a query, so it can neither be another statement nor step out of the place it
+    is put in. It may name the given tables and its own common table expressions, and call no reflective function. The
+    tables are views of this session under names of their own, only while the query is analysed.
+    """
+    tables = tables or {}
+    query = plain_sql(text)
+    plan = spark._jsparkSession.sessionState().sqlParser().parseQuery(query).treeString()
+    named = set(re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan))
+    own = {name.lower() for name in re.findall(r"(?i)(?:\bwith|,)\s+`?(\w+)`?\s*(?:\([^()]*\)\s*)?as\s*\(", query)}
+    if unknown := {n for n in named if n.lower() not in own | {t.lower() for t in tables}}:
+        raise ValueError(f"not one of the tables: {', '.join(sorted(unknown))}")
+    if called := REFLECTIVE & {f.lower() for f in re.findall(r"'(?:\w+\.)*(\w+)\(", plan)}:
+        raise ValueError(f"not allowed: {', '.join(sorted(called))}")
+    views = {name: f"adhoc_{uuid.uuid4().hex}" for name in tables}
+    try:
+        for name, view in views.items():
+            tables[name].createOrReplaceTempView(view)
+        given = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql(f"{'WITH ' + given if given else ''} SELECT * FROM (\n{query}\n) AS answer LIMIT {int(limit)}")
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def tag_intents(questions: DataFrame, col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import CAMPAIGN_IDS
-from ..functions.columns import draw_choice, ratio_pct
+from ..functions.columns import cents, draw_choice, money, ratio_pct
 from .joins import distinct_orders, with_campaign, with_campaign_id
 from .relational import ranked, with_keys
 from .totals import key_totals, product_totals, profit, revenue, roi_pct
@@ -72,7 +72,7 @@ def campaign_kpis(roi: DataFrame) -> DataFrame:
 
 def channel_roi(roi: DataFrame) -> DataFrame:
     by_channel = roi.filter(F.col("channel").isNotNull()).groupBy("channel").agg(
-        F.round(F.sum("gross_profit"), 2).alias("gross_profit"), F.sum("budget").alias("budget")
+        money(F.sum(cents(F.col("gross_profit")))).alias("gross_profit"), F.sum("budget").alias("budget")
     )
     return by_channel.withColumn("roi_pct", ratio_pct(F.col("gross_profit") - F.col("budget"), F.col("budget")))
 

@@ -68,7 +68,7 @@ def category_benchmarks(performance: DataFrame) -> DataFrame:
     lined = performance.withColumns(
         {
             "revenue_line": F.median("revenue").over(every_category()),
-            "margin_line": F.round(F.avg("avg_margin_pct").over(every_category()), 5),
+            "margin_line": F.avg(F.col("avg_margin_pct").cast("decimal(24,6)")).over(every_category()).cast("double"),
         }
     )
     sales_side = F.when(F.col("revenue") >= F.col("revenue_line"), "high sales").otherwise("low sales")

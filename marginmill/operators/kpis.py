@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cents, money, month_key, month_start, ratio_pct, safe_ratio
-from .relational import ordered, top_k, with_keys
+from .relational import month_range, ordered, top_k, with_keys
 from .joins import with_orders
 from .totals import avg_margin_pct, cost, key_totals, margin_pct, profit, revenue, roll_up
 
@@ -53,11 +53,8 @@ def monthly_trend(
     sales: DataFrame, orders: DataFrame, low: str, high: str, costs: DataFrame | None = None
 ) -> DataFrame:
     """Revenue and profit per month of [low, high], given as 'yyyy-MM'. Only orders of those months are read on."""
-    placed = F.col("order_purchase_timestamp")
-    first = F.lit(f"{low}-01").cast("date")
-    past = F.add_months(F.lit(f"{high}-01").cast("date"), 1)
-    kept = orders.filter((placed >= first.cast("timestamp_ntz")) & (placed < past.cast("timestamp_ntz"))).select(
-        "order_id", month_start(placed).alias("month_start")
+    kept = month_range(orders, "order_purchase_timestamp", low, high).select(
+        "order_id", month_start(F.col("order_purchase_timestamp")).alias("month_start")
     )
     monthly = key_totals(sales.join(kept, "order_id"), costs, ["month_start"])
     return ordered(

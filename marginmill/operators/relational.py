@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import UNKNOWN
-from ..functions.columns import cents, money, ratio_pct, round_even
+from ..functions.columns import cents, from_units, money, ratio_pct, round_even, whole_units
 
 
 def as_list(keys):
@@ -42,22 +42,32 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col) != UNKNOWN).select(col).distinct().orderBy(col)
 
 
-def money_sum(col: str):
-    """Exact sum of a money column; 0 where there is nothing to add."""
-    return F.coalesce(money(F.sum(cents(F.col(col)))), F.lit(0.0))
-
-
 def money_mean(col: str):
     """Mean of a money column from its exact sum."""
     return F.try_divide(money(F.sum(cents(F.col(col)))), F.count(col))
 
 
-def total(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(money_sum(col).alias(col))
+def column_sum(col: str, digits: int | None = None):
+    """Sum of a column in its own type, or exact where its values have at most so many decimals (more are an error);
+    0 where there is nothing to add."""
+    found = F.sum(col) if digits is None else from_units(F.sum(whole_units(F.col(col), digits)), digits)
+    return F.coalesce(found, F.lit(0.0))
+
+
+def total(df: DataFrame, col: str, digits: int | None = None) -> DataFrame:
+    return df.agg(column_sum(col, digits).alias(col))
 
 
 def mean(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.round(F.avg(col), 6).alias(col))
+    return df.agg(F.avg(col).alias(col))
+
+
+def month_range(df: DataFrame, col: str, low: str, high: str) -> DataFrame:
+    """Rows whose timestamp lies in the months low to high ('yyyy-MM'). The bounds are timestamps, so that the filter
+    reaches the scan."""
+    first = F.lit(f"{low}-01").cast("date").cast("timestamp_ntz")
+    past = F.add_months(F.lit(f"{high}-01").cast("date"), 1).cast("timestamp_ntz")
+    return df.filter((F.col(col) >= first) & (F.col(col) < past))
 
 
 def n_distinct(df: DataFrame, col: str, approximate: bool = False) -> DataFrame:
@@ -70,20 +80,21 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def group_agg(
-    df: DataFrame, keys, *, sums=None, means=None, money_means=None, counts=None, distinct=None
+    df: DataFrame, keys, *, sums=None, means=None, money_means=None, counts=None, distinct=None, digits=None
 ) -> DataFrame:
-    """All measures of a grouping in one pass. Each argument maps an output name to an input column; sums and
-    money_means are exact, for money columns, and means take any column."""
-    measures = [money_sum(c).alias(n) for n, c in (sums or {}).items()]
-    measures += [F.round(F.avg(c), 6).alias(n) for n, c in (means or {}).items()]
+    """All measures of a grouping in one pass. Each argument maps an output name to an input column. Sums and means
+    are those of the columns' own types; with `digits` sums are exact for columns of so many decimals, and money_means are
+    exact means of money columns."""
+    measures = [column_sum(c, digits).alias(n) for n, c in (sums or {}).items()]
+    measures += [F.avg(c).alias(n) for n, c in (means or {}).items()]
     measures += [money_mean(c).alias(n) for n, c in (money_means or {}).items()]
     measures += [F.count(c).alias(n) for n, c in (counts or {}).items()]
     measures += [F.count_distinct(F.col(c)).alias(n) for n, c in (distinct or {}).items()]
     return with_keys(df, keys).groupBy(*as_list(keys)).agg(*measures)
 
 
-def group_sum(df: DataFrame, key: str, col: str) -> DataFrame:
-    return group_agg(df, key, sums={col: col})
+def group_sum(df: DataFrame, key: str, col: str, digits: int | None = None) -> DataFrame:
+    return group_agg(df, key, sums={col: col}, digits=digits)
 
 
 def value_counts(df: DataFrame, col: str, name: str = "rows") -> DataFrame:
@@ -91,14 +102,16 @@ def value_counts(df: DataFrame, col: str, name: str = "rows") -> DataFrame:
     return counts.orderBy(F.desc(name), F.asc(col))
 
 
-def ratio_of_sums(df: DataFrame, keys, num: str, den: str, name: str) -> DataFrame:
-    sums = group_agg(df, keys, sums={"_num": num, "_den": den})
+def ratio_of_sums(df: DataFrame, keys, num: str, den: str, name: str, digits: int | None = None) -> DataFrame:
+    sums = group_agg(df, keys, sums={"_num": num, "_den": den}, digits=digits)
     return sums.select(*as_list(keys), ratio_pct(F.col("_num"), F.col("_den")).alias(name))
 
 
-def benchmark(groups: DataFrame, cols) -> DataFrame:
-    """Mean over group totals, one row."""
-    return groups.agg(*[money_mean(c).alias(c) for c in as_list(cols)])
+def benchmark(groups: DataFrame, cols, digits: int | None = None) -> DataFrame:
+    """Mean over group totals, one row; with `digits` from exact sums."""
+    if digits is None:
+        return groups.agg(*[F.avg(c).alias(c) for c in as_list(cols)])
+    return groups.agg(*[F.try_divide(from_units(F.sum(whole_units(F.col(c), digits)), digits), F.count(c)).alias(c) for c in as_list(cols)])
 
 
 def round_cols(df: DataFrame, cols, digits: int = 2) -> DataFrame:

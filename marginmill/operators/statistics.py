@@ -1,24 +1,64 @@
 """Summary statistics with exact quartiles that never shuffle a column or bring it into one task.
 
-A money column is whole cents. A first pass counts the values per range of 65,536 cents, which every task does on
-its own; the few range counts tell which ranges the quantiles fall into. A second pass counts single values, but
-only those in these ranges: at most 65,536 distinct values each, whatever the number of rows.
+Values are whole counts of 10 ** -digits (finer ones are an error, NaN is missing). A first pass counts them per range of
+65,536, which every task does on its own. The range that holds a quantile is found level by level: among at most 65,536
+groups of groups of ranges, then among the groups in that one, then among its ranges. A second pass counts single values,
+but only those in the ranges found: at most 65,536 distinct values each, whatever the number of rows. No window sees
+more than 65,536 rows.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import cents, money
+from ..functions.columns import from_units, whole_units
 
-RANGE_CENTS = 65536
+#: Bits of a level: values in a range, ranges in a group, groups in a group of groups.
+LEVEL = 16
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def _values(df: DataFrame, cols) -> DataFrame:
-    """metric (position of the column), cents, range."""
-    pairs = [F.struct(F.lit(i).alias("metric"), cents(F.col(c)).alias("cents")) for i, c in enumerate(cols)]
-    values = df.select(F.inline(F.array(*pairs))).filter(F.col("cents").isNotNull())
-    return values.select("metric", "cents", F.shiftright("cents", 16).alias("range"))
+def _values(df: DataFrame, cols, digits: int) -> DataFrame:
+    """metric (position of the column), units, range."""
+
+    def units(c):
+        number = F.col(c).cast("double")
+        return whole_units(F.when(~F.isnan(number), F.col(c)), digits)
+
+    pairs = [F.struct(F.lit(i).alias("metric"), units(c).alias("units")) for i, c in enumerate(cols)]
+    values = df.select(F.inline(F.array(*pairs))).filter(F.col("units").isNotNull())
+    return values.select("metric", "units", F.shiftright("units", LEVEL).alias("range"))
+
+
+def _ranges(values: DataFrame) -> DataFrame:
+    """Rows of each range, and their sums by place within the range, which stay small and whole."""
+    place = F.col("units").bitwiseAND(F.lit((1 << LEVEL) - 1))
+    return values.groupBy("metric", "range").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(place).alias("places"),
+        F.sum((place * place).cast("decimal(20,0)")).alias("squares"),
+        F.min("units").alias("min"),
+        F.max("units").alias("max"),
+    )
+
+
+def _moments(ranges: DataFrame) -> DataFrame:
+    """metric, n, total (whole units, exact), spread (sum of squared distances from the mean), min, max. Distances are
+    taken from the whole part of the mean before they are squared, so nothing cancels."""
+    start = F.col("range").cast("decimal(20,0)") * (1 << LEVEL)
+    total = (start * F.col("rows") + F.col("places")).cast("decimal(38,0)")
+    whole = ranges.groupBy("metric").agg(
+        F.sum("rows").alias("n"), F.sum(total).alias("total"), F.min("min").alias("min"), F.max("max").alias("max")
+    )
+    whole = whole.withColumn("middle", F.floor(F.col("total") / F.col("n")).cast("bigint"))
+    rows, places = F.col("rows").cast("double"), F.col("places").cast("decimal(19,0)")
+    inside = (F.col("squares") * F.col("rows") - places * places).cast("double") / rows
+    apart = (F.shiftleft("range", LEVEL) - F.col("middle")).cast("double") + places.cast("double") / rows
+    # One row for each metric.
+    spread = ranges.drop("min", "max").join(F.broadcast(whole), "metric").groupBy("metric", "n", "total", "min", "max").agg(
+        F.sum(inside + rows * apart * apart).alias("_squares"), F.sum(rows * apart).alias("_sum")
+    )
+    centred = F.col("_squares") - F.col("_sum") * F.col("_sum") / F.col("n")
+    return spread.withColumn("spread", F.greatest(centred, F.lit(0.0))).drop("_squares", "_sum")
 
 
 def _targets(quantiles):
@@ -38,81 +78,70 @@ def _within(targets, before, upto):
     return F.filter(targets, lambda t: (t["rank"] >= before) & (t["rank"] < upto))
 
 
-def _hit_ranges(values: DataFrame, quantiles) -> DataFrame:
-    """The ranges that hold a quantile, with the number of values before them and the moments of the whole metric.
-    Sums run over the place within the range first, so they stay small."""
-    place = F.col("cents") - F.col("range") * RANGE_CENTS
-    square = F.col("cents").cast("double") * F.col("cents").cast("double")
-    ranges = values.groupBy("metric", "range").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(place).alias("places"),
-        F.sum(square).alias("squares"),
-        F.min("cents").alias("min"),
-        F.max("cents").alias("max"),
-    )
-    whole = Window.partitionBy("metric")
-    upto = F.sum("rows").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
-    range_total = F.col("range").cast("decimal(18,0)") * RANGE_CENTS * F.col("rows") + F.col("places")
-    before = F.col("range_before")
-    return ranges.select(
-        "metric",
-        "range",
-        "rows",
-        (upto - F.col("rows")).alias("range_before"),
-        F.sum("rows").over(whole).alias("n"),
-        F.sum(range_total.cast("decimal(28,0)")).over(whole).alias("total"),
-        F.sum("squares").over(whole).alias("squares"),
-        F.min("min").over(whole).alias("min"),
-        F.max("max").over(whole).alias("max"),
-    ).filter(F.size(_within(_targets(quantiles), before, before + F.col("rows"))) > 0)
-
-
-def _quantile_columns(values: DataFrame, quantiles, moments=()) -> DataFrame:
-    """metric, n, the moments asked for, and one column per quantile. What describes the whole metric rides along as
-    a grouping column, which spares another pass over the data."""
-    carried = ["n", *moments]
-    # Two ranks for each quantile of each column: the number of hit ranges does not depend on the data.
-    hit_ranges = F.broadcast(_hit_ranges(values, quantiles).select("metric", "range", "range_before", *carried))
-    counted = (
-        values.join(hit_ranges, ["metric", "range"])
-        .groupBy("metric", "range", "range_before", *carried, "cents")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    inside = Window.partitionBy("metric", "range").orderBy("cents").rowsBetween(Window.unboundedPreceding, 0)
+def _hit_ranges(ranges: DataFrame, quantiles) -> DataFrame:
+    """metric, range, n, before: the ranges that hold a quantile, and how many values lie below them. Two for each
+    quantile of each column at most, at every level."""
+    found = ranges.groupBy("metric").agg(F.sum("rows").alias("n"))
+    found = found.select("metric", F.lit(None).cast("bigint").alias("upper"), "n", F.lit(0).cast("bigint").alias("before"))
+    for shift in (2 * LEVEL, LEVEL, 0):
+        groups = ranges.groupBy("metric", F.shiftright("range", shift).alias("key")).agg(F.sum("rows").alias("rows"))
+        same = groups["metric"] == found["metric"]
+        if shift < 2 * LEVEL:
+            same = same & (F.shiftright(groups["key"], LEVEL) == found["upper"])
+        inside = groups.join(F.broadcast(found), same).select(
+            groups["metric"], "key", "rows", "n", F.col("before").alias("below"), "upper"
+        )
+        order = Window.partitionBy("metric", "upper").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+        upto = F.col("below") + F.sum("rows").over(order)
+        placed = inside.select("metric", "key", "n", "rows", (upto - F.col("rows")).alias("before"))
+        hit = F.size(_within(_targets(quantiles), F.col("before"), F.col("before") + F.col("rows"))) > 0
+        found = placed.filter(hit).select("metric", F.col("key").alias("upper"), "n", "before")
+    return found.withColumnRenamed("upper", "range")
+
+
+def _quantile_columns(values: DataFrame, ranges: DataFrame, quantiles, digits: int) -> DataFrame:
+    """metric, and one column per quantile."""
+    hit_ranges = F.broadcast(_hit_ranges(ranges, quantiles))
+    counted = values.join(hit_ranges, ["metric", "range"]).groupBy("metric", "range", "before", "n", "units")
+    counted = counted.agg(F.count(F.lit(1)).alias("rows"))
+    inside = Window.partitionBy("metric", "range").orderBy("units").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("upto")
-    hits = counted.withColumn("upto", F.col("range_before") + F.sum("rows").over(inside)).select(
-        "metric", *carried, "cents", F.inline(_within(_targets(quantiles), upto - F.col("rows"), upto))
-    )
-    share = money(F.col("cents")) * F.col("weight")
-    return hits.groupBy("metric", *carried).agg(
-        *[F.round(F.sum(F.when(F.col("quantile") == q, share)), 6).alias(q) for q in quantiles]
+    hits = counted.withColumn("upto", F.col("before") + F.sum("rows").over(inside)).select(
+        "metric", "n", "units", F.inline(_within(_targets(quantiles), upto - F.col("rows"), upto))
     )
+    share = from_units(F.col("units"), digits) * F.col("weight")
+    return hits.groupBy("metric").agg(*[F.sum(F.when(F.col("quantile") == q, share)).alias(q) for q in quantiles])
 
 
 def _metric_name(cols):
     return F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("metric") + 1).alias("metric")
 
 
-def exact_quantiles(df: DataFrame, cols, quantiles=None) -> DataFrame:
-    """One row per money column, one value per quantile: linear between the two neighbouring values."""
+def exact_quantiles(df: DataFrame, cols, quantiles=None, digits: int = 2) -> DataFrame:
+    """One row per column, one value per quantile: linear between the two neighbouring values. `digits`: decimals of the
+    values."""
     quantiles = quantiles or QUARTILES
-    return _quantile_columns(_values(df, cols), quantiles).select(_metric_name(cols), *quantiles)
+    values = _values(df, cols, digits)
+    return _quantile_columns(values, _ranges(values), quantiles, digits).select(_metric_name(cols), *quantiles)
 
 
-def median(df: DataFrame, col: str) -> DataFrame:
-    return exact_quantiles(df, [col], {"q50": 0.5}).select(F.col("q50").alias(col))
+def median(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
+    return exact_quantiles(df, [col], {"q50": 0.5}, digits).select(F.col("q50").alias(col))
 
 
-def describe(df: DataFrame, cols) -> DataFrame:
-    """One row per money column: count, mean, sample std, min, quartiles, max."""
-    n, total = F.col("n").cast("double"), F.col("total").cast("double")
-    variance = F.try_divide(F.col("squares") - total * total / n, n - 1)
-    return _quantile_columns(_values(df, cols), QUARTILES, ["total", "squares", "min", "max"]).select(
+def describe(df: DataFrame, cols, digits: int = 2) -> DataFrame:
+    """One row per column: count, mean, sample std, min, quartiles, max. `digits`: decimals of the values."""
+    values = _values(df, cols, digits)
+    ranges = _ranges(values)
+    # Both have one row for each metric.
+    rows = _moments(ranges).join(F.broadcast(_quantile_columns(values, ranges, QUARTILES, digits)), "metric")
+    unit = float(10**digits)
+    return rows.select(
         _metric_name(cols),
         F.col("n").alias("count"),
-        F.round(money(F.col("total").cast("decimal(36,0)")) / n, 6).alias("mean"),
-        F.round(F.sqrt(variance) / 100.0, 3).alias("std"),
-        money(F.col("min")).alias("min"),
+        (F.col("total").cast("double") / unit / F.col("n")).alias("mean"),
+        (F.sqrt(F.try_divide(F.col("spread"), (F.col("n") - 1).cast("double"))) / unit).alias("std"),
+        from_units(F.col("min"), digits).alias("min"),
         *QUARTILES,
-        money(F.col("max")).alias("max"),
+        from_units(F.col("max"), digits).alias("max"),
     )

@@ -13,6 +13,8 @@ from ..fixed_values import COST_SHARE_LOW, COST_SHARE_WIDTH
 from ..functions.columns import bround2, cents, draw_fraction, money, ratio_pct
 from .relational import as_list, with_keys
 
+#: Sums of row margins, exact at twelve decimals.
+MARGIN_SUM = "decimal(38,12)"
 TOTALS = ["items", "priced", "costed", "revenue_cents", "cost_cents", "profit_cents", "margin_rows"]
 
 
@@ -24,7 +26,8 @@ def item_totals(items: DataFrame, *keys: str) -> DataFrame:
         F.count("price").alias("priced"),
         F.sum(cents(price)).alias("revenue_cents"),
         F.count_if(price != 0).alias("nonzero"),
-        F.sum(F.try_divide(F.lit(1.0), price)).alias("inverse_price"),
+        # Summed as decimals, so that the mean margin does not depend on the order of the rows either.
+        F.sum(F.try_divide(F.lit(1.0), price).cast("decimal(28,18)")).alias("inverse_price"),
     )
 
 
@@ -52,7 +55,9 @@ def _with_cost_measures(totals: DataFrame, keys) -> DataFrame:
         F.coalesce(F.col("items") * unit, F.lit(0)).alias("cost_cents"),
         F.coalesce(F.col("revenue_cents") - F.col("priced") * unit, F.lit(0)).alias("profit_cents"),
         F.when(known, F.col("nonzero")).otherwise(0).alias("margin_rows"),
-        (F.lit(100.0) * (F.col("nonzero") - cost * F.col("inverse_price"))).alias("margin_sum"),
+        (F.lit(100.0) * (F.col("nonzero") - cost * F.col("inverse_price").cast("double")))
+        .cast(MARGIN_SUM)
+        .alias("margin_sum"),
     )
 
 
@@ -86,7 +91,7 @@ def sales_totals(sales: DataFrame, *keys: str) -> DataFrame:
             ]
         ],
         F.count("profit_margin_pct").alias("margin_rows"),
-        F.sum("profit_margin_pct").alias("margin_sum"),
+        F.sum(F.col("profit_margin_pct").cast("decimal(28,12)")).cast(MARGIN_SUM).alias("margin_sum"),
     )
 
 
@@ -109,7 +114,7 @@ def roll_up(totals: DataFrame, keys=()) -> DataFrame:
     keys = as_list(keys)
     kept = with_keys(totals, keys) if keys else totals
     sums = [F.coalesce(F.sum(F.col(c).cast("decimal(28,0)")), F.lit(0)).alias(c) for c in TOTALS]
-    return kept.groupBy(*keys).agg(*sums, F.sum("margin_sum").alias("margin_sum"))
+    return kept.groupBy(*keys).agg(*sums, F.sum("margin_sum").cast(MARGIN_SUM).alias("margin_sum"))
 
 
 def items_count() -> Column:
@@ -135,7 +140,7 @@ def margin_pct() -> Column:
 
 def avg_margin_pct() -> Column:
     """Unweighted mean of the row margins."""
-    return F.round(F.try_divide(F.col("margin_sum"), F.col("margin_rows").cast("double")), 6)
+    return F.round(F.try_divide(F.col("margin_sum").cast("double"), F.col("margin_rows").cast("double")), 6)
 
 
 def roi_pct(budget: Column) -> Column:

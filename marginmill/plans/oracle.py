@@ -99,6 +99,7 @@ fc AS (
     (units * unit_price - units * avg_cost - budget) / budget * 100 AS roi_pct
   FROM scen),
 q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+turns AS (SELECT conv_id, turn, role, text FROM conversations),
 intents AS (
   SELECT conv_id, turn, CASE
     WHEN contains(t, 'discount') OR contains(t, 'offer') OR contains(t, 'percent') OR contains(t, 'sweet spot') THEN 'discount'
@@ -123,7 +124,7 @@ FORMULAS = {
 def _summary(table: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS metric, count({c}) AS count, round(sum({c}::DECIMAL(18,2))::DOUBLE / count({c}), 6) AS mean,
-        round(stddev_samp({c}), 3) AS std, round(min({c}), 2) AS min, round(quantile_cont(round({c}, 2), 0.25), 6) AS q25,
+        round(stddev_samp({c}), 6) AS std, round(min({c}), 2) AS min, round(quantile_cont(round({c}, 2), 0.25), 6) AS q25,
         round(quantile_cont(round({c}, 2), 0.5), 6) AS q50, round(quantile_cont(round({c}, 2), 0.75), 6) AS q75,
         round(max({c}), 2) AS max FROM {table}"""
         for c in columns
@@ -187,7 +188,7 @@ QUERIES = {
     "q21_category_benchmarks": """SELECT category, revenue, avg_margin_pct, revenue_line, margin_line,
         (CASE WHEN revenue >= revenue_line THEN 'high sales' ELSE 'low sales' END) || ', ' ||
         (CASE WHEN avg_margin_pct >= margin_line THEN 'high share' ELSE 'low share' END) AS quadrant
-        FROM cat, (SELECT median(revenue) AS revenue_line, round(avg(avg_margin_pct), 5) AS margin_line FROM cat)""",
+        FROM cat, (SELECT median(revenue) AS revenue_line, round(avg(avg_margin_pct), 6) AS margin_line FROM cat)""",
     "q22_category_list": "SELECT DISTINCT category FROM cat_sales WHERE category IS NOT NULL",
     "q23_category_detail": """SELECT category_kept AS category, {revenue} AS revenue, {profit} AS gross_profit,
         {margin} AS avg_margin_pct, count(order_id) AS items FROM cat_sales GROUP BY 1""",
@@ -276,7 +277,7 @@ QUERIES = {
         GROUP BY product_id ORDER BY items DESC, product_id LIMIT 20""",
     "q54_tag_intents": "SELECT conv_id, turn, intent FROM intents",
     "q54_intent_counts": "SELECT intent, count(*) AS questions FROM intents GROUP BY 1",
-    "q55_apply_glossary": f"SELECT conv_id, turn, {GLOSSARY_SQL} AS text FROM q",
+    "q55_apply_glossary": f"SELECT conv_id, turn, role, {GLOSSARY_SQL} AS text FROM turns",
     "s1_read_items": "SELECT * FROM items",
     "s2_profile": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS row_count, {len(cols)}::BIGINT AS column_count, '{', '.join(cols)}' AS column_names FROM {cte}"
@@ -361,13 +362,13 @@ QUERIES = {
     "f6_to_ts": "SELECT order_id, placed FROM ord",
     "f7_month_key": "SELECT order_id, strftime(placed, '%Y-%m') AS month FROM ord",
     "f8_contains_any": """SELECT conv_id, turn, contains(lower(text), 'the') OR contains(lower(text), 'und')
-        OR contains(lower(text), 'que') AS hit FROM q""",
-    "f9_replace_all": "SELECT conv_id, turn, replace(replace(text, 'an', 'on'), 'on', 'in') AS text FROM q",
+        OR contains(lower(text), 'que') AS hit FROM turns""",
+    "f9_replace_all": "SELECT conv_id, turn, replace(replace(text, 'an', 'on'), 'on', 'in') AS text FROM turns",
     "f10_lookup": "SELECT {what}, CASE item_no WHEN 1 THEN 'first' WHEN 2 THEN 'second' ELSE 'later' END AS place FROM items",
     "f11_pct_change": "SELECT {what}, (price - cost_price) / nullif(cost_price, 0) * 100.0::DOUBLE AS change_pct FROM sales",
     "f12_keyed_draw": "SELECT order_id, ('0x' || substr(md5(order_id::VARCHAR), 1, 8))::BIGINT AS draw FROM ord",
-    "f13_title": r"""SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(replace(text, 'ß', 'ss'), '\p{L}+|[^\p{L}]+'),
-        lambda run: upper(run[1]) || lower(run[2:])), '') AS text FROM q""",
+    "f13_title": r"""SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '\p{L}+|[^\p{L}]+'),
+        lambda run: CASE WHEN run[1] = 'ß' THEN 'Ss' ELSE upper(run[1]) END || lower(run[2:])), '') AS text FROM turns""",
 }
 
 

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import SEGMENT_THRESHOLDS
+from ..fixed_values import CAMPAIGN_IDS, SEGMENT_THRESHOLDS
 from ..operators import campaigns, categories, features, forecast, joins, pricing, segments, totals
 from ..schemas import RAW_TABLES
 from ..sources import tables
@@ -20,6 +20,8 @@ class Shop:
     table: Callable[[str], DataFrame]
     thresholds: list = field(default_factory=lambda: SEGMENT_THRESHOLDS)
     months: tuple = ("2017-01", "2018-08")
+    # Whether the shop has campaigns of its own instead of the built-in ones.
+    own_campaigns: bool = False
     # Tables a feature job has written; what is missing is derived on the fly.
     stored_costs: DataFrame | None = None
     stored_mapping: DataFrame | None = None
@@ -33,7 +35,12 @@ class Shop:
     payments = cached_property(lambda self: self.table("payments"))
     translation = cached_property(lambda self: self.table("category_translation"))
     campaigns = cached_property(lambda self: self.table("campaigns"))
-    questions = cached_property(lambda self: self.table("questions"))
+    turns = cached_property(lambda self: self.table("turns"))
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        """The turns of users."""
+        return self.turns.filter(F.col("role") == "user").drop("role")
 
     @cached_property
     def fact(self) -> DataFrame:
@@ -50,7 +57,16 @@ class Shop:
 
     @cached_property
     def mapping(self) -> DataFrame:
-        return features.campaign_mapping(self.orders) if self.stored_mapping is None else self.stored_mapping
+        if self.stored_mapping is not None:
+            return self.stored_mapping
+        return features.campaign_mapping(self.orders, self.campaign_ids)
+
+    @property
+    def campaign_ids(self):
+        """The ids a mapping draws from, in order: of a shop's own campaigns one row that a subquery reads."""
+        if not self.own_campaigns:
+            return CAMPAIGN_IDS
+        return self.campaigns.agg(F.sort_array(F.collect_set("campaign_id")).alias("ids")).scalar()
 
     @cached_property
     def sales(self) -> DataFrame:
@@ -132,9 +148,13 @@ class Shop:
         order_segments = self.order_segments("inner", plain_names)
         return segments.segment_summary(self.segment_totals("inner", plain_names), self.fact, order_segments)
 
+    @cached_property
+    def category_segment_totals(self) -> DataFrame:
+        return forecast.category_segment_totals(self.segment_product_totals, self.products_tr)
+
     @cached_property
     def forecast_base(self) -> DataFrame:
-        return forecast.base_stats(forecast.category_segment_totals(self.segment_product_totals, self.products_tr))
+        return forecast.base_stats(self.category_segment_totals)
 
     @cached_property
     def wide(self) -> DataFrame:
@@ -153,12 +173,15 @@ class Shop:
 
 
 def load_shop(spark: SparkSession, directory: str, fmt: str = "parquet", **options) -> Shop:
-    """A directory with one file per raw table plus category_translation."""
+    """A directory with one file per raw table plus category_translation, and campaigns; without these the built-in ones."""
+    own = tables.exists(spark, "campaigns", directory, fmt)
 
     def table(name):
-        return tables.campaigns(spark) if name == "campaigns" else tables.read_table(spark, name, directory, fmt)
+        if name == "campaigns" and not own:
+            return tables.campaigns(spark)
+        return tables.read_table(spark, name, directory, fmt)
 
-    return Shop(table, **options)
+    return Shop(table, own_campaigns=own, **options)
 
 
 FEATURES = ["product_costs", "campaigns", "campaign_sales_mapping", "sales_features", "customer_segments"]
@@ -213,7 +236,7 @@ STAR_TABLES = {
     "payments": ("orders", {"o_orderkey bigint": "order_id", "o_totalprice double": "payment_value"}),
     "customers": ("customer", {"c_custkey bigint": "customer_id", "c_name string": "customer_unique_id"}),
     "products": ("part", {"p_partkey bigint": "product_id", "p_brand string": "product_category_name"}),
-    "questions": ("conversations", {
+    "turns": ("conversations", {
         "conv_id bigint": "conv_id", "turn bigint": "turn", "role string": "role", "text string": "text",
     }),
 }
@@ -233,8 +256,7 @@ def bind_star_schema(spark: SparkSession, directory: str) -> Shop:
             )
         file, columns = STAR_TABLES[name]
         raw = spark.read.schema(", ".join(columns)).parquet(f"{directory.rstrip('/')}/{file}.parquet")
-        df = raw.toDF(*columns.values())
-        return df.filter(F.col("role") == "user").drop("role") if name == "questions" else df
+        return raw.toDF(*columns.values())
 
     return Shop(
         table,

@@ -20,6 +20,11 @@ def read_table(spark: SparkSession, name: str, directory: str, fmt: str = "parqu
     return raw.select(*[F.col(c).cast(known[c]).alias(c) if c in known else F.col(c) for c in raw.columns])
 
 
+def exists(spark: SparkSession, name: str, directory: str, fmt: str = "parquet") -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{name}.{fmt}")
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
 def load_all(spark: SparkSession, directory: str, fmt: str = "parquet") -> dict[str, DataFrame]:
     return {name: read_table(spark, name, directory, fmt) for name in RAW_TABLES}
 
@@ -74,8 +79,9 @@ def list_tables(spark: SparkSession) -> DataFrame:
     return spark.sql("SHOW TABLES").filter("NOT isTemporary").select(F.col("tableName").alias("name"))
 
 
-def sql_select(spark: SparkSession, text: str) -> DataFrame:
-    return spark.sql(text)
+def sql_select(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """A query; frames stand in it under their names in braces, without views of the session."""
+    return spark.sql(text, **frames)
 
 
 def cached(df: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 
+from marginmill.plans import catalogue, oracle
+
 from .compare import differences, duck
 
 DIRECTORY = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,10 +18,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(SQL)
+    assert set(catalogue.registered()) == set(SQL)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", catalogue.registered())
 def test_query(spark, con, name):
     assert differences(entry.queries()[name](spark, DIRECTORY), con, SQL[name]) == []
 

@@ -5,15 +5,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from marginmill.functions.columns import draw_choice
 from marginmill.operators.campaigns import campaign_totals
 from marginmill.operators.features import customer_segments, product_costs, sales_features
 from marginmill.operators.joins import order_segments
-from marginmill.plans.catalogue import RELATIONS, REPORTS
+from marginmill.plans.catalogue import RELATIONS, REPORTS, registered
 
 DIRECTORY = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = registered()
 
 
 @pytest.fixture
@@ -43,7 +42,7 @@ def test_no_python_no_product_no_hidden_broadcast(large, name):
     plan = plan_of(QUERIES[name](large, DIRECTORY))
     for bad in ["Python", "CartesianProduct", "BroadcastNestedLoopJoin", "ObjectHashAggregate"]:
         assert bad not in plan, bad
-    # The one broadcast hint is on the hit ranges of the quantiles, whose number is fixed.
+    # Broadcast hints are on the hit ranges of the quantiles and one row for each metric, whose numbers are fixed.
     if name not in ("q07_sales_stats", "a11_median", "a15_describe"):
         assert "BroadcastExchange" not in plan
 
@@ -84,6 +83,16 @@ def test_month_filter_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
 
 
+def test_month_range_reaches_the_scan(spark):
+    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", plan_of(QUERIES["p6_month_range"](spark, DIRECTORY)))[1]
+    assert "GreaterThanOrEqual(o_orderdate" in pushed and "LessThan(o_orderdate" in pushed
+
+
+def test_forecast_with_advice_starts_from_one_set_of_totals(spark):
+    plan = final_plan(QUERIES["q47_forecast_with_advice"](spark, DIRECTORY))
+    assert plan.count("ReusedExchange") >= 1
+
+
 def test_top_k_never_sorts_everything(spark):
     assert "TakeOrderedAndProject" in plan_of(QUERIES["q12_top_products"](spark, DIRECTORY))
     for name in ["q25_top_products_in_category", "q33_segment_top_categories", "o4_top_k_per_group"]:

@@ -1,6 +1,7 @@
 """Hand-made rows for the rules that test data alone does not reach."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginmill.fixed_values import ADS, FEWER_DISCOUNTS, SMALL_DISCOUNTS, STOP
 from marginmill.operators import campaigns, categories, features, forecast, kpis, pricing, relational, segments, statistics
@@ -285,7 +286,7 @@ def test_quantiles_match_pandas(spark, values):
     assert row["count"] == want["count"] and row["min"] == want["min"] and row["max"] == want["max"]
     assert (row.mean, row.q25, row.q50, row.q75) == pytest.approx((want["mean"], want["25%"], want["50%"], want["75%"]), abs=1e-5)
     if len(values) > 1:
-        assert row["std"] == pytest.approx(want["std"], abs=2e-3)
+        assert row["std"] == pytest.approx(want["std"], rel=1e-9, abs=1e-6)
     assert got["y"]["count"] == 1 and got["y"]["std"] is None
     assert statistics.median(df, "x").first()[0] == pytest.approx(series.median(), abs=1e-6)
 
@@ -300,3 +301,54 @@ def test_generic_grouping_drops_null_keys(spark):
     assert rows_of(relational.distinct_values(relational.fill_unknown(df, "k"), "k")) == [("a",), ("b",)]
     assert relational.n_distinct(df, "k", approximate=True).first()[0] == 2
     assert relational.arg_max(df, "k", "v").first().k == "a"
+
+
+@pytest.mark.parametrize("values", [[1234567.891] * 9, [98765432.10, 98765432.11], [round(0.001 * (i % 10), 3) for i in range(500)], [10.0**k * (-1) ** k for k in range(-3, 9)], [float("nan"), 1.5, 2.125]])
+def test_statistics_of_fine_wide_and_constant_values(spark, values):
+    import pandas as pd
+
+    series = pd.Series(values)
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    row, want = statistics.describe(df, ["x"], digits=3).first(), series.describe()
+    assert (row["count"], row["min"], row["max"]) == (want["count"], want["min"], want["max"])
+    assert (row["mean"], row.q25, row.q50, row.q75) == pytest.approx((want["mean"], want["25%"], want["50%"], want["75%"]), rel=1e-12)
+    assert row["std"] == pytest.approx(want["std"], rel=1e-6, abs=1e-9)
+    if len(set(values)) == 1:
+        assert row["std"] == 0.0
+    assert statistics.median(df, "x", digits=3).first()[0] == pytest.approx(series.median())
+
+
+def test_finer_values_are_errors_and_generic_sums_keep_them(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.createDataFrame([("a", 0.001 * (i % 10)) for i in range(1000)], "k string, v double")
+    assert relational.total(df, "v").first()[0] == pytest.approx(4.5)
+    assert relational.total(df, "v", digits=3).first()[0] == 4.5
+    assert relational.mean(df, "v").first()[0] == pytest.approx(0.0045, rel=1e-12)
+    assert relational.group_sum(df, "k", "v").first().v == pytest.approx(4.5)
+    assert relational.benchmark(df, "v").first()[0] == pytest.approx(0.0045)
+    for call in (lambda: relational.total(df, "v", digits=2), lambda: statistics.median(df, "v"), lambda: relational.total(spark.sql("SELECT double('NaN') AS v"), "v", digits=2)):
+        with pytest.raises(PySparkException):
+            call().collect()
+
+
+def test_no_window_of_the_quantiles_sees_all_ranges(spark):
+    df = spark.range(200_000).selectExpr("id * 5000000.0D AS x")  # every value in a range of its own
+    frame = statistics.exact_quantiles(df, ["x"])
+    assert rows_of(frame) == [("x", 49999 * 5e6 + 0.75 * 5e6, 99999.5 * 5e6, 149999.25 * 5e6)]
+    counts = statistics._ranges(statistics._values(df, ["x"], 2))
+    for shift in (32, 16):
+        assert counts.select(F.shiftright("range", shift)).distinct().count() <= 65_536
+
+
+def test_mean_margins_do_not_depend_on_the_order_of_rows(spark):
+    from marginmill.operators import totals
+
+    items = [(f"p{i % 7}", round(0.37 + (i * 7919 % 10007) / 3.1, 2)) for i in range(3000)]
+    costs = spark.createDataFrame([(f"p{i}", 1.0 + i) for i in range(7)], "product_id string, cost_price double")
+    found = set()
+    for parts in (1, 7, 64):
+        df = spark.createDataFrame(items, "product_id string, price double").orderBy(F.rand(parts)).repartition(parts)
+        row = totals.roll_up(totals.product_totals(df, costs)).select("margin_sum", (F.col("margin_sum") / F.col("margin_rows")).alias("mean")).first()
+        found.add((row.margin_sum, row["mean"]))
+    assert len(found) == 1

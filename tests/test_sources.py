@@ -123,18 +123,46 @@ def test_cached_keeps_the_frame(spark):
 
 
 def test_adhoc_sql_runs_one_query_and_nothing_else(spark):
-    spark.range(50).createOrReplaceTempView("numbers_view")
-    fenced = "```sql\nSELECT id FROM numbers_view ORDER BY id DESC -- newest first\n```"
-    assert [r.id for r in adhoc_sql(spark, fenced).collect()] == list(range(49, 29, -1))
-    assert adhoc_sql(spark, "WITH a AS (SELECT 1 AS x) SELECT * FROM a;").count() == 1
+    given = {"numbers": spark.range(50)}
+    fenced = "```sql\nSELECT id FROM numbers ORDER BY id DESC -- newest first\n```"
+    assert [r.id for r in adhoc_sql(spark, fenced, given).collect()] == list(range(49, 29, -1))
+    assert adhoc_sql(spark, "WITH a AS (SELECT 1 AS x), b (y) AS (SELECT 2) SELECT * FROM a, b;").count() == 1
+    assert adhoc_sql(spark, "SELECT 'a```b' AS x, \"it's\" AS y").first().x == "a```b"
+    assert adhoc_sql(spark, "SELECT * FROM numbers n JOIN NUMBERS m USING (id) WHERE id IN (SELECT id FROM numbers)", given).count() == 20
     for text in [
-        "DROP VIEW numbers_view",
+        "DROP VIEW numbers",
         "CREATE TABLE t AS SELECT 1",
-        "INSERT INTO numbers_view VALUES (1)",
+        "INSERT INTO numbers VALUES (1)",
         "SELECT 1; SELECT 2",
-        "SELECT 1) AS a; DROP VIEW numbers_view; SELECT * FROM (SELECT 1",
+        "SELECT 1) AS a; DROP VIEW numbers; SELECT * FROM (SELECT 1",
+        "SELECT 1 AS a) AS x, (SELECT 2 AS b",
         "SET spark.sql.ansi.enabled=false",
     ]:
         with pytest.raises(PySparkException):
-            adhoc_sql(spark, text).collect()
-    assert spark.table("numbers_view").count() == 50
+            adhoc_sql(spark, text, given).collect()
+    spark.range(3).createOrReplaceTempView("of_another")
+    for text in [
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT Java_Method('java.lang.System', 'getProperty', 'user.home') FROM numbers",
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`",
+        "SELECT * FROM numbers WHERE id IN (SELECT o_orderkey FROM parquet.`/root/testdata/sf0.001/orders.parquet`)",
+        "WITH a AS (SELECT * FROM of_another) SELECT * FROM a",
+    ]:
+        with pytest.raises(ValueError):
+            adhoc_sql(spark, text, given)
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("adhoc_")] == []
+    spark.catalog.dropTempView("of_another")
+
+
+def test_a_shop_may_have_campaigns_of_its_own(spark, csv_directory, tmp_path):
+    import shutil
+
+    shop_folder = tmp_path / "shop"
+    shutil.copytree(csv_directory, shop_folder)
+    header = "campaign_id,campaign_name,channel,discount_pct,budget\n"
+    (shop_folder / "campaigns.csv").write_text(header + "X1,One,Email,10,50\nX2,Two,SMS,20,70\n")
+    shop = load_shop(spark, str(shop_folder), "csv")
+    assert {r.campaign_id for r in shop.mapping.collect()} <= {"X1", "X2"}
+    found = {r.campaign_id: (r.campaign_name, r.budget) for r in shop.campaign_roi.collect()}
+    assert found and all(found[i] == {"X1": ("One", 50), "X2": ("Two", 70)}[i] for i in found)
+    assert {r.discount_pct for r in shop.discount_performance.collect()} <= {10, 20}
