@@ -30,9 +30,8 @@ def _hashes(paragraph):
     return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("long") for i in range(HASHES)]
 
 
-def lanes_of(texts: DataFrame, keys: list[str], text_column: str = "text") -> DataFrame:
-    """keys, paragraphs (their number) and lanes (their sum, LANES numbers modulo 2**16) of each group of rows with the
-    same keys. A text may be given in parts, whole paragraphs each, in any order. Null and empty texts have none."""
+def counts_of(texts: DataFrame, keys: list[str], text_column: str = "text") -> DataFrame:
+    """keys, paragraphs (their number) and counters (their bits, packed) of each group of rows with the same keys."""
     paragraphs = F.regexp_extract_all(F.coalesce(text_column, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
     pieces = texts.select(*keys, F.explode_outer(paragraphs).alias("_p"))
     pieces = pieces.select(*keys, "_p", *[h.alias(f"_h{i}") for i, h in enumerate(_hashes(F.col("_p")))])
@@ -40,14 +39,23 @@ def lanes_of(texts: DataFrame, keys: list[str], text_column: str = "text") -> Da
     sums = [F.sum(F.shiftright(f"_h{i}", s).bitwiseAND(F.lit(_ONES))).alias(f"_s{i}_{s}") for i, s in packed]
     summed = pieces.groupBy(*keys).agg(F.count("_p").alias("paragraphs"), *sums)
     counters = F.array(*[F.coalesce(f"_s{i}_{s}", F.lit(0)) for i, s in packed])
-    bits = F.flatten(
-        F.transform(
-            counters,
-            lambda c: F.array(*[F.shiftright(c, SPREAD * k).bitwiseAND(F.lit(_COUNTER)) for k in range(COUNTERS)]),
-        )
-    )
-    lanes = F.transform(bits, lambda b: F.pmod(b * 2 - F.col("paragraphs"), F.lit(MODULUS)))
-    return summed.select(*keys, "paragraphs", lanes.alias("lanes"))
+    return summed.select(*keys, "paragraphs", counters.alias("counters"))
+
+
+def lanes(paragraphs, counters):
+    """The sums of signs, modulo 2**16, from counts of bits."""
+
+    def of(c):
+        return F.array(*[F.shiftright(c, SPREAD * k).bitwiseAND(F.lit(_COUNTER)) for k in range(COUNTERS)])
+
+    return F.transform(F.flatten(F.transform(counters, of)), lambda b: F.pmod(b * 2 - paragraphs, F.lit(MODULUS)))
+
+
+def lanes_of(texts: DataFrame, keys: list[str], text_column: str = "text") -> DataFrame:
+    """keys, paragraphs (their number) and lanes (their sum, LANES numbers modulo 2**16) of each group of rows with the
+    same keys. A text may be given in parts, whole paragraphs each, in any order. Null and empty texts have none."""
+    found = counts_of(texts, keys, text_column)
+    return found.select(*keys, "paragraphs", lanes(F.col("paragraphs"), F.col("counters")).alias("lanes"))
 
 
 def inserted(lanes, others):
@@ -81,54 +89,78 @@ def likeness(lanes, others):
     return F.coalesce(F.greatest(F.lit(0.0), near), F.lit(1.0))
 
 
-def in_descending_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), row, next: all rows numbered by descending doc_id, and the number of the row after
-    each; after the last comes the first. Rows with one id are in the order of their texts' hashes, null ids last.
+_KEY = ["none", "id", "hash"]
 
-    Only the first and last number of each task are needed to link the tasks: no window sees more than one row for each."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc()]
-    ordered, ends = numbered(rows, order, "ordered")
+
+def in_descending_order(texts: DataFrame) -> DataFrame:
+    """Each distinct row (none, id, hash) of the texts once: none, id, hash, n, copies, row (its number by descending id;
+    rows with one id by hash, rows without one last) and next (the number of the row after it; after the last comes the first).
+
+    Only keys are ordered, not texts. They are range-partitioned and sorted there, and only the first and last number of
+    each task are needed to link the tasks: no window sees more than one row for each."""
+    distinct = texts.groupBy(*_KEY, F.length("text").alias("n")).agg(F.count("*").alias("copies"))
+    ordered, ends = numbered(distinct, [F.col("none").asc(), F.col("id").desc(), F.col("hash").asc()], "ordered")
     all_tasks = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = F.coalesce(F.lead("first").over(Window.orderBy("task")), F.min("first").over(all_tasks))
     ends = ends.select("task", "last", following.alias("following"))
     placed = ordered.withColumn("task", F.shiftright("row", 33)).join(ends, "task")
     after = F.when(F.col("row") == F.col("last"), F.col("following")).otherwise(F.col("row") + 1)
-    return placed.select("doc_id", "text", "row", after.alias("next"))
+    return placed.select(*_KEY, "n", "copies", "row", after.alias("next"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text of a row has its last floor(n_chars / 3) code points replaced by as many first ones, or all, of the
-    next row's text. Null text is empty; a single row follows itself; repeated rows stand one after the other; other
-    columns are not read; an empty table gives an empty result.
+    next row's text. Null text is empty; a single row follows itself; repeated rows stand one after the other, so all but the
+    last of them are followed by themselves; other columns are not read; an empty table gives an empty result.
+
+    Texts are shuffled once, by key; each then sends the piece that the row before it asked for.
     """
-    rows = in_descending_order(docs)
-    cut = F.floor(F.length("text") / 3).cast("int")
-    asked = rows.select(F.col("next").alias("row"), F.col("row").alias("asker"), cut.alias("cut"))
-    given = rows.select("row", "text").join(asked, "row")
-    given = given.select(F.col("asker").alias("row"), F.expr("substring(text, 1, cut)").alias("given"))
-    edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 3))"), F.col("given"))
-    texts = rows.join(given, "row").select(
-        "doc_id", "row", "next", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select(
+        F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"), "text"
+    )
+    ordered = in_descending_order(rows)
+    texts = rows.dropDuplicates(_KEY)
+    # Who follows whom, and how often: the last copy has another row after it, the others have themselves.
+    followers = F.array(
+        F.struct(F.col("next").alias("giver"), F.lit(1).cast("long").alias("times")),
+        F.struct(F.col("row").alias("giver"), (F.col("copies") - 1).alias("times")),
     )
-    digests = texts.select("doc_id", "row", "next", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    both = texts.select("row", F.inline(F.array(*[F.struct(F.lit(i).alias("version"), F.col(c).alias("text")) for i, c in enumerate(("text", "edited"))])))
-    summed = lanes_of(both, ["row", "version"])
-    summed = stored(
-        summed.select("row", "version", "lanes", fingerprint(F.col("paragraphs"), F.col("lanes")).alias("print")), "lanes"
+    asked = ordered.select("row", "n", F.inline(followers)).filter("times > 0")
+    asked = asked.withColumnRenamed("row", "asker").join(ordered.select(*_KEY, F.col("row").alias("giver")), "giver")
+    given = texts.join(asked, _KEY).select(
+        F.col("asker").alias("row"), "giver", "times", F.expr("substring(text, 1, cast(n / 3 as int))").alias("given")
     )
-    own = summed.filter("version = 0").select("row", F.col("lanes").alias("own"), F.col("print").alias("fingerprint"))
-    new = summed.filter("version = 1").select("row", F.col("lanes").alias("new"), F.col("print").alias("edited_fingerprint"))
-    nexts = own.select(F.col("row").alias("next"), F.col("own").alias("following"))
-    joined = digests.join(own, "row").join(new, "row").join(nexts, "next")
+    askers = ordered.select(*_KEY, "row").join(given, "row")
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.col("given"))
+    both = texts.join(askers, _KEY).select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
+        "row",
+        "giver",
+        "times",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(edited, 256).alias("edited_sha256"),
+        F.inline(
+            F.array(*[F.struct(F.lit(i).alias("version"), t.alias("own")) for i, t in enumerate((F.col("text"), edited))])
+        ),
+    )
+    keys = ["doc_id", "row", "giver", "times", "n_chars", "edited_sha256", "version"]
+    summed = stored(counts_of(both, keys, "own"), "lanes")
+    found = summed.withColumn("lanes", lanes(F.col("paragraphs"), F.col("counters"))).drop("counters")
+    new = found.filter("version = 1").withColumn("edited_fingerprint", fingerprint(F.col("paragraphs"), F.col("lanes")))
+    new = new.withColumnRenamed("lanes", "new").drop("paragraphs", "version")
+    own = found.filter("version = 0").select("row", "paragraphs", "lanes").dropDuplicates(["row"])
+    after = own.select(F.col("row").alias("giver"), F.col("lanes").alias("following"))
+    joined = new.join(own, "row").join(after, "giver")
     return joined.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
+        fingerprint(F.col("paragraphs"), F.col("lanes")).alias("fingerprint"),
         "edited_fingerprint",
-        likeness(F.col("own"), F.col("new")).alias("near_edited"),
-        likeness(F.col("own"), F.col("following")).alias("near_next"),
-    )
+        likeness(F.col("lanes"), F.col("new")).alias("near_edited"),
+        likeness(F.col("lanes"), F.col("following")).alias("near_next"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"),
+    ).drop("copy")
