@@ -7,7 +7,7 @@ from marginmill.llm.languages import with_language
 from marginmill.llm.near_duplicates import without_near_duplicates
 from marginmill.llm.packing import pack
 from marginmill.llm.pseudonyms import pseudonymise
-from marginmill.llm.shared import stored
+from marginmill.llm.shared import ship_package, stored
 
 
 def languages(spark, docs, sf_dir):
@@ -48,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -3,8 +3,8 @@
 A document's ids are cut at multiples of the sequence length; what is left over is one piece. Pieces are counted by
 length class (of UNIT tokens), which gives a histogram of at most capacity / UNIT numbers. A linear program over
 patterns (how many pieces of each class share a sequence) covers the histogram with the fewest sequences: columns are
-generated by pricing with a knapsack dynamic program until none improves it, or it is within TOLERANCE of its lower bound. Patterns are
-rounded down, the few pieces this leaves are packed greedily, and the pieces of each class, ranked, are dealt to the
+generated by pricing with a knapsack dynamic program until none improves it, it is within TOLERANCE of its lower bound, or many columns gain less
+than that. Patterns are rounded down, the few pieces this leaves are packed greedily, and the pieces of each class, ranked, are dealt to the
 places of their patterns. Only the histogram and the patterns pass through the driver.
 """
 
@@ -57,7 +57,14 @@ def fractional_patterns(demand: np.ndarray, tolerance: float = TOLERANCE) -> tup
     need = demand[classes].astype(float)
     level = inverse @ need
     full = float(classes @ need) / capacity
-    for turn in range(1, 200 * m + 1):
+    turn, best = 0, np.inf
+    while True:
+        if turn % m == 0:
+            # Every basis is a solution; a round of as many columns as classes that gains too little is the last one.
+            if level.sum() > (1 - tolerance) * best:
+                break
+            best = level.sum()
+        turn += 1
         prices = np.zeros(capacity + 1)
         prices[classes] = inverse.sum(axis=0)
         column = _best_pattern(prices, capacity)

@@ -12,6 +12,7 @@ from .packing import pack
 from .pseudonyms import pseudonym_report
 from .quality import score_quality
 from .quotations import link_quotations
+from .shared import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -75,4 +76,11 @@ QUERIES = [
 
 
 def registered():
-    return {f.__name__: f for f in QUERIES}
+    def sent(query):
+        def run(spark, directory):
+            ship_package(spark)
+            return query(spark, directory)
+
+        return run
+
+    return {f.__name__: sent(f) for f in QUERIES}

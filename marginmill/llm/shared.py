@@ -1,7 +1,10 @@
 """Written intermediate tables in the folder that driver and executors share."""
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,3 +40,17 @@ def numbered(df: DataFrame, order, name: str) -> tuple[DataFrame, DataFrame]:
     ordered = stored(ordered.withColumn("row", F.monotonically_increasing_id()), name)
     ends = ordered.groupBy(F.shiftright("row", 33).alias("task")).agg(F.min("row").alias("first"), F.max("row").alias("last"))
     return ordered, ends
+
+
+def ship_package(spark) -> None:
+    """Send this package to the executors, unless it lies where their Python looks anyway."""
+    root = Path(__file__).resolve().parents[2]
+    looked = [Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))]
+    if root in [p.resolve() for p in looked] or getattr(spark.sparkContext, "_marginmill_sent", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="marginmill-")) / "marginmill.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "marginmill").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._marginmill_sent = True
