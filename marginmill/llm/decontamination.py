@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index over each shard of the training texts, searched for all test phrases.
 
-A shard is one Arrow batch of documents. Its sequence holds the runs of words that the test items know, apart from each
+A shard is some MB of documents of one task. Its sequence holds the runs of words that the test items know, apart from each
 other by a break; a word that no item has, and a run shorter than every phrase, cannot be part of an occurrence and is
 left out of the index. Phrases (windows of WINDOW words of an item, or a shorter item whole) are searched backwards
 through the ranks of a wavelet matrix, all at once, and their occurrences located by sampled suffix positions; overlapping
@@ -195,7 +195,7 @@ def contamination_of(benchmark: DataFrame, window: int = WINDOW, block_items: in
 
     @F.arrow_udf(kind)
     def search(texts: pa.Array) -> pa.Array:
-        return _search(texts, blocks, known.value, shortest)
+        return words.in_slices(lambda t: _search(t, blocks, known.value, shortest), texts)
 
     return search
 

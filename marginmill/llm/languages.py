@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import row_blocks, text_bytes
+from .words import in_slices, row_blocks, text_bytes
 
 BUCKETS = 1 << 15
 SWITCH_PENALTY = 10.0
@@ -203,7 +203,7 @@ def language_of(model: LanguageModel, penalty: float = SWITCH_PENALTY):
 
     @F.arrow_udf("lang_pred string, score double, spans array<struct<lang: string, first_word: long, n_words: long>>")
     def predict(texts: pa.Array) -> pa.Array:
-        return _predict(texts, model, penalty)
+        return in_slices(lambda t: _predict(t, model, penalty), texts)
 
     return predict
 

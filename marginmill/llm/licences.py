@@ -62,7 +62,8 @@ def scan_licences(docs: DataFrame, templates: DataFrame | None = None, threshold
     """
     spark = docs.sparkSession
     if templates is None:
-        templates = spark.createDataFrame(TEMPLATES, "licence string, text string")
+        known = [F.struct(F.lit(name).alias("licence"), F.lit(text).alias("text")) for name, text in TEMPLATES]
+        templates = spark.range(1).select(F.inline(F.array(*known)))
     sizes = _by_size(templates.select("licence", "text"), threshold)
     bounded = templates.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= MOST_BROADCAST
     sizes = F.broadcast(sizes) if bounded else sizes

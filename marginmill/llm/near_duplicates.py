@@ -91,7 +91,7 @@ def _sketch_udf(size: int):
 
     @F.arrow_udf(kind)
     def sketch(texts: pa.Array) -> pa.Array:
-        return _sketches(texts, size)
+        return words.in_slices(lambda t: _sketches(t, size), texts)
 
     return sketch
 
@@ -99,7 +99,7 @@ def _sketch_udf(size: int):
 def _set_udf(size: int):
     @F.arrow_udf("array<long>")
     def shingles(texts: pa.Array) -> pa.Array:
-        return _sets(texts, size)
+        return words.in_slices(lambda t: _sets(t, size), texts)
 
     return shingles
 

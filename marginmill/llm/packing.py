@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import words
 from .shared import stored
 from .tokens import word_encoder
 
@@ -169,7 +170,7 @@ def pack(
 
     @F.arrow_udf(f"array<struct<{fields}>>")
     def pieces_of(texts: pa.Array) -> pa.Array:
-        return _pieces(texts, tokenizer_path, capacity, end, with_ids)
+        return words.in_slices(lambda t: _pieces(t, tokenizer_path, capacity, end, with_ids), texts)
 
     pieces = docs.select("doc_id", F.inline(pieces_of("text")))
     pieces = pieces.withColumn("piece", F.monotonically_increasing_id())

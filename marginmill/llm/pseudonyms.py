@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import text_bytes
+from .words import in_slices, text_bytes
 
 ROUNDS = 10
 #: Only for tests and for the registered query; a real corpus needs a secret of its own.
@@ -230,7 +230,7 @@ def pseudonyms_of(key: bytes = EXAMPLE_KEY, reverse: bool = False):
 
     @F.arrow_udf("text string, found array<struct<kind: string, start: long, end: long>>")
     def replace(texts: pa.Array) -> pa.Array:
-        return _replace_all(texts, key, reverse)
+        return in_slices(lambda t: _replace_all(t, key, reverse), texts)
 
     return replace
 

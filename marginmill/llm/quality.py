@@ -70,7 +70,7 @@ def statistics(column):
 
     @F.arrow_udf(", ".join(f"{s} double" for s in STATISTICS))
     def of(texts: pa.Array) -> pa.Array:
-        return _statistics(texts)
+        return words.in_slices(_statistics, texts)
 
     return of(column)
 

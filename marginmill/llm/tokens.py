@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from . import words
 
-MOST_KNOWN = 1_500_000
+MOST_KNOWN = 800_000
 _FOLDED, _EXACT = words.byte_table(words.SPACES), words.byte_table(words.SPACES, fold_case=False)
 
 

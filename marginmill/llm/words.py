@@ -78,6 +78,17 @@ def row_blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[i
         row = end
 
 
+SLICE_BYTES = 1 << 22
+
+
+def in_slices(of, texts: pa.Array, most: int = SLICE_BYTES) -> pa.Array:
+    """of(texts), worked out for a few rows at a time: what a task holds besides the batch does not grow with it."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    parts = [of(texts.slice(low, high - low)) for low, high in row_blocks(offsets, most)]
+    return pa.concat_arrays(parts) if parts else of(texts)
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
