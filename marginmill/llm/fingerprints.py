@@ -148,19 +148,30 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     keys = ["doc_id", "row", "giver", "times", "n_chars", "edited_sha256", "version"]
     summed = stored(counts_of(both, keys, "own"), "lanes")
-    found = summed.withColumn("lanes", lanes(F.col("paragraphs"), F.col("counters"))).drop("counters")
-    new = found.filter("version = 1").withColumn("edited_fingerprint", fingerprint(F.col("paragraphs"), F.col("lanes")))
-    new = new.withColumnRenamed("lanes", "new").drop("paragraphs", "version")
-    own = found.filter("version = 0").select("row", "paragraphs", "lanes").dropDuplicates(["row"])
-    after = own.select(F.col("row").alias("giver"), F.col("lanes").alias("following"))
+    # Counters are an eighth of what lanes and fingerprints take: these are made after the last shuffle.
+    new = summed.filter("version = 1").drop("version")
+    own = summed.filter("version = 0").select("row", F.col("paragraphs").alias("own_n"), F.col("counters").alias("own"))
+    own = own.dropDuplicates(["row"])
+    after = own.select(F.col("row").alias("giver"), F.col("own_n").alias("after_n"), F.col("own").alias("after"))
     joined = new.join(own, "row").join(after, "giver")
+    joined = joined.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "times",
+        "paragraphs",
+        "own_n",
+        lanes(F.col("paragraphs"), F.col("counters")).alias("new"),
+        lanes(F.col("own_n"), F.col("own")).alias("own"),
+        lanes(F.col("after_n"), F.col("after")).alias("after"),
+    )
     return joined.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("paragraphs"), F.col("lanes")).alias("fingerprint"),
-        "edited_fingerprint",
-        likeness(F.col("lanes"), F.col("new")).alias("near_edited"),
-        likeness(F.col("lanes"), F.col("following")).alias("near_next"),
+        fingerprint(F.col("own_n"), F.col("own")).alias("fingerprint"),
+        fingerprint(F.col("paragraphs"), F.col("new")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("new")).alias("near_edited"),
+        likeness(F.col("own"), F.col("after")).alias("near_next"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"),
     ).drop("copy")
