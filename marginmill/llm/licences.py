@@ -1,13 +1,13 @@
 """Licence scans: normalised text against licence templates, by the Dice coefficient of word bigrams.
 
-What is compared is each line of a document, and the document as a whole where it has several lines. Both sides are
-normalised (small ASCII letters and digits, everything else is a space) and become sets of word bigrams. A set of a
-bigrams can reach the threshold t only with templates of a * t / (2 - t) to a * (2 - t) / t bigrams: templates are listed under
-all sizes within their bounds, and each line meets those under its own size, by an equal join.
+What is compared is each line of a document, the document as a whole where it has several lines, and in what lies between
+matching lines each paragraph (lines up to one without letters and digits), then, between matching paragraphs, every run of
+words that begins with a bigram of a template and is two thirds to three halves as long, in five steps. So notices wrapped over
+lines and notices inside longer lines are found. Both sides are normalised (small ASCII letters and digits, everything
+else, line breaks and comment marks too, is a space) and become sets of word bigrams. A unit reaches the threshold t with
+a template of w bigrams only if it has w * t / (2 - t) of them: texts without as many for any template leave first.
 """
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,32 +29,105 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 THRESHOLD = 0.8
-#: Templates of up to so many characters in all are broadcast (listed under their sizes, some MB); others are shuffled.
-MOST_BROADCAST = 20_000
+#: Templates of up to so many characters in all are constants of the plan; others meet the texts by joins on bigrams.
+MOST_CONSTANT = 20_000
+#: Lengths of runs of words, as shares of the length of a template.
+RUNS = (2 / 3, 5 / 6, 1, 5 / 4, 3 / 2)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def bigrams(text):
-    """The distinct word bigrams of a text column."""
+def _pairs(text):
+    """The word bigrams of a text column, in order."""
     words = F.split(F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " ")), " ")
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     # The last word has no other after it.
-    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+    return F.filter(pairs, lambda p: p.isNotNull())
+
+
+def bigrams(text):
+    """The distinct word bigrams of a text column."""
+    return F.array_distinct(_pairs(text))
+
+
+def _candidates(docs: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, text, wanted: the texts that can match, each with the templates (licence, pairs, length, least) it can match."""
+    sets = templates.select("licence", _pairs(F.col("text")).alias("all")).filter(F.size("all") > 0)
+    # A hair below the bound, for rounding; the coefficient itself decides.
+    least = F.ceil(F.size("pairs") * F.lit(threshold / (2 - threshold)) - 1e-6).cast("int")
+    sets = sets.select("licence", F.array_distinct("all").alias("pairs"), F.size("all").alias("length")).withColumn("least", least)
+    if templates.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= MOST_CONSTANT:
+        rows = sets.collect()
+        if not rows:
+            return docs.limit(0).select("doc_id", "text", F.array().cast(_WANTED).alias("wanted"))
+        constants = [F.struct(F.lit(r.licence).alias("licence"), F.array(*map(F.lit, r.pairs)).alias("pairs"), F.lit(r.length).alias("length"), F.lit(r.least).alias("least")) for r in rows]
+        every = F.array(*map(F.lit, sorted({p for r in rows for p in r.pairs})))
+        hits = docs.select("doc_id", "text", F.array_intersect(_pairs(F.col("text")), every).alias("hits"))
+        hits = hits.filter(F.size("hits") >= min(r.least for r in rows))
+        near = F.filter(F.array(*constants), lambda t: F.size(F.array_intersect("hits", t["pairs"])) >= t["least"])
+        return hits.select("doc_id", "text", near.alias("wanted")).filter(F.size("wanted") > 0)
+    # Rows of one id and text are one document.
+    keyed = docs.withColumn("key", F.sha2("text", 256)).dropDuplicates(["doc_id", "key"])
+    sets = sets.withColumn("template", F.sha2(F.to_json(F.struct("licence", "pairs", "length")), 256)).dropDuplicates(["template"])
+    common = keyed.select("doc_id", "key", F.explode(bigrams(F.col("text"))).alias("pair")).join(
+        sets.select("template", "least", F.explode("pairs").alias("pair")), "pair"
+    )
+    enough = common.groupBy("doc_id", "key", "template").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).filter("n >= least")
+    wanted = enough.select("doc_id", "key", "template").join(sets, "template").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.collect_list(F.struct("licence", "pairs", "length", "least")).alias("wanted")
+    )
+    return keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "text", "wanted")
+
+
+_WANTED = "array<struct<licence: string, pairs: array<string>, length: int, least: int>>"
+_HITS = "array<struct<licence: string, dice: double>>"
+_CUT = "\x01"
+
+
+def _matches(found, threshold):
+    """licence, dice of the templates in `wanted` that a set of bigrams matches."""
+    scored = F.transform("wanted", lambda t: F.struct(t["licence"].alias("licence"), _dice(found, t["pairs"]).alias("dice")))
+    return F.filter(scored, lambda m: m["dice"] >= threshold)
+
+
+def _named(kind, hits):
+    """unit, licence, dice of the matches of numbered units."""
+    return F.flatten(F.transform(hits, lambda h, i: F.transform(h, lambda m: F.struct(F.concat(kind, i.cast("string")).alias("unit"), m["licence"].alias("licence"), m["dice"].alias("dice")))))
+
+
+def _between(parts, hits, mark):
+    """The parts that match nothing, joined up to those that match."""
+    kept = F.transform(parts, lambda p, i: F.when(F.size(F.element_at(hits, i + 1)) > 0, F.lit(_CUT)).otherwise(p))
+    return F.split(F.array_join(kept, mark), _CUT)
+
+
+def _runs(rest, threshold):
+    """group (runs that overlap have one number), licence, dice of the runs of words that match."""
+    def of(t, share):
+        length = F.ceil(t["length"] * F.lit(share)).cast("int")
+        starts = F.filter(F.transform(rest, lambda p, i: F.when(F.array_contains(t["pairs"], p), i + 1)), lambda i: i.isNotNull())
+        scored = F.transform(starts, lambda i: F.struct(i.alias("start"), (i + length).alias("end"), t["licence"].alias("licence"), _dice(F.array_distinct(F.slice(rest, i, length)), t["pairs"]).alias("dice")))
+        return F.filter(scored, lambda m: m["dice"] >= threshold)
+
+    found = F.array_sort(F.flatten(F.transform("wanted", lambda t: F.concat(*[of(t, share) for share in RUNS]))))
+    none = F.array().cast("array<struct<group: int, licence: string, dice: double>>")
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("group"), none.alias("out"))
 
+    def take(so_far, m):
+        group = F.when(m["start"] < so_far["end"], so_far["group"]).otherwise(so_far["group"] + 1)
+        return F.struct(
+            F.greatest(so_far["end"], m["end"]).alias("end"),
+            group.alias("group"),
+            F.concat(so_far["out"], F.array(F.struct(group.alias("group"), m["licence"].alias("licence"), m["dice"].alias("dice")))).alias("out"),
+        )
 
-def _by_size(templates: DataFrame, threshold: float) -> DataFrame:
-    """size, licence, wanted: each template under every size of a set that can match it."""
-    sets = templates.select("licence", bigrams(F.col("text")).alias("wanted")).filter(F.size("wanted") > 0)
-    # A hair wider than the bounds, for rounding; the coefficient itself decides.
-    low = F.floor(F.size("wanted") * F.lit(threshold / (2 - threshold)) - 1e-6)
-    high = F.ceil(F.size("wanted") * F.lit((2 - threshold) / threshold) + 1e-6)
-    return sets.withColumn("size", F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), high.cast("int"))))
+    return F.aggregate(found, start, take, lambda x: x["out"])
 
 
 def scan_licences(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_matches (lines or whole text that match a licence), licences (names, sorted, comma-joined), best (the
-    licence of the highest coefficient, the first by name among equals) and best_dice, for every row.
+    """doc_id, n_matches (lines, whole text, paragraphs and runs of words that match a licence; overlapping runs are one,
+    and what lies in a matching larger or earlier kind of unit is not counted again), licences (names, sorted, comma-joined), best
+    (the licence of the highest coefficient, the first by name among equals) and best_dice, for every row.
 
     Null, empty and one-word texts match nothing: 0, "", null, null. Rows that share an id are one document, and so are
     rows without an id; each row gets what the document has. Templates are (licence, text), any number of each licence; null
@@ -64,19 +137,25 @@ def scan_licences(docs: DataFrame, templates: DataFrame | None = None, threshold
     if templates is None:
         known = [F.struct(F.lit(name).alias("licence"), F.lit(text).alias("text")) for name, text in TEMPLATES]
         templates = spark.range(1).select(F.inline(F.array(*known)))
-    sizes = _by_size(templates.select("licence", "text"), threshold)
-    bounded = templates.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= MOST_BROADCAST
-    sizes = F.broadcast(sizes) if bounded else sizes
-
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
-    unit = docs.select("doc_id", F.posexplode(units).alias("unit", "line")).filter(F.col("line") != "")
-    sets = unit.select("doc_id", "unit", bigrams(F.col("line")).alias("found")).withColumn("size", F.size("found"))
-    # The coefficient belongs to the join: only matches leave it.
-    near = sets.filter("size > 0").alias("s").join(
-        sizes.alias("t"), (F.col("s.size") == F.col("t.size")) & (_dice() >= threshold)
+    texts = _candidates(docs.select("doc_id", "text"), templates.select("licence", "text"), threshold)
+    lines = texts.select("doc_id", "wanted", F.split(F.translate("text", _CUT, " "), "\n").alias("lines"))
+    lines = lines.withColumn("hits", F.transform("lines", lambda x: _matches(bigrams(x), threshold)))
+    whole = F.when(F.size("lines") > 1, _matches(bigrams(F.array_join("lines", "\n")), threshold)).otherwise(F.array().cast(_HITS))
+    lines = lines.withColumn("whole", whole)
+    # Wrapped notices: only where the whole text is none. All in one pass: each step is a column of the row.
+    steps = lines.withColumn("parts", F.when(F.size("whole") == 0, _between(F.col("lines"), F.col("hits"), "\n")).otherwise(F.array().cast("array<string>")))
+    steps = steps.withColumn("parts", F.transform("parts", lambda x: F.split(x, r"\n(?:[^A-Za-z0-9\n]*\n)+")))
+    steps = steps.withColumn("inner", F.transform("parts", lambda ps: F.transform(ps, lambda x: _matches(bigrams(x), threshold))))
+    rest = F.flatten(F.transform("parts", lambda ps, i: _between(ps, F.element_at("inner", i + 1), "\n")))
+    steps = steps.withColumn("rest", F.transform(rest, _pairs))
+    steps = steps.withColumn("runs", F.transform("rest", lambda x: _runs(x, threshold)))
+    units = F.concat(
+        _named(F.lit("line"), F.col("hits")),
+        _named(F.lit("whole"), F.array("whole")),
+        F.flatten(F.transform("inner", lambda hits, i: _named(F.concat(F.lit("paragraph"), i.cast("string"), F.lit(".")), hits))),
+        F.flatten(F.transform("runs", lambda runs, i: F.transform(runs, lambda m: F.struct(F.concat(F.lit("run"), i.cast("string"), F.lit("."), m["group"].cast("string")).alias("unit"), m["licence"].alias("licence"), m["dice"].alias("dice"))))),
     )
-    matches = near.select("doc_id", "unit", "licence", _dice().alias("dice"))
+    matches = steps.select("doc_id", F.inline(units))
     of_unit = matches.groupBy("doc_id", "unit", "licence").agg(F.max("dice").alias("dice"))
     of_doc = of_unit.groupBy(F.col("doc_id").alias("_id")).agg(
         F.count_distinct("unit").alias("n_matches"),
@@ -92,6 +171,6 @@ def scan_licences(docs: DataFrame, templates: DataFrame | None = None, threshold
     )
 
 
-def _dice():
-    common = F.size(F.array_intersect("s.found", "t.wanted"))
-    return common * 2 / (F.col("s.size") + F.size("t.wanted"))
+def _dice(found, wanted):
+    common = F.size(F.array_intersect(found, wanted))
+    return common * 2 / (F.size(found) + F.size(wanted))

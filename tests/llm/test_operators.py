@@ -402,3 +402,27 @@ def test_word_hashes_do_not_depend_on_blocks():
     assert (np.concatenate(one) == np.concatenate(many)).all()
     sliced = pa.array(["zero", *texts]).slice(1)
     assert (np.concatenate([b.hashes for b in words.word_blocks(sliced, words.byte_table(words.SPACES))]) == np.concatenate(one)).all()
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+
+
+def test_wrapped_licences(docs, monkeypatch):
+    header = "import x\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nx = 1"
+    rows = [(1, MIT_FILE, None), (2, header, None), (3, f"{prose(random.Random(1), 90)} released\nunder the MIT license, {prose(random.Random(2), 90)}", None), (4, MIT_FILE.replace("\n", "\n * ") + f"\n\n{prose(random.Random(4), 200)}\n\n" + MIT_FILE, None), (5, prose(random.Random(3), 200), None)]
+    want = {1: (1, "MIT"), 2: (1, "GPL-3.0"), 3: (1, "MIT"), 4: (2, "MIT"), 5: (0, "")}
+    for most in (licences.MOST_CONSTANT, 0):
+        monkeypatch.setattr(licences, "MOST_CONSTANT", most)
+        assert {r.doc_id: (r.n_matches, r.licences) for r in licences.scan_licences(docs(rows)).collect()} == want
