@@ -81,8 +81,8 @@ def _phone(text, move):
     digits = _digits(text)
     if not 9 <= len(digits) <= 15:
         return None
-    # The country code, as far as it is set apart, is part of the format.
-    code = len(_digits(m[0])) if (m := re.match(r"\+\d{1,3}(?=[ .(-])", text)) else 0
+    # The country code or trunk digit, as far as it is set apart, is part of the format.
+    code = len(_digits(m[0])) if (m := re.match(r"\+\d{1,3}(?=[ .(-])|1(?=[ .-])", text)) else 0
     rest = digits[code:]
     return _refill(text, digits[:code] + f"{move(f'phone{code}', 10 ** len(rest), int(rest)):0{len(rest)}d}")
 
@@ -121,10 +121,16 @@ def _date(text, move):
         return None
     if not 0 <= day < _DAYS:
         return None
-    # A date that can only be month first stays one that can only be month first.
-    good = (lambda v: datetime.date.fromordinal(_FIRST_DAY + v).day > 12) if order == "mdy" else None
-    new = datetime.date.fromordinal(_FIRST_DAY + move(f"date-{order}", _DAYS, day, good))
-    written = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+    wide = dict(zip(order, map(len, (a, b, c))))
+
+    # A date that can only be month first stays one that can only be month first; a field of one digit stays one.
+    def good(v):
+        new = datetime.date.fromordinal(_FIRST_DAY + v)
+        return (order != "mdy" or new.day > 12) and (wide["d"] > 1 or new.day < 10) and (wide["m"] > 1 or new.month < 10)
+
+    kind = f"date-{order}" + "".join(f"-{x}" for x in "dm" if wide[x] == 1)
+    new = datetime.date.fromordinal(_FIRST_DAY + move(kind, _DAYS, day, good))
+    written = {"y": f"{new.year:04d}", "m": f"{new.month:0{wide['m']}d}", "d": f"{new.day:0{wide['d']}d}"}
     return mark.join(written[x] for x in order)
 
 
@@ -157,11 +163,13 @@ def _check_digits(country: str, rest: str) -> str:
 
 
 def _account(text, move):
-    country, check, rest = text[:2], text[2:4], text[4:]
+    plain = re.sub(r"[ -]", "", text)
+    country, check, rest = plain[:2], plain[2:4], plain[4:]
     if check != _check_digits(country, rest):
         return None
     rest = _by_class("account" + country, rest, move)
-    return country + _check_digits(country, rest) + rest
+    take = iter(country + _check_digits(country, rest) + rest)
+    return re.sub(r"[^ -]", lambda _: next(take), text)
 
 
 def _mail(text, move):
@@ -170,20 +178,32 @@ def _mail(text, move):
 
 
 def _secret(text, move):
-    head, value = re.fullmatch(r"(.*?[:=]\s*[\"']?)([\w+/.-]+)", text, re.S).groups()
-    return head + _by_class("secret", value, move, _HEX if re.fullmatch(r"[0-9a-f]+", value) else _CLASSES)
+    # Marks of the sentence after a secret are no part of it.
+    head, value, tail = re.fullmatch(r"(.*?[:=][ ]?[\"']?)(.*?)([.,;:!?)\]}>]*)", text, re.S).groups()
+    if not re.search(r"[0-9A-Za-z]", value):
+        return None
+    return head + _by_class("secret", value, move, _HEX if re.fullmatch(r"[0-9a-f]+", value) else _CLASSES) + tail
+
 
+#: Lengths of account numbers by country, for those printed in groups: where such a number ends. Fixed values.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}}}" for n, c in ACCOUNT_LENGTHS.items())
 
 #: Kinds in order of precedence: pattern, and the function that gives the pseudonym, or None for what fails its check.
 KINDS = [
-    ("secret", r"\b(?i:password|passwd|secret|token|api[_-]?key)[ ]?[:=][ ]?[\"']?[A-Za-z0-9_+/.-]{8,}", _secret),
+    ("secret", r"\b(?i:password|passwd|secret|token|api[_-]?key)[ ]?[:=][ ]?(?:\"[^\"\n]{8,}(?=\")|'[^'\n]{8,}(?=')|[\"']?[^\s\"']{8,})", _secret),
     ("mail", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _mail),
-    ("account", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", _account),
-    ("phone", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])", _phone),
+    ("account", rf"\b(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{_GROUPED})\b", _account),
+    ("phone", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d(?:[ .()-]{0,2}\d){8,14}(?!\d)|(?<!\w)\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\w-])|(?<![\w.-])(?:1[ .-])?\d{3}([.-])\d{3}\1\d{4}(?![\w-]|\.\d)", _phone),
     ("card", r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![0-9A-Za-z])", _card),
     ("social", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _social),
     ("address", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _address),
-    ("date", r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)", _date),
+    ("date", r"(?<![\w/.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?:(?=T\d{1,2}:?\d{2})|(?![\w/-]|\.\d))", _date),
 ]
 _COMPILED = [(name, re.compile(pattern, re.ASCII), replace) for name, pattern, replace in KINDS]
 

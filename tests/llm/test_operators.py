@@ -426,3 +426,20 @@ def test_wrapped_licences(docs, monkeypatch):
     for most in (licences.MOST_CONSTANT, 0):
         monkeypatch.setattr(licences, "MOST_CONSTANT", most)
         assert {r.doc_id: (r.n_matches, r.licences) for r in licences.scan_licences(docs(rows)).collect()} == want
+
+
+@pytest.mark.parametrize("kind, value, hidden", [
+    ("account", "DE89 3704 0044 0532 0130 00", "3704"), ("account", "BE68-5390-0754-7034", "5390"), ("phone", "+33 1 23 45 67 89", "23 45 67"),
+    ("phone", "+91 98765 43210", "98765"), ("phone", "555.123.4567", "123.4567"), ("phone", "1-800-555-1234", "555-1234"),
+    ("phone", "(020) 7946 0958", "7946 0958"), ("date", "3/7/1990", "3/7/1990"), ("date", "1990-03-07T10:15:00", "1990-03-07"),
+    ("date", "9.11.1989", "9.11.1989"), ("secret", "password=p@ssw0rd!", "p@ssw0rd"), ("secret", 'token: "two words; #1"', "two words"),
+])
+def test_pseudonyms_of_other_spellings(kind, value, hidden):
+    for text in (value, f"see {value} AND 12 more", f"({value})", f"{value}."):
+        new, found = pseudonyms.pseudonymised(text, b"k")
+        assert [k for k, *_ in found] == [kind] and hidden not in new, (text, new)
+        assert pseudonyms.pseudonymised(new, b"k", reverse=True)[0] == text
+    if kind == "account":
+        plain = lambda t: re.sub("[ -]", "", t)
+        new = pseudonyms.pseudonymised(value, b"k")[0]
+        assert plain(new) == pseudonyms.pseudonymised(plain(value), b"k")[0] and [c in " -" for c in new] == [c in " -" for c in value]
