@@ -1,8 +1,10 @@
 """Quotation linking: what messages quote of each other becomes replies, and goes from their texts.
 
 A line is quoted as deep as it has `>` signs in front. Lines of one depth that follow each other are a passage. Passages,
-and their lines, are normalised (letters and digits, one space between words, small letters) and hashed. A quoted passage
-is joined to its original: the first message of the conversation that has it as its own text. A message replies to the
+their lines, their paragraphs (up to a blank line, however wrapped) and sentences are normalised (letters and digits, one space
+between words, small letters) and hashed. A quoted passage is joined to its original: the first message of the conversation that
+has it as its own text; where none has the passage or a line of it, one that has a paragraph, then one that has a sentence of
+it (the latest, if parts of a passage come from several). A message replies to the
 original of its least deep linked quote, the latest one if there are several; without a linked quote to the message before it.
 """
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .shared import numbered, stored
 
+#: Between sentences.
+_SENTENCE = r"(?<=[.!?])\s+|(?<=[。！？])"
 _MARKS = r"^((?:[ \t]*>)*)[ \t]*(.*)$"
 
 
@@ -52,16 +56,21 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     keys = rows.select("row", "conv_id", "turn")
     found = stored(passages(rows.select("row", "text").filter("text IS NOT NULL")), "passages")
 
-    # A passage as a whole and each of its lines can be quoted.
-    units = found.select(
-        "row", "passage", "level", F.explode(F.array_union(F.col("lines"), F.array(F.array_join("lines", " ")))).alias("unit")
-    )
+    # A passage as a whole, its lines, paragraphs and sentences can be quoted; larger ones tell more than smaller ones.
+    whole = F.array_union(F.col("lines"), F.array(F.array_join("lines", " ")))
+    paragraphs = F.split(F.array_join("lines", "\n"), r"\n(?:\s*\n)+")
+    steps = found.withColumn("whole", whole).withColumn("paragraphs", F.array_except(paragraphs, F.col("whole")))
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, _SENTENCE)))
+    steps = steps.withColumn("sentences", F.array_except(sentences, F.array_union("whole", "paragraphs")))
+    kinds = [F.transform(name, lambda u, rank=rank: F.struct(F.lit(rank).alias("rank"), u.alias("unit"))) for rank, name in enumerate(("whole", "paragraphs", "sentences"))]
+    units = steps.select("row", "passage", "level", F.inline(F.concat(*kinds)))
     units = units.withColumn("hash", _normal_hash(F.col("unit"))).filter(F.col("hash") != F.md5(F.lit(""))).drop("unit")
     placed = units.join(keys.filter("conv_id IS NOT NULL AND turn IS NOT NULL"), "row")
     originals = placed.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
     quotes = placed.filter("level > 0").join(originals, ["conv_id", "hash"], "left").filter("original < turn")
-    linked = quotes.groupBy("row").agg(
-        F.min(F.struct("level", (-F.col("original")).alias("less"))).alias("best"), F.count_distinct("passage").alias("n_linked")
+    of_passage = quotes.groupBy("row", "passage", "level").agg(F.min(F.struct("rank", (-F.col("original")).alias("less"))).alias("top"))
+    linked = of_passage.groupBy("row").agg(
+        F.min(F.struct("level", F.col("top.less").alias("less"))).alias("best"), F.count(F.lit(1)).alias("n_linked")
     )
     real = F.exists("lines", lambda x: F.trim(x) != "")
     own = F.filter(F.array_sort(F.collect_list(F.struct("passage", "level", "lines"))), lambda x: x["level"] == 0)

@@ -443,3 +443,18 @@ def test_pseudonyms_of_other_spellings(kind, value, hidden):
         plain = lambda t: re.sub("[ -]", "", t)
         new = pseudonyms.pseudonymised(value, b"k")[0]
         assert plain(new) == pseudonyms.pseudonymised(plain(value), b"k")[0] and [c in " -" for c in new] == [c in " -" for c in value]
+
+
+def test_quotations_wrapped_anew_and_of_one_sentence(spark):
+    rows = [
+        (1, 0, "user", "A first part that is\nlong enough.\n\nAnother part follows here. It ends. Thanks."),
+        (1, 1, "user", "Thanks."),
+        (1, 2, "user", "Nothing of it."),
+        (1, 3, "assistant", "> A first part\n> that is long enough.\nyes"),
+        (1, 4, "assistant", "> Another part follows\n> here.\nwhere"),
+        (1, 5, "assistant", "> A first part that\n> is long enough.\n>\n> Another part follows here. It\n> ends. Thanks.\nboth"),
+        (1, 6, "assistant", "> A first\n> part that is long enough.\n>\n> Thanks. What else?\nno"),
+    ]
+    out = {r.turn: r for r in quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(out[t].reply_to, out[t].n_quoted, out[t].n_linked) for t in (3, 4, 5, 6)] == [(0, 1, 1)] * 4
+    assert [out[t].text for t in (3, 4, 5, 6)] == ["yes", "where", "both", "no"]
