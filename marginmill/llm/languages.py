@@ -8,6 +8,7 @@ The model is counts of hashed trigrams for each language: `languages` x 32,768 n
 corpus, and counted over all labelled rows. It is the one thing that reaches the driver.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ SWITCH_PENALTY = 10.0
 #: A language is a candidate for a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
 UNDETERMINED = "und"
+#: The score of a trigram where all are equally likely. Texts that fit their labels no better fit no learned language.
+LEAST_FIT = -math.log(BUCKETS)
 
 #: Scripts by the first byte of a character in UTF-8: (first, last, script). Fixed values of the encoding.
 SCRIPTS = [
@@ -156,6 +159,7 @@ def _predict(texts: pa.Array, model: LanguageModel, penalty: float) -> pa.Array:
     data, offsets = _lowered(texts)
     n, wide = len(texts), len(model.languages)
     letters = np.zeros((n, max(wide, 1)), np.int64)
+    fit, trigrams = np.zeros(n), np.zeros(n, np.int64)
     span_row, span_label, span_first, span_words = [], [], [], []
     for low, high in row_blocks(offsets, max(1 << 16, (1 << 23) // max(wide, 1))):
         block, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
@@ -168,6 +172,8 @@ def _predict(texts: pa.Array, model: LanguageModel, penalty: float) -> pa.Array:
         labels = _best_path(scores, found.bounds, penalty)
         rows = np.repeat(np.arange(high - low), np.diff(found.bounds))
         np.add.at(letters, (low + rows, labels), found.letters)
+        np.add.at(fit, low + rows, scores[np.arange(len(labels)), labels])
+        trigrams[low:high] += np.bincount(found.letter_rows, minlength=high - low)
         begins = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (rows[1:] != rows[:-1]))))
         span_row.append(low + rows[begins])
         span_label.append(labels[begins])
@@ -189,19 +195,21 @@ def _predict(texts: pa.Array, model: LanguageModel, penalty: float) -> pa.Array:
     rows, label, first, count = rows[real], label[real], first[real], count[real]
     spans = pa.StructArray.from_arrays([pa.array(names[label], pa.string()), pa.array(first), pa.array(count)], ["lang", "first_word", "n_words"])
     bounds = pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32))
-    columns = [pa.array(predicted, pa.string()), pa.array(score), pa.ListArray.from_arrays(bounds, spans)]
-    return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "spans"])
+    fit = pa.array(fit / np.maximum(trigrams, 1), mask=total == 0)
+    columns = [pa.array(predicted, pa.string()), pa.array(score), fit, pa.ListArray.from_arrays(bounds, spans)]
+    return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "fit", "spans"])
 
 
 def language_of(model: LanguageModel, penalty: float = SWITCH_PENALTY):
     """A column function of a text column: struct of lang_pred, score (share of the letters that lie in spans of that
-    language, 0 to 1) and spans (language, first word counted from 0, number of words).
+    language, 0 to 1), fit (mean log probability of all trigrams, each in the language of its word) and spans (language,
+    first word counted from 0, number of words).
 
-    Null, empty and letterless texts are `und` with score 0 and no spans, and so is every text where nothing was
+    Null, empty and letterless texts are `und` with score 0, null fit and no spans, and so is every text where nothing was
     learned. Of languages with as many letters the first by name is taken. Texts are read whole.
     """
 
-    @F.arrow_udf("lang_pred string, score double, spans array<struct<lang: string, first_word: long, n_words: long>>")
+    @F.arrow_udf("lang_pred string, score double, fit double, spans array<struct<lang: string, first_word: long, n_words: long>>")
     def predict(texts: pa.Array) -> pa.Array:
         return in_slices(lambda t: _predict(t, model, penalty), texts)
 
@@ -222,13 +230,14 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score")
 
 
-def with_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows whose language could be told: `und` goes, and so do texts in which no language has least_score of
-    the letters. All columns stay as they are."""
+def with_language(docs: DataFrame, least_fit: float = LEAST_FIT) -> DataFrame:
+    """The rows whose languages could be told: `und` goes, and so do texts whose words, each in the language of its span,
+    have a mean trigram score of least_fit or less. Texts in several languages stay, however these share the letters. All
+    columns stay as they are."""
     model = learn_languages(docs.filter(~held_out(F.col("doc_id"))))
     name = "_language"
     while name in docs.columns:
         name += "_"
     found = docs.withColumn(name, language_of(model)("text"))
-    good = (F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= least_score)
+    good = (F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.fit") > least_fit)
     return found.filter(good).drop(name)

@@ -458,3 +458,16 @@ def test_quotations_wrapped_anew_and_of_one_sentence(spark):
     out = {r.turn: r for r in quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [(out[t].reply_to, out[t].n_quoted, out[t].n_linked) for t in (3, 4, 5, 6)] == [(0, 1, 1)] * 4
     assert [out[t].text for t in (3, 4, 5, 6)] == ["yes", "where", "both", "no"]
+
+
+def test_mixed_languages_stay(docs):
+    rng = random.Random(5)
+    syllables = {"xx": ["ka", "to", "mi"], "yy": ["bre", "sul", "wen"], "zz": ["жо", "ки", "ме"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(n))
+    rows = [(i, make(lang, 40), lang) for i in range(150) for lang in [rng.choice("xyz") * 2]]
+    mixed = ". ".join([make("xx", 45), make("yy", 26), make("zz", 20)])
+    strange = " ".join("".join(rng.choices("qjvxhfpg", k=7)) for _ in range(60))
+    found = docs([(1, mixed, None)]).select(languages.language_of(languages.learn_languages(docs(rows)))("text").alias("f")).first().f
+    assert found.score < 0.5 and [s.lang for s in found.spans] == ["xx", "yy", "zz"]
+    kept = {r.doc_id for r in languages.with_language(docs([*rows, (1000, mixed, None), (1001, strange, None)])).collect()}
+    assert kept == {i for i, *_ in rows} | {1000}
