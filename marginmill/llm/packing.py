@@ -23,6 +23,8 @@ CAPACITY = 4096
 UNIT = 8
 END = 2
 TOLERANCE = 1e-3
+#: Columns that are generated at most, as a multiple of the number of classes.
+MOST_ROUNDS = 50
 
 
 def _best_pattern(values: np.ndarray, capacity: int) -> np.ndarray:
@@ -44,9 +46,30 @@ def _best_pattern(values: np.ndarray, capacity: int) -> np.ndarray:
     return pattern
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """matrix @ vector without the threads of a linear algebra library, which can lock up beside a JVM's."""
+    return (matrix * vector).sum(axis=1)
+
+
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row exchanges."""
+    m = len(basis)
+    both = np.hstack([basis, np.eye(m)])
+    for k in range(m):
+        top = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0.0
+        rows = np.flatnonzero(factors)
+        both[rows] -= factors[rows, None] * both[k]
+    return both[:, m:]
+
+
 def fractional_patterns(demand: np.ndarray, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows, over classes 0 to capacity) and how often each is used in the linear program's solution.
-    demand[c] pieces take c units; demand[0] is 0. Column generation by the revised simplex method."""
+    demand[c] pieces take c units; demand[0] is 0. Column generation by the revised simplex method: every basis is a solution,
+    so the loop may end at any turn; it does so after MOST_ROUNDS columns a class at the latest."""
     capacity = len(demand) - 1
     classes = np.flatnonzero(demand)
     m = len(classes)
@@ -56,35 +79,35 @@ def fractional_patterns(demand: np.ndarray, tolerance: float = TOLERANCE) -> tup
     patterns[np.arange(m), classes] = capacity // classes
     inverse = np.diag(1.0 / (capacity // classes))
     need = demand[classes].astype(float)
-    level = inverse @ need
-    full = float(classes @ need) / capacity
-    turn, best = 0, np.inf
-    while True:
+    level = _times(inverse, need)
+    full = float((classes * need).sum()) / capacity
+    best = np.inf
+    for turn in range(MOST_ROUNDS * m):
         if turn % m == 0:
-            # Every basis is a solution; a round of as many columns as classes that gains too little is the last one.
-            if level.sum() > (1 - tolerance) * best:
+            # A round of as many columns as classes that gains too little is the last one.
+            if not level.sum() <= (1 - tolerance) * best:
                 break
             best = level.sum()
-        turn += 1
         prices = np.zeros(capacity + 1)
         prices[classes] = inverse.sum(axis=0)
         column = _best_pattern(prices, capacity)
-        worth = float(prices @ column)
+        worth = float((prices * column).sum())
         # The prices over `worth` are a feasible dual: a lower bound of the program, as are sequences without padding.
-        bound = max(full, float(prices[classes] @ need) / worth)
+        bound = max(full, float((prices[classes] * need).sum()) / worth)
         if worth <= 1 + 1e-9 or level.sum() <= (1 + tolerance) * bound:
             break
-        direction = inverse @ column[classes]
+        direction = _times(inverse, column[classes])
         rising = direction > 1e-9
         steps = np.where(rising, level / np.where(rising, direction, 1), np.inf)
         out = int(steps.argmin())
         patterns[out] = column
         inverse[out] /= direction[out]
-        others = np.arange(m) != out
-        inverse[others] -= np.outer(direction[others], inverse[out])
-        if turn % 100 == 0:
-            inverse = np.linalg.inv(patterns[:, classes].T.astype(float))
-        level = np.maximum(inverse @ need, 0.0)
+        direction[out] = 0.0
+        rows = np.flatnonzero(direction)
+        inverse[rows] -= direction[rows, None] * inverse[out]
+        if turn % 100 == 99:
+            inverse = _inverse(patterns[:, classes].T.astype(float))
+        level = np.maximum(_times(inverse, need), 0.0)
     return patterns, level
 
 

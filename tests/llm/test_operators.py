@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -271,6 +272,18 @@ def test_packing(spark, docs):
     assert packing.pack(docs([]).limit(0), PATH).count() == 0
 
 
+def test_patterns_beside_a_session(spark):
+    """The linear program needs no threads of its own, which once locked up beside a JVM's."""
+    rng = np.random.default_rng(5)
+    demand = np.zeros(513, np.int64)
+    demand[rng.choice(np.arange(1, 513), 114, replace=False)] = rng.integers(1, 4, 114)
+    began = time.monotonic()
+    patterns, level = packing.fractional_patterns(demand)
+    assert time.monotonic() - began < 10
+    assert ((patterns * level[:, None]).sum(axis=0) >= demand - 1e-6).all()
+    assert np.allclose(packing._inverse(np.array([[0.0, 2.0], [4.0, 1.0]])), [[-0.125, 0.25], [0.5, 0.0]])
+
+
 def test_patterns_cover_the_demand():
     rng = np.random.default_rng(1)
     demand = np.concatenate(([0], rng.integers(0, 50, 64)))
