@@ -99,5 +99,56 @@ FROM documents d LEFT JOIN o USING (doc_id)
 """
 
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS units
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.units, c.units)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+LEXICAL_SEARCH = f"""
+WITH d AS (
+  SELECT doc_id, {_TERMS} AS term FROM documents
+), f AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM d GROUP BY ALL
+), n AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id
+), a AS (
+  SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS terms FROM n
+), q AS (
+  SELECT DISTINCT item_id, {_TERMS} AS term FROM benchmark
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, a GROUP BY term
+), s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN n USING (doc_id), a GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER o)::INT AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licences": LICENCES, "op6_archives": ARCHIVES, "op10_fingerprints": FINGERPRINTS}
+    return {
+        "op4_licences": LICENCES,
+        "op6_archives": ARCHIVES,
+        "op10_fingerprints": FINGERPRINTS,
+        "op12_hard_negatives": HARD_NEGATIVES,
+        "op13_lexical_search": LEXICAL_SEARCH,
+    }

@@ -4,8 +4,11 @@ import public_tokenizers
 
 from .archives import page_records
 from .decontamination import find_contamination
+from .divergence import rate_divergence
 from .fingerprints import edited_fingerprints
+from .hard_negatives import hard_negatives
 from .languages import identify_languages
+from .lexical_search import search
 from .licences import scan_licences
 from .near_duplicates import near_duplicates
 from .packing import pack
@@ -61,6 +64,18 @@ def op10_fingerprints(spark, directory):
     return edited_fingerprints(table(spark, directory, "documents"))
 
 
+def op11_divergence(spark, directory):
+    return rate_divergence(table(spark, directory, "documents"))
+
+
+def op12_hard_negatives(spark, directory):
+    return hard_negatives(table(spark, directory, "embeddings"))
+
+
+def op13_lexical_search(spark, directory):
+    return search(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 QUERIES = [
     op1_pseudonyms,
     op2_near_duplicates,
@@ -72,6 +87,9 @@ QUERIES = [
     op8_quality,
     op9_decontamination,
     op10_fingerprints,
+    op11_divergence,
+    op12_hard_negatives,
+    op13_lexical_search,
 ]
 
 
