@@ -122,12 +122,31 @@ def whole_units(col, digits):
     value that has more digits than that, or is no number, is an error and not rounded."""
     scaled = col.cast("double") * F.lit(float(10**digits))
     whole = F.rint(scaled)
-    # What is left of a double after scaling is far below this.
-    finer = F.isnan(scaled) | (F.abs(scaled - whole) > F.greatest(F.lit(0.001), F.abs(scaled) * 1e-12))
+    # What is left of a double after scaling is far below this. NaN is above every number.
+    finer = F.abs(scaled - whole) > F.abs(scaled) * 1e-12 + 0.001
     text = F.concat(F.lit(f"more than {digits} decimals: "), col.cast("string"))
     return F.when(finer, F.raise_error(text).cast("bigint")).otherwise(whole.cast("bigint"))
 
 
+#: Fixed-point numbers are summed in three parts of so many bits: whole numbers of 10 ** -FIXED_DIGITS, exact for any
+#: number of rows up to 2 ** 42.
+FIXED_DIGITS, PART_BITS = 15, 20
+
+
+def fixed_parts(col):
+    """A number below 4000 in size as a fixed-point one, in three whole parts: sums of these are plain integer sums."""
+    fixed = F.rint(col * F.lit(10.0**FIXED_DIGITS)).cast("bigint")
+    low = F.lit((1 << PART_BITS) - 1)
+    return [F.shiftright(fixed, 2 * PART_BITS), F.shiftright(fixed, PART_BITS).bitwiseAND(low), fixed.bitwiseAND(low)]
+
+
+def from_fixed_parts(high, middle, low):
+    """Sums of the parts back to the number."""
+    exact = [c.cast("decimal(38,0)") for c in (high, middle, low)]
+    step = F.lit(1 << PART_BITS)
+    return ((exact[0] * step + exact[1]).cast("decimal(38,0)") * step + exact[2]).cast("double") / F.lit(10.0**FIXED_DIGITS)
+
+
 def from_units(col, digits):
     """Whole counts of 10 ** -digits back to the number, rounded once."""
     return (col * F.expr(f"{10.0**-digits:.{digits}f}BD")).cast("double")

@@ -35,7 +35,9 @@ def _ranges(values: DataFrame) -> DataFrame:
     return values.groupBy("metric", "range").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(place).alias("places"),
-        F.sum((place * place).cast("decimal(20,0)")).alias("squares"),
+        # In two parts, so that plain integer sums are enough for any number of rows.
+        F.sum(F.shiftright(place * place, LEVEL)).alias("squares_high"),
+        F.sum((place * place).bitwiseAND(F.lit((1 << LEVEL) - 1))).alias("squares_low"),
         F.min("units").alias("min"),
         F.max("units").alias("max"),
     )
@@ -51,7 +53,8 @@ def _moments(ranges: DataFrame) -> DataFrame:
     )
     whole = whole.withColumn("middle", F.floor(F.col("total") / F.col("n")).cast("bigint"))
     rows, places = F.col("rows").cast("double"), F.col("places").cast("decimal(19,0)")
-    inside = (F.col("squares") * F.col("rows") - places * places).cast("double") / rows
+    squares = F.col("squares_high").cast("decimal(20,0)") * (1 << LEVEL) + F.col("squares_low").cast("decimal(20,0)")
+    inside = (squares * F.col("rows") - places * places).cast("double") / rows
     apart = (F.shiftleft("range", LEVEL) - F.col("middle")).cast("double") + places.cast("double") / rows
     # One row for each metric.
     spread = ranges.drop("min", "max").join(F.broadcast(whole), "metric").groupBy("metric", "n", "total", "min", "max").agg(

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import COST_SHARE_LOW, COST_SHARE_WIDTH
-from ..functions.columns import bround2, cents, draw_fraction, money, ratio_pct
+from ..functions.columns import bround2, cents, draw_fraction, fixed_parts, from_fixed_parts, money, ratio_pct
 from .relational import as_list, with_keys
 
 #: Sums of row margins, exact at twelve decimals.
 MARGIN_SUM = "decimal(38,12)"
+#: Parts of the sum of 1 / price.
+INVERSE = ["inverse_high", "inverse_middle", "inverse_low"]
 TOTALS = ["items", "priced", "costed", "revenue_cents", "cost_cents", "profit_cents", "margin_rows"]
 
 
@@ -26,8 +28,8 @@ def item_totals(items: DataFrame, *keys: str) -> DataFrame:
         F.count("price").alias("priced"),
         F.sum(cents(price)).alias("revenue_cents"),
         F.count_if(price != 0).alias("nonzero"),
-        # Summed as decimals, so that the mean margin does not depend on the order of the rows either.
-        F.sum(F.try_divide(F.lit(1.0), price).cast("decimal(28,18)")).alias("inverse_price"),
+        # Summed in fixed point, so that the mean margin does not depend on the order of the rows either.
+        *[F.sum(part).alias(name) for name, part in zip(INVERSE, fixed_parts(F.try_divide(F.lit(1.0), price)))],
     )
 
 
@@ -55,7 +57,7 @@ def _with_cost_measures(totals: DataFrame, keys) -> DataFrame:
         F.coalesce(F.col("items") * unit, F.lit(0)).alias("cost_cents"),
         F.coalesce(F.col("revenue_cents") - F.col("priced") * unit, F.lit(0)).alias("profit_cents"),
         F.when(known, F.col("nonzero")).otherwise(0).alias("margin_rows"),
-        (F.lit(100.0) * (F.col("nonzero") - cost * F.col("inverse_price").cast("double")))
+        (F.lit(100.0) * (F.col("nonzero") - cost * from_fixed_parts(*map(F.col, INVERSE))))
         .cast(MARGIN_SUM)
         .alias("margin_sum"),
     )
