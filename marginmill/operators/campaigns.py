@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CAMPAIGN_IDS
 from ..functions.columns import cents, draw_choice, money, ratio_pct
-from .joins import distinct_orders, with_campaign, with_campaign_id
+from .joins import with_campaign, with_campaign_id
 from .relational import ranked, with_keys
-from .totals import key_totals, product_totals, profit, revenue, roi_pct
+from .totals import key_totals, order_totals, orders_count, product_totals, profit, revenue, roi_pct
 
 
 def mapped(sales: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -30,8 +30,12 @@ def drawn_campaign_totals(sales: DataFrame, costs: DataFrame | None = None, camp
     return key_totals(with_keys(drawn, "campaign_id"), costs, ["campaign_id"])
 
 
-def campaign_roi(totals: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Campaigns with sales, best return on budget first."""
+def campaign_order_totals(sales: DataFrame, mapping: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """Totals by campaign with distinct orders."""
+    return order_totals(mapped(sales, mapping), costs, ["campaign_id"])
+
+
+def _returns(totals: DataFrame, campaigns: DataFrame, *further) -> DataFrame:
     rows = with_campaign(totals, campaigns).select(
         "campaign_id",
         "campaign_name",
@@ -41,14 +45,19 @@ def campaign_roi(totals: DataFrame, campaigns: DataFrame) -> DataFrame:
         revenue().alias("revenue"),
         profit().alias("gross_profit"),
         roi_pct(F.col("budget")).alias("roi_pct"),
+        *further,
     )
     return ranked(rows, "roi_pct", "campaign_id")
 
 
-def campaign_performance(totals: DataFrame, campaigns: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:
-    """campaign_roi with the distinct orders of each campaign."""
-    orders = distinct_orders(items, mapping, "campaign_id")
-    return ranked(campaign_roi(totals, campaigns).join(orders, "campaign_id"), "roi_pct", "campaign_id")
+def campaign_roi(totals: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Campaigns with sales, best return on budget first."""
+    return _returns(totals, campaigns)
+
+
+def campaign_performance(totals: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """campaign_roi with the distinct orders of each campaign, from totals with orders."""
+    return _returns(totals, campaigns, orders_count().alias("total_orders"))
 
 
 def _order_by(measure: str, sign: int = 1, key: str = "campaign_id"):

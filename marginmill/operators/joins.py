@@ -53,14 +53,6 @@ def order_segments(orders: DataFrame, segments: DataFrame, how: str = "inner", p
     return with_segment(orders, segments, how, plain_names).select("order_id", "customer_segment")
 
 
-def distinct_orders(items: DataFrame, order_attributes: DataFrame, key: str, name: str = "total_orders") -> DataFrame:
-    """Distinct orders with items per value of an order attribute; each order is one row before the join, and has one row
-    of attributes."""
-    sold = items.select("order_id").distinct()
-    joined = sold.join(order_attributes.select("order_id", key), "order_id")
-    return joined.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("order_id").alias(name))
-
-
 def sales_wide(
     items: DataFrame,
     costs: DataFrame | None,

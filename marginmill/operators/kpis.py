@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cents, money, month_key, month_start, ratio_pct, safe_ratio
 from .relational import month_range, ordered, top_k, with_keys
 from .joins import with_orders
-from .totals import avg_margin_pct, cost, key_totals, margin_pct, profit, revenue, roll_up
+from .totals import avg_margin_pct, cost, key_totals, margin_pct, order_totals, orders_count, profit, revenue, roll_up
 
 
 def total_orders(orders: DataFrame) -> DataFrame:
@@ -17,30 +17,24 @@ def total_payments(payments: DataFrame) -> DataFrame:
     return payments.agg(F.round(money(F.sum(cents(F.col("payment_value")))), 2).alias("total_revenue"))
 
 
-def order_count(items: DataFrame) -> DataFrame:
-    return items.agg(F.count_distinct("order_id").alias("total_orders"))
-
-
-def kpi_summary(product_totals: DataFrame, items: DataFrame) -> DataFrame:
-    """Revenue, profit and mean margin of everything sold, with the number of distinct orders."""
-    return roll_up(product_totals).select(
+def kpi_summary(totals: DataFrame) -> DataFrame:
+    """Revenue, profit and mean margin of everything sold, with the number of distinct orders. Totals with orders."""
+    return roll_up(totals, (), ("orders",)).select(
         revenue().alias("total_revenue"),
         profit().alias("total_profit"),
         avg_margin_pct().alias("avg_margin_pct"),
-        order_count(items).scalar().alias("total_orders"),
+        orders_count().alias("total_orders"),
     )
 
 
 def executive_kpis(sales: DataFrame, orders: DataFrame, costs: DataFrame | None = None) -> DataFrame:
     """As kpi_summary for items whose order exists, with cost and average order value."""
-    totals = key_totals(with_orders(sales, orders, cols=()), costs)
-    sold = with_orders(sales.select("order_id").distinct(), orders, cols=())
-    return totals.select(
+    return order_totals(with_orders(sales, orders, cols=()), costs).select(
         revenue().alias("total_revenue"),
         profit().alias("total_profit"),
         avg_margin_pct().alias("avg_margin_pct"),
         cost().alias("total_cost"),
-        order_count(sold).scalar().alias("total_orders"),
+        orders_count().alias("total_orders"),
     ).withColumn("aov", safe_ratio(F.col("total_revenue"), F.col("total_orders")))
 
 

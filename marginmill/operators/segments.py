@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import SEGMENT_NAMES
 from ..functions.columns import recode, round_even
-from .joins import distinct_orders, with_category
+from .joins import with_category
 from .relational import arg_max, filter_opt, top_k_per_group
-from .totals import avg_margin_pct, items_count, key_totals, product_totals, profit, revenue, roll_up
+from .totals import avg_margin_pct, items_count, key_totals, order_totals, orders_count, product_totals, profit, revenue, roll_up
 
 # Treatment of each plain-language segment.
 TREATMENTS = {
@@ -44,23 +44,21 @@ def best_segment(profitability: DataFrame) -> DataFrame:
     return arg_max(profitability, "customer_segment", "gross_profit")
 
 
-def segment_summary(totals: DataFrame, items: DataFrame, order_segments: DataFrame) -> DataFrame:
-    """Revenue, profit, mean margin, distinct orders and average order value per segment."""
-    orders = distinct_orders(items, order_segments, "customer_segment")
+def segment_order_totals(sales: DataFrame, order_segments: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """Totals by segment with distinct orders."""
+    return order_totals(sales.join(order_segments, "order_id"), costs, ["customer_segment"])
+
+
+def segment_summary(totals: DataFrame) -> DataFrame:
+    """Revenue, profit, mean margin, distinct orders and average order value per segment, from totals with orders."""
     sums = totals.select(
-        "customer_segment",
+        F.col("customer_segment").alias("segment"),
         revenue().alias("revenue"),
         profit().alias("profit"),
         avg_margin_pct().alias("avg_margin_pct"),
+        orders_count().alias("total_orders"),
     )
-    return sums.join(orders, "customer_segment").select(
-        F.col("customer_segment").alias("segment"),
-        "revenue",
-        "profit",
-        "avg_margin_pct",
-        "total_orders",
-        F.try_divide("revenue", "total_orders").alias("aov"),
-    )
+    return sums.withColumn("aov", F.try_divide("revenue", "total_orders"))
 
 
 def segment_top_categories(

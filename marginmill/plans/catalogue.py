@@ -61,7 +61,7 @@ REPORTS: dict[str, Callable[[Shop], DataFrame]] = {
     "q07_sales_stats": lambda s: compared(features.sales_stats(s.sales)),
     "q08_customer_segments": lambda s: s.segments,
     "q09_segment_counts": lambda s: features.segment_counts(s.segments),
-    "q10_kpi_summary": lambda s: kpis.kpi_summary(s.product_totals, s.fact),
+    "q10_kpi_summary": lambda s: kpis.kpi_summary(s.whole_totals),
     "q11_executive_kpis": lambda s: kpis.executive_kpis(s.fact, s.orders, s.fact_costs),
     "q12_top_products": lambda s: kpis.top_products(s.product_totals),
     "q13_top_products_by_category": lambda s: categories.top_products_by_category(
@@ -102,9 +102,7 @@ REPORTS: dict[str, Callable[[Shop], DataFrame]] = {
     "q35_campaign_roi_drawn": lambda s: campaigns.campaign_roi(
         campaigns.drawn_campaign_totals(s.fact, s.fact_costs), s.campaigns
     ),
-    "q36_campaign_performance": lambda s: campaigns.campaign_performance(
-        s.campaign_totals, s.campaigns, s.fact, s.mapping
-    ),
+    "q36_campaign_performance": lambda s: campaigns.campaign_performance(s.campaign_order_totals, s.campaigns),
     "q37_campaign_kpis": lambda s: campaigns.campaign_kpis(s.campaign_roi),
     "q38_channel_roi": lambda s: campaigns.channel_roi(s.campaign_roi),
     "q39_campaign_verdict": lambda s: campaigns.campaign_verdict(s.campaign_roi),
@@ -127,7 +125,7 @@ REPORTS: dict[str, Callable[[Shop], DataFrame]] = {
     "q49_answer_campaigns": lambda s: answers.answer_campaigns(s.campaign_roi),
     "q50_answer_segments": lambda s: answers.answer_segments(s.segment_summary(plain_names=False)),
     "q51_answer_categories": lambda s: answers.answer_categories(s.category_totals_with_unknown),
-    "q52_answer_kpis": lambda s: answers.answer_kpis(kpis.kpi_summary(s.product_totals, s.fact)),
+    "q52_answer_kpis": lambda s: answers.answer_kpis(kpis.kpi_summary(s.whole_totals)),
     "q53_adhoc_sql": adhoc,
     "q54_tag_intents": lambda s: answers.tag_intents(s.questions).drop("text"),
     "q54_intent_counts": lambda s: answers.intent_counts(answers.tag_intents(s.questions)),

@@ -90,6 +90,17 @@ class Shop:
             return totals.generated_product_totals(self.items)
         return totals.product_totals(self.fact, self.fact_costs)
 
+    @cached_property
+    def whole_totals(self) -> DataFrame:
+        """Totals of everything sold, with distinct orders."""
+        if self.stored_sales is None and self.stored_costs is None:
+            return totals.generated_product_totals(self.items, with_orders=True)
+        return totals.order_totals(self.fact, self.fact_costs)
+
+    @cached_property
+    def campaign_order_totals(self) -> DataFrame:
+        return campaigns.campaign_order_totals(self.fact, self.mapping, self.fact_costs)
+
     @cached_property
     def ordered_product_totals(self) -> DataFrame:
         """Totals per product of the items whose order exists."""
@@ -146,7 +157,7 @@ class Shop:
 
     def segment_summary(self, plain_names: bool) -> DataFrame:
         order_segments = self.order_segments("inner", plain_names)
-        return segments.segment_summary(self.segment_totals("inner", plain_names), self.fact, order_segments)
+        return segments.segment_summary(segments.segment_order_totals(self.fact, order_segments, self.fact_costs))
 
     @cached_property
     def category_segment_totals(self) -> DataFrame:

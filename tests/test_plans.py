@@ -10,6 +10,7 @@ from marginmill.operators.campaigns import campaign_totals
 from marginmill.operators.features import customer_segments, product_costs, sales_features
 from marginmill.operators.joins import order_segments
 from marginmill.plans.catalogue import RELATIONS, REPORTS, registered
+from marginmill.plans.shop import bind_star_schema, write_features
 
 DIRECTORY = "/root/testdata/sf0.001"
 QUERIES = registered()
@@ -78,6 +79,20 @@ def test_segment_report_shuffles_the_sold_items_once(large):
     assert len(raw_items) == 1
 
 
+@pytest.mark.parametrize("name", ["q10_kpi_summary", "q11_executive_kpis", "q36_campaign_performance"])
+def test_money_and_distinct_orders_come_from_one_read(large, name):
+    """The costs of a product come from one more, where they are not those of the same totals."""
+    plan = final_plan(QUERIES[name](large, DIRECTORY))
+    assert plan.count("lineitem.parquet") == (1 if name == "q10_kpi_summary" else 2)
+
+
+def test_stored_reports_read_the_fact_once(large, tmp_path):
+    shop = bind_star_schema(large, DIRECTORY)
+    stored = write_features(large, shop, str(tmp_path))
+    for report in (REPORTS["q10_kpi_summary"], REPORTS["q11_executive_kpis"], REPORTS["q32_segment_summary"], REPORTS["q36_campaign_performance"]):
+        assert len(re.findall(r"ReadSchema: struct<[^>]*profit_margin_pct", final_plan(report(stored)))) == 1
+
+
 def test_month_filter_reaches_the_scan(spark):
     plan = plan_of(QUERIES["q14_monthly_trend"](spark, DIRECTORY))
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan

@@ -27,7 +27,7 @@ def test_missing_cost_and_free_item(make_shop):
     for name, r in by_product.items():
         for c in tot.TOTALS:
             assert r[c] == stored[name][c], (name, c)
-    kpi = kpis.kpi_summary(shop.product_totals, shop.items).first()
+    kpi = kpis.kpi_summary(shop.whole_totals).first()
     assert kpi.asDict() == {"total_revenue": 15.0, "total_profit": 2.0, "avg_margin_pct": 60.0, "total_orders": 3}
 
 
@@ -43,7 +43,7 @@ def test_item_without_order_counts_only_in_the_whole(make_shop):
         order_items=[("o1", "p1", 10.0), ("lost", "p1", 7.0)],
         orders=[("o1", "c1", None)],
     )
-    assert kpis.kpi_summary(tot.product_totals(shop.items, shop.costs), shop.items).first().total_revenue == 17.0
+    assert kpis.kpi_summary(tot.order_totals(shop.items, shop.costs)).first().total_revenue == 17.0
     executive = kpis.executive_kpis(shop.items, shop.orders, shop.costs).first()
     assert (executive.total_revenue, executive.total_orders, executive.aov) == (10.0, 1, 10.0)
     assert with_orders(shop.items, shop.orders, "left").count() == 2

@@ -60,7 +60,7 @@ def test_reports(make_shop, kind):
         assert (r.revenue, r.profit, r.volume) == (round(row.r, 2), round(row.p, 2), row.n)
         assert r.avg_margin_pct == pytest.approx(row.m, abs=1e-6)
 
-    kpi = kpis.kpi_summary(shop.product_totals, shop.items).first()
+    kpi = kpis.kpi_summary(shop.whole_totals).first()
     assert (kpi.total_revenue, kpi.total_orders) == (round(df.price.sum(), 2), df.order_id.nunique())
 
     known = df[df.customer_id.notna()]
@@ -89,7 +89,7 @@ def test_reports(make_shop, kind):
 def test_parts_add_up_to_the_whole(make_shop):
     data = skewed("product")
     shop = make_shop(**data)
-    whole = kpis.kpi_summary(shop.product_totals, shop.items).first()
+    whole = kpis.kpi_summary(shop.whole_totals).first()
     parts = categories.category_sums(shop.category_totals_with_unknown).collect()
     assert sum(r.revenue for r in parts) == pytest.approx(whole.total_revenue)
     assert sum(r.gross_profit for r in parts) == pytest.approx(whole.total_profit)
