@@ -21,7 +21,7 @@ def campaign_mapping(orders: DataFrame, campaign_ids=CAMPAIGN_IDS) -> DataFrame:
 
 def with_costs(items: DataFrame, costs: DataFrame) -> DataFrame:
     """`costs` may bring further columns of the product along."""
-    return spread_join(items, costs, "product_id", by="order_id")
+    return spread_join(items, costs, "product_id")
 
 
 def sales_features(items: DataFrame, costs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def with_orders(sales: DataFrame, orders: DataFrame, how: str = "inner", cols=("
 def with_segment(df: DataFrame, segments: DataFrame, how: str = "inner", plain_names: bool = False) -> DataFrame:
     """`df` has an order per row or finer; a customer may have any number of them."""
     by_customer = segments.select("customer_id", "customer_segment")
-    joined = spread_join(df, by_customer, "customer_id", by="order_id", how=how)
+    joined = spread_join(df, by_customer, "customer_id", how)
     if plain_names:
         joined = joined.withColumn("customer_segment", recode(F.col("customer_segment"), SEGMENT_NAMES))
     return joined
@@ -67,13 +67,13 @@ def sales_wide(
 ) -> DataFrame:
     """Item-grain star join. Cost and category are joined to each other first, and so are segment, campaign and
     discount of the orders: the items are joined once by product and once by order. Without costs the items are the
-    stored sales fact."""
+    stored sales fact. A hot product is spread over tasks, and so is a hot order."""
     by_order = with_segment(orders, segments, "inner", plain_names)
     by_order = with_campaign(with_campaign_id(by_order, mapping), campaigns, ("campaign_name", "discount_pct"))
     if costs is None:
-        sales = items.join(products_tr, "product_id", "left")
+        sales = spread_join(items, products_tr, "product_id")
     else:
         sales = sales_features(items, costs.join(products_tr, "product_id", "full"))
     if unknown == "keep":
         sales = fill_unknown(sales, "category")
-    return sales.join(by_order, "order_id")
+    return spread_join(sales, by_order, "order_id", "inner", counted=items)

@@ -18,14 +18,33 @@ def with_keys(df: DataFrame, keys) -> DataFrame:
     return df.filter(reduce(and_, [F.col(k).isNotNull() for k in as_list(keys)]))
 
 
-def spread_join(df: DataFrame, table: DataFrame, key: str, by: str, how: str = "left", parts: int = 8) -> DataFrame:
-    """Join many rows to a smaller table when one key may have a large share of the rows. The rows of a key are spread
-    over `parts` tasks by a hash of another column, and the table is repeated for each of them. As both sides are
-    shuffled for this join alone, adaptive execution can split what is still too large; a table that comes straight
-    from an aggregation on the key would not leave it that choice."""
-    part = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")
-    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return df.withColumn("_part", part).join(copies, [key, "_part"], how).drop("_part")
+#: A heavy key has more than this share of all rows, so there are fewer than its inverse; the sketch of a task tracks so many
+#: keys, which puts its error well below that share.
+HEAVY_SHARE, TRACKED = 1 / 1000, 10_000
+
+
+def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
+    """One row: `keys`, an array of all keys (not NULL) with more than `share` of the rows, fewer than 1 / share. A mergeable
+    sketch of frequent items in each task, so only the key column is read and nothing is shuffled by key."""
+    sketch = F.expr(f"approx_top_k({key}, {round(1 / share)}, {TRACKED})").alias("top")
+    found = df.agg(sketch, F.count(F.lit(1)).alias("rows"))
+    often = F.filter("top", lambda x: x["item"].isNotNull() & (x["count"] > F.col("rows") * share))
+    return found.select(F.transform(often, lambda x: x["item"]).alias("keys"))
+
+
+def spread_join(
+    df: DataFrame, table: DataFrame, key: str, how: str = "left", counted: DataFrame | None = None, parts: int | None = None
+) -> DataFrame:
+    """Join many rows to a table when one key may have a large share of the rows. Rows of heavy keys, and those without a
+    key, are spread over `parts` tasks (as many as a shuffle has, 1000 at most) by a hash of the whole row, and only the
+    table's rows of heavy keys are repeated for each of them; all others are joined plainly. `counted`: where the keys are
+    counted instead, if `df` takes work to make."""
+    parts = parts or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1000)
+    heavy = heavy_keys(df if counted is None else counted, key).scalar()
+    is_heavy = F.array_contains(heavy, F.col(key))
+    part = F.when(F.col(key).isNull() | is_heavy, F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")).otherwise(0)
+    copies = F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    return df.withColumn("_part", part).join(table.withColumn("_part", copies), [key, "_part"], how).drop("_part")
 
 
 def filter_opt(df: DataFrame, col: str, value=None) -> DataFrame:
