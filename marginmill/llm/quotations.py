@@ -22,12 +22,14 @@ def _normal_hash(text):
     return F.md5(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")))
 
 
-def passages(messages: DataFrame) -> DataFrame:
-    """row, passage (its number in the message), level (0: own text), lines (in order) of all messages (row, text)."""
-    lines = messages.select("row", F.posexplode(F.split("text", "\r?\n")).alias("place", "line"))
+def passages(messages: DataFrame, keys=()) -> DataFrame:
+    """row, passage (its number in the message), level (0: own text), lines (in order) of all messages (row, text, and
+    the columns `keys`, which their passages keep)."""
+    lines = messages.select("row", *keys, F.posexplode(F.split("text", "\r?\n")).alias("place", "line"))
     marks = F.regexp_extract("line", _MARKS, 1)
     lines = lines.select(
         "row",
+        *keys,
         "place",
         (F.length(marks) - F.length(F.replace(marks, F.lit(">")))).alias("level"),
         F.when(F.contains(marks, F.lit(">")), F.regexp_extract("line", _MARKS, 2)).otherwise(F.col("line")).alias("line"),
@@ -36,7 +38,7 @@ def passages(messages: DataFrame) -> DataFrame:
     order = Window.partitionBy("row").orderBy("place")
     new = F.coalesce(F.lag("level").over(order) != F.col("level"), F.lit(True)).cast("int")
     lines = lines.withColumn("new", new).withColumn("passage", F.sum("new").over(order))
-    return lines.groupBy("row", "passage").agg(
+    return lines.groupBy("row", *keys, "passage").agg(
         F.first("level").alias("level"),
         F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]).alias("lines"),
     )
@@ -54,7 +56,8 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     columns = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     rows, _ = numbered(columns, [F.asc_nulls_first(c) for c in ("conv_id", "turn")] + [F.xxhash64("text").asc()], "messages")
     keys = rows.select("row", "conv_id", "turn")
-    found = stored(passages(rows.select("row", "text").filter("text IS NOT NULL")), "passages")
+    # Passages keep the conversation and the turn, so that what they are taken apart into meets no message again.
+    found = stored(passages(rows.drop("role").filter("text IS NOT NULL"), ["conv_id", "turn"]), "passages")
 
     # A passage as a whole, its lines, paragraphs and sentences can be quoted; larger ones tell more than smaller ones.
     whole = F.array_union(F.col("lines"), F.array(F.array_join("lines", " ")))
@@ -63,9 +66,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, _SENTENCE)))
     steps = steps.withColumn("sentences", F.array_except(sentences, F.array_union("whole", "paragraphs")))
     kinds = [F.transform(name, lambda u, rank=rank: F.struct(F.lit(rank).alias("rank"), u.alias("unit"))) for rank, name in enumerate(("whole", "paragraphs", "sentences"))]
-    units = steps.select("row", "passage", "level", F.inline(F.concat(*kinds)))
-    units = units.withColumn("hash", _normal_hash(F.col("unit"))).filter(F.col("hash") != F.md5(F.lit(""))).drop("unit")
-    placed = units.join(keys.filter("conv_id IS NOT NULL AND turn IS NOT NULL"), "row")
+    linkable = steps.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    units = linkable.select("row", "conv_id", "turn", "passage", "level", F.inline(F.concat(*kinds)))
+    placed = units.withColumn("hash", _normal_hash(F.col("unit"))).filter(F.col("hash") != F.md5(F.lit(""))).drop("unit")
     originals = placed.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
     quotes = placed.filter("level > 0").join(originals, ["conv_id", "hash"], "left").filter("original < turn")
     of_passage = quotes.groupBy("row", "passage", "level").agg(F.min(F.struct("rank", (-F.col("original")).alias("less"))).alias("top"))
@@ -80,7 +83,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         F.array_join(F.flatten(F.transform(own, lambda x: x["lines"])), "\n").alias("own"),
     )
     before = _turn_before(keys)
-    joined = keys.join(rows.select("row", "role"), "row").join(texts, "row", "left").join(linked, "row", "left").join(before, "row", "left")
+    joined = rows.drop("text").join(texts, "row", "left").join(linked, "row", "left").join(before, "row", "left")
     return joined.select(
         "conv_id",
         "turn",
