@@ -7,7 +7,8 @@ on their order; a paragraph is inserted or deleted by adding or subtracting its
 that of the whole. Equal texts have equal fingerprints. The distance of two sums also estimates how many paragraphs two
 texts have apart, which gives a likeness.
 
-While they are summed, bits are counted rather than signs, three counters of 20 bits to a long: one pass of plain sums.
+While they are summed, bits are counted rather than signs, three counters of 20 bits to a long: one pass of plain sums. No
+counter sees more than PART paragraphs, so none runs into the next; counts of several parts are added one by one.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -20,6 +21,8 @@ PARAGRAPH = r"[^\n.!?]*[\n.!?]+|[^\n.!?]+"
 HASHES, SPREAD, COUNTERS = 2, 20, 3
 LANES = HASHES * SPREAD * COUNTERS
 MODULUS = 1 << 16
+#: Paragraphs that are summed in packed counters.
+PART = 1 << (SPREAD - 1)
 _ONES = sum(1 << SPREAD * i for i in range(COUNTERS))
 _COUNTER = (1 << SPREAD) - 1
 
@@ -30,31 +33,54 @@ def _hashes(paragraph):
     return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("long") for i in range(HASHES)]
 
 
-def counts_of(texts: DataFrame, keys: list[str], text_column: str = "text") -> DataFrame:
-    """keys, paragraphs (their number) and counters (their bits, packed) of each group of rows with the same keys."""
+def _counts(texts: DataFrame, keys: list[str], text_column: str) -> DataFrame:
+    """keys, part (0 for a text that is one part), paragraphs and counters (their bits, packed) of each part of each text; a
+    text is a row with keys of its own."""
     paragraphs = F.regexp_extract_all(F.coalesce(text_column, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
-    pieces = texts.select(*keys, F.explode_outer(paragraphs).alias("_p"))
-    pieces = pieces.select(*keys, "_p", *[h.alias(f"_h{i}") for i, h in enumerate(_hashes(F.col("_p")))])
+    pieces = texts.select(*keys, paragraphs.alias("_all"))
+    pieces = pieces.select(*keys, (F.size("_all") > PART).alias("_long"), F.posexplode_outer("_all").alias("_at", "_p"))
+    part = F.when(F.col("_long"), 1 + F.floor(F.col("_at") / PART)).otherwise(0).cast("int")
+    pieces = pieces.select(*keys, part.alias("part"), "_p", *[h.alias(f"_h{i}") for i, h in enumerate(_hashes(F.col("_p")))])
     packed = [(i, s) for i in range(HASHES) for s in range(SPREAD)]
     sums = [F.sum(F.shiftright(f"_h{i}", s).bitwiseAND(F.lit(_ONES))).alias(f"_s{i}_{s}") for i, s in packed]
-    summed = pieces.groupBy(*keys).agg(F.count("_p").alias("paragraphs"), *sums)
+    summed = pieces.groupBy(*keys, "part").agg(F.count("_p").alias("paragraphs"), *sums)
     counters = F.array(*[F.coalesce(f"_s{i}_{s}", F.lit(0)) for i, s in packed])
-    return summed.select(*keys, "paragraphs", counters.alias("counters"))
+    return summed.select(*keys, "part", "paragraphs", counters.alias("counters"))
 
 
-def lanes(paragraphs, counters):
-    """The sums of signs, modulo 2**16, from counts of bits."""
+def _unpacked(counters):
+    """The counts of bits."""
 
     def of(c):
         return F.array(*[F.shiftright(c, SPREAD * k).bitwiseAND(F.lit(_COUNTER)) for k in range(COUNTERS)])
 
-    return F.transform(F.flatten(F.transform(counters, of)), lambda b: F.pmod(b * 2 - paragraphs, F.lit(MODULUS)))
+    return F.flatten(F.transform(counters, of))
+
+
+def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, paragraphs, counters (counts modulo 2**16, packed again) of parts, each count summed by itself."""
+    counts = parts.select(*keys, "paragraphs", F.posexplode(_unpacked("counters")).alias("_at", "_n"))
+    summed = counts.groupBy(*keys, "_at").agg(F.sum("paragraphs").alias("paragraphs"), F.sum("_n").alias("_n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_n"))), lambda x: F.pmod(x["_n"], F.lit(MODULUS)))
+    whole = summed.groupBy(*keys).agg(F.first("paragraphs").alias("paragraphs"), ordered.alias("_counts"))
+    packed = [
+        sum((F.shiftleft(F.col("_counts")[i * COUNTERS + k], SPREAD * k) for k in range(1, COUNTERS)), F.col("_counts")[i * COUNTERS])
+        for i in range(HASHES * SPREAD)
+    ]
+    return whole.select(*keys, "paragraphs", F.array(*packed).alias("counters"))
+
+
+def lanes(paragraphs, counters):
+    """The sums of signs, modulo 2**16, from counts of bits."""
+    return F.transform(_unpacked(counters), lambda b: F.pmod(b * 2 - paragraphs, F.lit(MODULUS)))
 
 
 def lanes_of(texts: DataFrame, keys: list[str], text_column: str = "text") -> DataFrame:
     """keys, paragraphs (their number) and lanes (their sum, LANES numbers modulo 2**16) of each group of rows with the
-    same keys. A text may be given in parts, whole paragraphs each, in any order. Null and empty texts have none."""
-    found = counts_of(texts, keys, text_column)
+    same keys. A text may be given in parts, whole paragraphs each, in any order, and a group may have any number of rows.
+    Null and empty texts have none."""
+    rows = texts.withColumn("_row", F.monotonically_increasing_id())
+    found = _added(_counts(rows, [*keys, "_row"], text_column), keys)
     return found.select(*keys, "paragraphs", lanes(F.col("paragraphs"), F.col("counters")).alias("lanes"))
 
 
@@ -115,7 +141,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     next row's text. Null text is empty; a single row follows itself; repeated rows stand one after the other, so all but the
     last of them are followed by themselves; other columns are not read; an empty table gives an empty result.
 
-    Texts are shuffled once, by key; each then sends the piece that the row before it asked for.
+    Texts are shuffled once, by key; each then sends the piece that the row before it asked for to that row's key.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select(
@@ -128,14 +154,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.struct(F.col("next").alias("giver"), F.lit(1).cast("long").alias("times")),
         F.struct(F.col("row").alias("giver"), (F.col("copies") - 1).alias("times")),
     )
-    asked = ordered.select("row", "n", F.inline(followers)).filter("times > 0")
-    asked = asked.withColumnRenamed("row", "asker").join(ordered.select(*_KEY, F.col("row").alias("giver")), "giver")
+    asker = [F.col(c).alias(f"asker_{c}") for c in _KEY]
+    asked = ordered.select(*asker, F.col("row").alias("asker"), "n", F.inline(followers)).filter("times > 0")
+    asked = asked.join(ordered.select(*_KEY, F.col("row").alias("giver")), "giver")
     given = texts.join(asked, _KEY).select(
-        F.col("asker").alias("row"), "giver", "times", F.expr("substring(text, 1, cast(n / 3 as int))").alias("given")
+        *[F.col(f"asker_{c}").alias(c) for c in _KEY],
+        F.col("asker").alias("row"),
+        "giver",
+        "times",
+        F.expr("substring(text, 1, cast(n / 3 as int))").alias("given"),
     )
-    askers = ordered.select(*_KEY, "row").join(given, "row")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.col("given"))
-    both = texts.join(askers, _KEY).select(
+    both = texts.join(given, _KEY).select(
         F.when(~F.col("none"), F.col("id")).alias("doc_id"),
         "row",
         "giver",
@@ -147,7 +177,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         ),
     )
     keys = ["doc_id", "row", "giver", "times", "n_chars", "edited_sha256", "version"]
-    summed = stored(counts_of(both, keys, "own"), "lanes")
+    parts = stored(_counts(both, keys, "own"), "lanes")
+    summed = parts.filter("part = 0").drop("part").unionByName(_added(parts.filter("part > 0"), keys))
     # Counters are an eighth of what lanes and fingerprints take: these are made after the last shuffle.
     new = summed.filter("version = 1").drop("version")
     own = summed.filter("version = 0").select("row", F.col("paragraphs").alias("own_n"), F.col("counters").alias("own"))
