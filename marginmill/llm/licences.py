@@ -5,7 +5,9 @@ matching lines each paragraph (lines up to one without letters and digits), then
 words that begins with a bigram of a template and is two thirds to three halves as long, in five steps. So notices wrapped over
 lines and notices inside longer lines are found. Both sides are normalised (small ASCII letters and digits, everything
 else, line breaks and comment marks too, is a space) and become sets of word bigrams. A unit reaches the threshold t with
-a template of w bigrams only if it has w * t / (2 - t) of them: texts without as many for any template leave first.
+a template of w bigrams only if it has w * t / (2 - t) of them: texts without as many for any template leave first, and so do
+rests and starts of runs. A text that lacks a bigram with a number of the template is of another version and does not
+match; a unit carries the name of the template it is most like.
 """
 
 from pyspark.sql import DataFrame
@@ -23,10 +25,19 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 ]
 THRESHOLD = 0.8
 #: Templates of up to so many characters in all are constants of the plan; others meet the texts by joins on bigrams.
@@ -55,17 +66,19 @@ def _candidates(docs: DataFrame, templates: DataFrame, threshold: float) -> Data
     sets = templates.select("licence", _pairs(F.col("text")).alias("all")).filter(F.size("all") > 0)
     # A hair below the bound, for rounding; the coefficient itself decides.
     least = F.ceil(F.size("pairs") * F.lit(threshold / (2 - threshold)) - 1e-6).cast("int")
-    sets = sets.select("licence", F.array_distinct("all").alias("pairs"), F.size("all").alias("length")).withColumn("least", least)
+    sets = sets.select("licence", F.array_distinct("all").alias("pairs"), F.size("all").alias("length"))
+    sets = sets.withColumns({"least": least, "numbered": F.filter("pairs", lambda p: p.rlike(r"\d"))})
     if templates.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= MOST_CONSTANT:
         rows = sets.collect()
         if not rows:
             return docs.limit(0).select("doc_id", "text", F.array().cast(_WANTED).alias("wanted"))
-        constants = [F.struct(F.lit(r.licence).alias("licence"), F.array(*map(F.lit, r.pairs)).alias("pairs"), F.lit(r.length).alias("length"), F.lit(r.least).alias("least")) for r in rows]
+        constants = [F.struct(F.lit(r.licence).alias("licence"), F.array(*map(F.lit, r.pairs)).alias("pairs"), F.array(*map(F.lit, r.numbered)).cast("array<string>").alias("numbered"), F.lit(r.length).alias("length"), F.lit(r.least).alias("least")) for r in rows]
         every = F.array(*map(F.lit, sorted({p for r in rows for p in r.pairs})))
-        hits = docs.select("doc_id", "text", F.array_intersect(_pairs(F.col("text")), every).alias("hits"))
+        # Unfolding a list of one keeps what is found as a column: it is worked out once, not wherever it is used.
+        hits = docs.select("doc_id", "text", F.explode(F.array(F.array_intersect(_pairs(F.col("text")), every))).alias("hits"))
         hits = hits.filter(F.size("hits") >= min(r.least for r in rows))
         near = F.filter(F.array(*constants), lambda t: F.size(F.array_intersect("hits", t["pairs"])) >= t["least"])
-        return hits.select("doc_id", "text", near.alias("wanted")).filter(F.size("wanted") > 0)
+        return hits.select("doc_id", "text", F.explode(F.array(near)).alias("wanted")).filter(F.size("wanted") > 0)
     # Rows of one id and text are one document.
     keyed = docs.withColumn("key", F.sha2("text", 256)).dropDuplicates(["doc_id", "key"])
     sets = sets.withColumn("template", F.sha2(F.to_json(F.struct("licence", "pairs", "length")), 256)).dropDuplicates(["template"])
@@ -74,19 +87,19 @@ def _candidates(docs: DataFrame, templates: DataFrame, threshold: float) -> Data
     )
     enough = common.groupBy("doc_id", "key", "template").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).filter("n >= least")
     wanted = enough.select("doc_id", "key", "template").join(sets, "template").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
-        F.collect_list(F.struct("licence", "pairs", "length", "least")).alias("wanted")
+        F.collect_list(F.struct("licence", "pairs", "numbered", "length", "least")).alias("wanted")
     )
     return keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "text", "wanted")
 
 
-_WANTED = "array<struct<licence: string, pairs: array<string>, length: int, least: int>>"
+_WANTED = "array<struct<licence: string, pairs: array<string>, numbered: array<string>, length: int, least: int>>"
 _HITS = "array<struct<licence: string, dice: double>>"
 _CUT = "\x01"
 
 
 def _matches(found, threshold):
     """licence, dice of the templates in `wanted` that a set of bigrams matches."""
-    scored = F.transform("wanted", lambda t: F.struct(t["licence"].alias("licence"), _dice(found, t["pairs"]).alias("dice")))
+    scored = F.transform("wanted", lambda t: F.struct(t["licence"].alias("licence"), _score(found, t).alias("dice")))
     return F.filter(scored, lambda m: m["dice"] >= threshold)
 
 
@@ -101,15 +114,29 @@ def _between(parts, hits, mark):
     return F.split(F.array_join(kept, mark), _CUT)
 
 
-def _runs(rest, threshold):
-    """group (runs that overlap have one number), licence, dice of the runs of words that match."""
-    def of(t, share):
-        length = F.ceil(t["length"] * F.lit(share)).cast("int")
-        starts = F.filter(F.transform(rest, lambda p, i: F.when(F.array_contains(t["pairs"], p), i + 1)), lambda i: i.isNotNull())
-        scored = F.transform(starts, lambda i: F.struct(i.alias("start"), (i + length).alias("end"), t["licence"].alias("licence"), _dice(F.array_distinct(F.slice(rest, i, length)), t["pairs"]).alias("dice")))
-        return F.filter(scored, lambda m: m["dice"] >= threshold)
+def _possible(found):
+    """The templates in `wanted` of which a list of bigrams has enough."""
+    every = F.array_distinct(F.flatten(F.transform("wanted", lambda t: t["pairs"])))
+    own = F.transform(F.array(F.array_intersect(found, every)), lambda hits: F.filter("wanted", lambda t: F.size(F.array_intersect(hits, t["pairs"])) >= t["least"]))
+    return F.flatten(own)
 
-    found = F.array_sort(F.flatten(F.transform("wanted", lambda t: F.concat(*[of(t, share) for share in RUNS]))))
+
+def _runs(rest, wanted, threshold):
+    """group (runs that overlap have one number), licence, dice of the runs of words that match the templates `wanted`. A run
+    begins with a bigram of the template and has `least` of them, so it is scored only if as many stand near enough."""
+    def of(t):
+        at = F.filter(F.transform(rest, lambda p, i: F.when(F.array_contains(t["pairs"], p), i + 1)), lambda i: i.isNotNull())
+
+        def scored(places, share):
+            length = F.ceil(t["length"] * F.lit(share)).cast("int")
+            starts = F.filter(places, lambda i, k: F.get(places, k + t["least"] - 1) < i + length)
+            dice = F.transform(starts, lambda i: F.struct(i.alias("start"), (i + length).alias("end"), t["licence"].alias("licence"), _score(F.array_distinct(F.slice(rest, i, length)), t).alias("dice")))
+            return F.filter(dice, lambda m: m["dice"] >= threshold)
+
+        # The places are worked out once, as the element of a list of one.
+        return F.flatten(F.transform(F.array(at), lambda places: F.concat(*[scored(places, share) for share in RUNS])))
+
+    found = F.array_sort(F.flatten(F.transform(wanted, of)))
     none = F.array().cast("array<struct<group: int, licence: string, dice: double>>")
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("group"), none.alias("out"))
 
@@ -148,7 +175,10 @@ def scan_licences(docs: DataFrame, templates: DataFrame | None = None, threshold
     steps = steps.withColumn("inner", F.transform("parts", lambda ps: F.transform(ps, lambda x: _matches(bigrams(x), threshold))))
     rest = F.flatten(F.transform("parts", lambda ps, i: _between(ps, F.element_at("inner", i + 1), "\n")))
     steps = steps.withColumn("rest", F.transform(rest, _pairs))
-    steps = steps.withColumn("runs", F.transform("rest", lambda x: _runs(x, threshold)))
+    # Most of what is left has not enough bigrams of any template.
+    possible = F.filter(F.transform("rest", lambda x: F.struct(x.alias("pairs"), _possible(x).alias("wanted"))), lambda x: F.size(x["wanted"]) > 0)
+    steps = steps.withColumn("possible", possible)
+    steps = steps.withColumn("runs", F.transform("possible", lambda x: _runs(x["pairs"], x["wanted"], threshold)))
     units = F.concat(
         _named(F.lit("line"), F.col("hits")),
         _named(F.lit("whole"), F.array("whole")),
@@ -156,7 +186,9 @@ def scan_licences(docs: DataFrame, templates: DataFrame | None = None, threshold
         F.flatten(F.transform("runs", lambda runs, i: F.transform(runs, lambda m: F.struct(F.concat(F.lit("run"), i.cast("string"), F.lit("."), m["group"].cast("string")).alias("unit"), m["licence"].alias("licence"), m["dice"].alias("dice"))))),
     )
     matches = steps.select("doc_id", F.inline(units))
-    of_unit = matches.groupBy("doc_id", "unit", "licence").agg(F.max("dice").alias("dice"))
+    # A unit is of the licence that it is most like, the first by name among equals.
+    top = F.min(F.struct((-F.col("dice")).alias("less"), "licence")).alias("top")
+    of_unit = matches.groupBy("doc_id", "unit").agg(top).select("doc_id", "unit", "top.licence", (-F.col("top.less")).alias("dice"))
     of_doc = of_unit.groupBy(F.col("doc_id").alias("_id")).agg(
         F.count_distinct("unit").alias("n_matches"),
         F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"),
@@ -171,6 +203,7 @@ def scan_licences(docs: DataFrame, templates: DataFrame | None = None, threshold
     )
 
 
-def _dice(found, wanted):
-    common = F.size(F.array_intersect(found, wanted))
-    return common * 2 / (F.size(found) + F.size(wanted))
+def _score(found, template):
+    """The Dice coefficient, 0 where the text lacks a bigram with a number of the template: another version."""
+    dice = F.size(F.array_intersect(found, template["pairs"])) * 2 / (F.size(found) + F.size(template["pairs"]))
+    return F.when(F.size(F.array_except(template["numbered"], found)) == 0, dice).otherwise(F.lit(0.0))

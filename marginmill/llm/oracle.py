@@ -78,7 +78,8 @@ def _templates() -> str:
 
 LICENCES = f"""
 WITH t AS (
-  SELECT licence, {_bigrams("text")} AS wanted FROM ({_templates()})
+  SELECT licence, wanted, list_filter(wanted, lambda p: regexp_matches(p, '[0-9]')) AS numbered
+  FROM (SELECT licence, {_bigrams("text")} AS wanted FROM ({_templates()}))
 ), u AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS unit FROM documents
   UNION ALL SELECT doc_id, text, -1 FROM documents WHERE contains(text, chr(10))
@@ -88,7 +89,8 @@ WITH t AS (
   SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS found FROM w WHERE len(w) > 1
 ), m AS (
   SELECT doc_id, unit, licence, len(list_intersect(found, wanted)) * 2 / (len(found) + len(wanted)) AS dice
-  FROM b, t WHERE len(list_intersect(found, wanted)) * 2 / (len(found) + len(wanted)) >= 0.8
+  FROM b, t WHERE len(list_intersect(found, wanted)) * 2 / (len(found) + len(wanted)) >= 0.8 AND list_has_all(found, numbered)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence) = 1
 ), o AS (
   SELECT doc_id, count(DISTINCT unit)::BIGINT AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences,
          max(dice) AS best_dice, min(licence) FILTER (dice = top) AS best

@@ -305,7 +305,7 @@ def test_licences(spark, docs):
         *[(i + 10 if i else None, t, None) for i, t, _ in EDGE],
     ]
     out = {r.doc_id: (r.n_matches, r.licences) for r in licences.scan_licences(docs(rows)).collect()}
-    assert out[1] == (1, "MIT") and out[2] == (1, "Apache-2.0") and out[3] == (0, "") and out[4] == (2, "CC-BY-NC-4.0,GPL-3.0")
+    assert out[1] == (1, "MIT") and out[2] == (1, "Apache-2.0") and out[3] == (0, "") and out[4] == (2, "CC-BY-NC-4.0,GPL-2.0")
     assert all(out[i] == (0, "") for i in (11, 12, 13, 14, 15, None))
     none = spark.createDataFrame([(None, None), ("X", "one")], "licence string, text string")
     assert licences.scan_licences(docs(rows), none).filter("n_matches > 0").count() == 0
@@ -432,6 +432,18 @@ The above copyright notice and this permission notice shall be included in all
 copies or substantial portions of the Software."""
 
 
+def test_neighbour_licences(docs):
+    """Every notice gets its own name, alone and wrapped into prose; another version gets none."""
+    before, after = prose(random.Random(8), 60), prose(random.Random(9), 60)
+    rows = [(i, text, None) for i, (_, text) in enumerate(licences.TEMPLATES)]
+    rows += [(100 + i, f"{before} {text.replace(', ', ',' + chr(10))} {after}", None) for i, (_, text) in enumerate(licences.TEMPLATES)]
+    rows += [(200, "This work is licensed under the GNU General Public License, version 4.", None), (201, licences.TEMPLATES[0][1].replace("2.0", "1.1"), None)]
+    out = {r.doc_id: (r.n_matches, r.best) for r in licences.scan_licences(docs(rows)).collect()}
+    for i, (name, _) in enumerate(licences.TEMPLATES):
+        assert out[i] == (1, name) and out[100 + i][1] == name, i
+    assert out[200] == out[201] == (0, None)
+
+
 def test_wrapped_licences(docs, monkeypatch):
     header = "import x\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nx = 1"
     rows = [(1, MIT_FILE, None), (2, header, None), (3, f"{prose(random.Random(1), 90)} released\nunder the MIT license, {prose(random.Random(2), 90)}", None), (4, MIT_FILE.replace("\n", "\n * ") + f"\n\n{prose(random.Random(4), 200)}\n\n" + MIT_FILE, None), (5, prose(random.Random(3), 200), None)]
@@ -484,3 +496,82 @@ def test_mixed_languages_stay(docs):
     assert found.score < 0.5 and [s.lang for s in found.spans] == ["xx", "yy", "zz"]
     kept = {r.doc_id for r in languages.with_language(docs([*rows, (1000, mixed, None), (1001, strange, None)])).collect()}
     assert kept == {i for i, *_ in rows} | {1000}
+
+
+def plain_links(messages):
+    """n_linked and reply_to of each (conv_id, turn, text), straight from the definition."""
+
+    def normal(text):
+        return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+    def passages(text):
+        out = []
+        for line in re.split(r"\r?\n", text):
+            marks = re.match(r"((?:[ \t]*>)*)[ \t]*(.*)$", line)
+            level = marks[1].count(">")
+            if not out or out[-1][0] != level:
+                out.append((level, []))
+            out[-1][1].append(marks[2] if level else line)
+        return out
+
+    def units(lines):
+        paragraphs = re.split(r"\n(?:\s*\n)+", "\n".join(lines))
+        ranks = {}
+        for rank, some in enumerate(([*lines, " ".join(lines)], paragraphs, [s for p in paragraphs for s in re.split(r"(?<=[.!?])\s+", p)])):
+            for unit in map(normal, some):
+                ranks.setdefault(unit, rank) if unit else None
+        return ranks
+
+    own = {}
+    for conv, turn, text in messages:
+        for level, lines in passages(text):
+            for unit in units(lines) if level == 0 else ():
+                own[conv, unit] = min(turn, own.get((conv, unit), turn))
+    out = {}
+    for conv, turn, text in messages:
+        best, linked = None, 0
+        for level, lines in passages(text):
+            if not level:
+                continue
+            hits = [(rank, -own[conv, u]) for u, rank in units(lines).items() if own.get((conv, u), turn) < turn]
+            if hits:
+                linked += 1
+                best = min(x for x in (best, (level, min(hits)[1])) if x is not None)
+        before = [t for c, t, _ in messages if c == conv and t < turn]
+        out[conv, turn] = (linked, -best[1] if best else max(before, default=None))
+    return out
+
+
+def test_quotations_of_random_threads(spark):
+    rng = random.Random(11)
+    words_ = [f"word{i}" for i in range(400)]
+    messages = []
+    for conv in range(12):
+        thread = []
+        for turn in range(rng.randint(1, 9)):
+            sentence = lambda: " ".join(rng.choice(words_) for _ in range(rng.randint(3, 7))).capitalize() + rng.choice(".!?")
+            text = "\n\n".join(" ".join(sentence() for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3)))
+            for _ in range(rng.randint(0, 2) if thread else 0):
+                source = rng.choice(thread)
+                part = rng.choice([source, rng.choice(source.split("\n")), rng.choice(re.split(r"(?<=[.!?])\s+", source))])
+                if rng.random() < 0.3:
+                    part = part.upper().replace(" ", rng.choice([" ", "  ", "\n"]), 2)
+                quoted = "\n".join("> " + line for line in part.split("\n"))
+                text = f"{quoted}\n{text}" if rng.random() < 0.5 else f"{text}\n{quoted}"
+            thread.append(text)
+            messages.append((conv, turn, text))
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in messages], "conv_id long, turn long, role string, text string")
+    found = {(r.conv_id, r.turn): (r.n_linked, r.reply_to) for r in quotations.link_quotations(frame).collect()}
+    assert found == plain_links(messages)
+    assert sum(n for n, _ in found.values()) > 20
+
+
+def test_fingerprints_of_many_paragraphs(spark, docs, monkeypatch):
+    """Counters never run into each other: four times the paragraphs have four times the lanes."""
+    many = spark.range(2).select(F.col("id").alias("doc_id"), F.repeat(F.lit("A line.\n"), F.when(F.col("id") == 0, 550_000).otherwise(2_200_000)).alias("text"))
+    few, all_ = (r.lanes for r in fingerprints.lanes_of(many, ["doc_id"]).orderBy("doc_id").collect())
+    assert [4 * x % fingerprints.MODULUS for x in few] == all_
+    rows = [(i, " ".join(prose(random.Random(i), 5) + "." for _ in range(i)), None) for i in range(1, 40)] + EDGE[:6]
+    whole = fingerprints.edited_fingerprints(docs(rows)).collect()
+    monkeypatch.setattr(fingerprints, "PART", 3)
+    assert sorted(map(str, fingerprints.edited_fingerprints(docs(rows)).collect())) == sorted(map(str, whole))
