@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
+from .shared import stored
 
 #: Most frequent words of a language that have a bin of their own.
 COMMON = 64
@@ -58,6 +59,8 @@ _IS_SYMBOL[list(SYMBOLS)] = True
 _EXACT = words.byte_table(words.SPACES, fold_case=False)
 _LINES = words.byte_table(b"\n", fold_case=False)
 _TERMS = words.byte_table(words.PUNCTUATION)
+#: The key of a language's words in all, beside its classes.
+ALL_WORDS = -1
 #: Distinct words that a task counts before it sends what it has.
 MOST_COUNTED = 500_000
 
@@ -196,7 +199,7 @@ def _judge(texts: pa.Array, references: References, limits: tuple[float, float])
 
 
 def _count_batches(batches):
-    """lang, kind (0: class, 1: word), key, n: what a task's texts hold, summed before it is sent."""
+    """lang, kind (0: class, or all words, 1: word), key, n: what a task's texts hold, summed before it is sent."""
     languages: dict[str, int] = {}
     held, totals = [np.zeros((0, 3), np.int64)], {}
 
@@ -231,6 +234,9 @@ def _count_batches(batches):
                     if c:
                         totals[i, k] = totals.get((i, k), 0) + c
             of = np.repeat(rows, np.diff(block.bounds))
+            for i, c in enumerate(np.bincount(of).tolist()):
+                if c:
+                    totals[i, ALL_WORDS] = totals.get((i, ALL_WORDS), 0) + c
             held.append(np.column_stack((of, block.hashes.view(np.int64), np.ones(len(of), np.int64))))
             if sum(map(len, held[1:])) > MOST_COUNTED:
                 held = [summed(held)]
@@ -257,18 +263,20 @@ def _references(labelled: DataFrame, common: int) -> References:
     counted = labelled.mapInArrow(_count_batches, "lang string, kind int, key long, n long")
     summed = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    placed = summed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.greatest(F.lit(common), F.lit(OTHER + 1)))
-    # A language's words in all, beside its most frequent ones.
-    sizes = counted.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("words"))
+    most = F.when(F.col("kind") == 1, common).otherwise(OTHER + 2)
+    placed = summed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.greatest(F.lit(common), F.lit(OTHER + 2)))
+    # Written, as it is read twice: some rows for each language.
+    placed = stored(placed.filter(F.col("place") <= most), "references")
+    sizes = placed.filter((F.col("kind") == 0) & (F.col("key") == ALL_WORDS)).select("lang", F.col("n").alias("words"))
     sizes = sizes.filter(F.col("words") >= LEAST_REFERENCE).orderBy(F.desc("words"), "lang").limit(MOST_LANGUAGES)
-    rows = placed.filter(f"kind = 0 OR place <= {int(common)}").join(F.broadcast(sizes), "lang").collect()
+    rows = placed.join(F.broadcast(sizes), "lang").collect()
     names = sorted({r.lang for r in rows})
     classes = np.zeros((len(names), OTHER + 1))
     hashes, shares = [], []
     for i, name in enumerate(names):
         own = [r for r in rows if r.lang == name]
         for r in own:
-            if r.kind == 0:
+            if r.kind == 0 and r.key != ALL_WORDS:
                 classes[i, r.key] = r.n
         best = sorted((np.int64(r.key).view(np.uint64), r.n) for r in own if r.kind == 1)
         total = own[0].words
