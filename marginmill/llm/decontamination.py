@@ -150,7 +150,8 @@ def _search(texts: pa.Array, blocks, vocabulary: np.ndarray, shortest: int) -> p
     ends = np.flatnonzero(hit & (first_of_row[1:] | ~np.concatenate((hit[1:], [False]))))
     row = np.searchsorted(shard.bounds, begins, "right") - 1
     low, high = shard.starts[begins], shard.ends[ends]
-    cleaned: list[str | None] = texts.to_pylist()
+    # Only changed texts are copied; null elsewhere.
+    cleaned: list[str | None] = [None] * n
     for r in np.unique(row).tolist():
         parts, at = [], offsets[r]
         for i in np.flatnonzero(row == r):
@@ -174,9 +175,9 @@ def _search(texts: pa.Array, blocks, vocabulary: np.ndarray, shortest: int) -> p
 def contamination_of(benchmark: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS):
     """A column function of a text column that finds the phrases of the benchmark's items in it: struct of n_words,
     n_hit (words in occurrences), n_items, items_sha256, items (ids as strings, sorted), spans (first byte and end of
-    each merged run of hit words, in UTF-8) and cleaned (the text without the spans).
+    each merged run of hit words, in UTF-8) and cleaned (the text without the spans, null where there are none).
 
-    Null has no words and stays null; items without an id, a text or a word are not searched; items may repeat.
+    Null has no words; items without an id, a text or a word are not searched; items may repeat.
     """
     context = benchmark.sparkSession.sparkContext
     blocks, vocabulary, shortest = [], np.zeros(0, np.uint64), window

@@ -193,7 +193,8 @@ def pack(
 
     @F.arrow_udf(f"array<struct<{fields}>>")
     def pieces_of(texts: pa.Array) -> pa.Array:
-        return words.in_slices(lambda t: _pieces(t, tokenizer_path, capacity, end, with_ids), texts)
+        words.keep("packing", word_encoder.cache_clear)
+        return words.in_slices(lambda t: _pieces(t, tokenizer_path, capacity, end, with_ids), texts, name="packing")
 
     pieces = docs.select("doc_id", F.inline(pieces_of("text")))
     pieces = pieces.withColumn("piece", F.monotonically_increasing_id())

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and driver and executors are one
+    process, as in local tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.partition("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="marginmill-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -42,8 +45,15 @@ def numbered(df: DataFrame, order, name: str) -> tuple[DataFrame, DataFrame]:
     return ordered, ends
 
 
+#: Rows and bytes that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = "2000", "16m"
+
+
 def ship_package(spark) -> None:
-    """Send this package to the executors, unless it lies where their Python looks anyway."""
+    """Send this package to the executors, unless it lies where their Python looks anyway; from then on the session hands
+    texts to Python in batches that several workers of an executor can hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = Path(__file__).resolve().parents[2]
     looked = [Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))]
     if root in [p.resolve() for p in looked] or getattr(spark.sparkContext, "_marginmill_sent", False):

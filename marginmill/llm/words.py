@@ -4,6 +4,7 @@ A word is a run of bytes that are no separators; all separators are ASCII, so a
 hash is a polynomial over its bytes modulo 2**64, mixed; equal hashes stand for equal words from here on.
 """
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,25 +81,61 @@ def row_blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[i
 
 SLICE_BYTES = 1 << 22
 
+#: What operators keep in a worker between batches: a name and a function that drops it.
+_kept: dict = {}
 
-def in_slices(of, texts: pa.Array, most: int = SLICE_BYTES) -> pa.Array:
-    """of(texts), worked out for a few rows at a time: what a task holds besides the batch does not grow with it."""
+
+def keep(name: str, drop) -> None:
+    """Register what the operator `name` keeps; it is dropped when the worker serves another operator."""
+    for other in [k for k in _kept if k != name]:
+        _kept.pop(other)()
+    _kept[name] = drop
+
+
+def _give_back() -> None:
+    """Return freed pages to the system: several workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _find_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not every system has it
+        return None
+
+
+_trim = _find_trim()
+
+
+def in_slices(of, texts: pa.Array, most: int = SLICE_BYTES, name: str = "") -> pa.Array:
+    """of(texts), worked out for a few rows at a time: what a task holds besides the batch does not grow with it. `name`: the
+    operator, if it keeps something between batches."""
+    keep(name, lambda: None) if name not in _kept else None
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
     parts = [of(texts.slice(low, high - low)) for low, high in row_blocks(offsets, most)]
-    return pa.concat_arrays(parts) if parts else of(texts)
+    out = pa.concat_arrays(parts) if parts else of(texts)
+    _give_back()
+    return out
 
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, _WORD64))):
-            steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers
+    """Powers of the base and of its inverse; those of a text longer than a block are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_BASE, pow(_BASE, -1, _WORD64)):
+        steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= BLOCK_BYTES + 1:
+        _powers[:] = made
+    return made
 
 
 _LETTERS = np.zeros(256, bool)
