@@ -35,12 +35,24 @@ def packing(spark, docs, sf_dir):
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+
+
+def prepared(stage):
+    """The stage in a session that is ready for the operators."""
+
+    def run_stage(spark, docs, sf_dir):
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("languages", languages),
-    ("near duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("pseudonyms", pseudonyms),
-    ("packing", packing),
+    ("languages", prepared(languages)),
+    ("near duplicates", prepared(near_duplicates)),
+    ("decontamination", prepared(decontamination)),
+    ("pseudonyms", prepared(pseudonyms)),
+    ("packing", prepared(packing)),
 ]
 
 #: SQL cannot express language models, signatures, keyed permutations and packing.
@@ -48,7 +60,6 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
