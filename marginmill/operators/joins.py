@@ -50,7 +50,8 @@ def with_segment(df: DataFrame, segments: DataFrame, how: str = "inner", plain_n
 
 def order_segments(orders: DataFrame, segments: DataFrame, how: str = "inner", plain_names: bool = False) -> DataFrame:
     """order_id, customer_segment: resolved on orders, which are fewer than sold items."""
-    return with_segment(orders, segments, how, plain_names).select("order_id", "customer_segment")
+    customers_of = orders.select("order_id", "customer_id")
+    return with_segment(customers_of, segments, how, plain_names).select("order_id", "customer_segment")
 
 
 def sales_wide(

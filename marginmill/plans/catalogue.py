@@ -58,7 +58,7 @@ REPORTS: dict[str, Callable[[Shop], DataFrame]] = {
     "q04_campaigns_used": campaigns_used,
     "q05_campaign_mapping": lambda s: s.mapping,
     "q06_sales_features": lambda s: s.sales,
-    "q07_sales_stats": lambda s: compared(features.sales_stats(s.sales)),
+    "q07_sales_stats": lambda s: compared(features.sales_stats(s.sales_with())),
     "q08_customer_segments": lambda s: s.segments,
     "q09_segment_counts": lambda s: features.segment_counts(s.segments),
     "q10_kpi_summary": lambda s: kpis.kpi_summary(s.whole_totals),
@@ -212,14 +212,14 @@ PROJECTIONS: dict[str, Callable[[Shop], DataFrame]] = {
 # Aggregates, sorts and top-k (A, O) over whole tables.
 AGGREGATES: dict[str, Callable[[Shop], DataFrame]] = {
     "a1_total": lambda s: relational.total(s.items, "price", digits=2),
-    "a2_mean": lambda s: compared(relational.mean(s.sales, "profit_margin_pct")),
+    "a2_mean": lambda s: compared(relational.mean(s.sales_with(), "profit_margin_pct")),
     "a3_n_distinct": lambda s: relational.n_distinct(s.items, "order_id"),
     "a4_group_distinct": lambda s: relational.group_agg(s.items, "product_id", distinct={"orders": "order_id"}),
     "a5_group_count": lambda s: relational.group_agg(s.items, "product_id", counts={"items": "price"}),
     "a6_row_count": lambda s: relational.row_count(s.items),
     "a7_group_agg": lambda s: compared(
         relational.group_agg(
-            s.sales,
+            s.sales_with(),
             "product_id",
             sums={"revenue": "revenue", "gross_profit": "gross_profit"},
             means={"avg_margin_pct": "profit_margin_pct"},
@@ -238,7 +238,7 @@ AGGREGATES: dict[str, Callable[[Shop], DataFrame]] = {
         relational.group_sum(s.items, "product_id", "price", digits=2), "product_id", "price"
     ),
     "a13_ratio_of_sums": lambda s: relational.ratio_of_sums(
-        s.sales, "item_no", "gross_profit", "revenue", "margin_pct", digits=2
+        s.sales_with("item_no"), "item_no", "gross_profit", "revenue", "margin_pct", digits=2
     ),
     "a14_benchmark": lambda s: relational.benchmark(
         categories.category_performance(s.category_totals), ["revenue", "profit"], digits=2
@@ -279,7 +279,7 @@ SCALARS: dict[str, Callable[[Shop], DataFrame]] = {
     "f10_lookup": lambda s: per_item(
         s, "place", lambda: fn.lookup({1: "first", 2: "second"}, F.col("item_no"), "later")
     ),
-    "f11_pct_change": lambda s: s.sales.select(
+    "f11_pct_change": lambda s: s.sales_with("item_no").select(
         "order_id", "product_id", "item_no", fn.pct_change(F.col("cost_price"), F.col("price")).alias("change_pct")
     ),
     "f12_keyed_draw": lambda s: s.orders.select("order_id", fn.keyed_draw(F.col("order_id")).alias("draw")),

@@ -2,10 +2,18 @@
 
 BASE = """
 WITH items AS (
-  SELECT l_orderkey AS order_id, l_partkey AS product_id, l_linenumber AS item_no, l_extendedprice AS price
+  SELECT l_orderkey AS order_id, l_partkey AS product_id, l_linenumber AS item_no, l_extendedprice AS price,
+    l_suppkey AS supplier_id, l_quantity AS quantity, l_discount AS discount, l_tax AS tax, l_returnflag AS return_flag,
+    l_linestatus AS line_status, l_shipdate AS ship_date
   FROM lineitem),
-ord AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS placed FROM orders),
-cust AS (SELECT c_custkey AS customer_id, c_name AS customer_unique_id FROM customer),
+ord AS (
+  SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS placed, o_orderstatus AS order_status,
+    o_totalprice AS total_price, o_orderpriority AS order_priority
+  FROM orders),
+cust AS (
+  SELECT c_custkey AS customer_id, c_name AS customer_unique_id, c_nationkey AS nation_id, c_acctbal AS account_balance,
+    c_mktsegment AS market_segment
+  FROM customer),
 pay AS (SELECT o_orderkey AS order_id, o_totalprice AS payment_value FROM orders),
 tr AS (SELECT 'Brand#' || n AS brand, 'category_' || n AS category FROM range(1, 24) AS r(n)),
 prod AS (SELECT p_partkey AS product_id, p_brand AS brand, category FROM part LEFT JOIN tr ON p_brand = tr.brand),
@@ -38,7 +46,8 @@ names AS (SELECT * FROM (VALUES ('Premium', 'Big Spenders'), ('High Value', 'Fre
 cat_sales AS (
   SELECT sales.*, prod.category AS category, coalesce(prod.category, 'unknown') AS category_kept
   FROM sales LEFT JOIN prod USING (product_id)),
-ord_sales AS (SELECT cat_sales.*, customer_id, placed FROM cat_sales JOIN ord USING (order_id)),
+ord_sales AS (
+  SELECT cat_sales.*, customer_id, placed, order_status, total_price, order_priority FROM cat_sales JOIN ord USING (order_id)),
 seg_sales AS (
   SELECT ord_sales.*, customer_segment, plain_name
   FROM ord_sales JOIN seg USING (customer_id) LEFT JOIN names USING (customer_segment)),
@@ -282,14 +291,21 @@ QUERIES = {
     "s2_profile": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS row_count, {len(cols)}::BIGINT AS column_count, '{', '.join(cols)}' AS column_names FROM {cte}"
         for name, cte, cols in [
-            ("customers", "cust", ["customer_id", "customer_unique_id"]),
-            ("orders", "ord", ["order_id", "customer_id", "order_purchase_timestamp"]),
-            ("products", "prod", ["product_id", "product_category_name"]),
-            ("order_items", "items", ["order_id", "product_id", "item_no", "price"]),
+            ("customers", "cust", ["customer_id", "customer_unique_id", "nation_id", "account_balance", "market_segment"]),
+            ("orders", "ord", [
+                "order_id", "customer_id", "order_purchase_timestamp", "order_status", "total_price", "order_priority",
+            ]),
+            ("products", "prod", [
+                "product_id", "product_category_name", "product_name", "product_type", "product_size", "retail_price",
+            ]),
+            ("order_items", "items", [
+                "order_id", "product_id", "item_no", "price", "supplier_id", "quantity", "discount", "tax", "return_flag",
+                "line_status", "ship_date",
+            ]),
             ("payments", "pay", ["order_id", "payment_value"]),
         ]
     ),
-    "s2_preview": "SELECT * FROM items ORDER BY order_id, product_id, item_no, price LIMIT 5",
+    "s2_preview": "SELECT * FROM items ORDER BY ALL LIMIT 5",
     "s7_sql_select": "SELECT round(sum(payment_value::DECIMAL(18,2)), 2)::DOUBLE AS paid, count(*) AS payments FROM pay",
     "j2_sales_campaign_id": "SELECT items.*, campaign_id FROM items LEFT JOIN mapping USING (order_id)",
     "j3_sales_campaign": """SELECT items.*, campaign_id, campaign_name, channel, discount_pct, budget
@@ -302,13 +318,14 @@ QUERIES = {
         JOIN seg USING (customer_id)""",
     "j9_sales_segment_left": """SELECT items.*, customer_id, customer_segment FROM items LEFT JOIN ord USING (order_id)
         LEFT JOIN seg USING (customer_id)""",
-    "j10_customers_with_spend": """SELECT customer_id, customer_unique_id, coalesce(avg_spend, 0) AS avg_spend
+    "j10_customers_with_spend": """SELECT cust.*, coalesce(avg_spend, 0) AS avg_spend
         FROM cust LEFT JOIN spend USING (customer_id)""",
     "j12_with_benchmark": """SELECT cat.*, mean_revenue, mean_profit FROM cat,
         (SELECT sum(revenue::DECIMAL(36,2))::DOUBLE / count(*) AS mean_revenue,
           sum(profit::DECIMAL(36,2))::DOUBLE / count(*) AS mean_profit FROM cat)""",
-    "j13_sales_wide": """SELECT {what}, price, cost_price, revenue, gross_profit, profit_margin_pct, category_kept AS category,
-        customer_id, placed AS order_purchase_timestamp, plain_name AS customer_segment, campaign_id, campaign_name, discount_pct
+    "j13_sales_wide": """SELECT {what}, price, supplier_id, quantity, discount, tax, return_flag, line_status, ship_date,
+        cost_price, revenue, gross_profit, profit_margin_pct, category_kept AS category, customer_id,
+        placed AS order_purchase_timestamp, order_status, total_price, order_priority, plain_name AS customer_segment, campaign_id, campaign_name, discount_pct
         FROM seg_sales LEFT JOIN mapping USING (order_id) LEFT JOIN camp USING (campaign_id)""",
     "p1_select": "SELECT order_id, customer_id FROM ord",
     "p3_rename": "SELECT product_id AS product, {price} AS revenue, count(order_id) AS units FROM items GROUP BY 1",
