@@ -195,8 +195,9 @@ def promotion_recommendations(totals: DataFrame, k: int | None = 15) -> DataFram
     return ranked(rows, "profit", "category") if k is None else top_k(rows, "profit", k, "category")
 
 
-def strategy_advice(totals: DataFrame, action: str | None = None) -> DataFrame:
-    """As the strict rule, but a category equal to a mean counts as not above it; unknown is left out first."""
+def with_strategy(rows: DataFrame) -> DataFrame:
+    """`what_to_do` for categories with revenue and profit, one row each. As the strict rule, but a category equal to a mean
+    counts as not above it."""
     sales, gain = F.col("side_revenue"), F.col("side_profit")
     rule = (
         F.when((sales > 0) & (gain > 0), ADS)
@@ -204,8 +205,13 @@ def strategy_advice(totals: DataFrame, action: str | None = None) -> DataFrame:
         .when((sales <= 0) & (gain <= 0), STOP)
         .otherwise(SMALL_DISCOUNTS)
     )
-    rows = with_benchmark(_category_summary(known(totals))).select(
-        "category", "revenue", "profit", "avg_margin_pct", rule.alias("what_to_do")
+    return with_benchmark(rows).withColumn("what_to_do", rule)
+
+
+def strategy_advice(totals: DataFrame, action: str | None = None) -> DataFrame:
+    """The advice for every category; unknown is left out first."""
+    rows = with_strategy(_category_summary(known(totals))).select(
+        "category", "revenue", "profit", "avg_margin_pct", "what_to_do"
     )
     rows = rows.withColumn("action_steps", recode(F.col("what_to_do"), ACTION_STEPS))
     return ranked(filter_opt(rows, "what_to_do", action), "profit", "category")

@@ -19,7 +19,6 @@ from ..operators import (
     relational,
     segments,
     statistics,
-    totals,
 )
 from ..sources import tables
 from .shop import Shop, bind_star_schema
@@ -116,11 +115,7 @@ REPORTS: dict[str, Callable[[Shop], DataFrame]] = {
     "q44_promotion_forecast": lambda s: forecast.promotion_forecast(s.forecast_base),
     "q45_profit_curve": lambda s: forecast.profit_curve(s.forecast_base),
     "q46_forecast_verdict": lambda s: forecast.forecast_verdict(forecast.promotion_forecast(s.forecast_base)),
-    "q47_forecast_with_advice": lambda s: forecast.forecast_with_advice(
-        forecast.promotion_forecast(s.forecast_base),
-        # Every customer has one segment, so the totals of the forecast are also those of all known customers.
-        categories.strategy_advice(totals.roll_up(s.category_segment_totals, "category")),
-    ),
+    "q47_forecast_with_advice": lambda s: forecast.forecast_with_advice(s.category_segment_totals),
     "q48_answer_discount": lambda s: answers.answer_discount(s.discount_performance),
     "q49_answer_campaigns": lambda s: answers.answer_campaigns(s.campaign_roi),
     "q50_answer_segments": lambda s: answers.answer_segments(s.segment_summary(plain_names=False)),
