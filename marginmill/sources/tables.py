@@ -1,5 +1,6 @@
 """Scans, sinks and catalog tables."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..schemas import COLUMNS, RAW_TABLES
 
 def read_table(spark: SparkSession, name: str, directory: str, fmt: str = "parquet") -> DataFrame:
     """One logical table. CSV columns are found by header name and cast, never inferred by a pass over the data."""
-    path = f"{directory.rstrip('/')}/{name}.{fmt}"
+    path = current_version(spark, f"{directory.rstrip('/')}/{name}.{fmt}")
     known = COLUMNS[name]
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
@@ -20,9 +21,31 @@ def read_table(spark: SparkSession, name: str, directory: str, fmt: str = "parqu
     return raw.select(*[F.col(c).cast(known[c]).alias(c) if c in known else F.col(c) for c in raw.columns])
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def exists(spark: SparkSession, name: str, directory: str, fmt: str = "parquet") -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{name}.{fmt}")
-    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    path, files = _path(spark, f"{directory.rstrip('/')}/{name}.{fmt}")
+    return files.exists(path)
+
+
+# A table written here is a folder of versions and a pointer, a file that names the one to read.
+POINTER = "_current"
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """The folder of the version that the pointer names; of a table without versions the path itself."""
+    pointer, files = _path(spark, f"{path}/{POINTER}")
+    if not files.exists(pointer):
+        return path
+    stream = files.open(pointer)
+    try:
+        return f"{path}/{stream.readLine()}"
+    finally:
+        stream.close()
 
 
 def load_all(spark: SparkSession, directory: str, fmt: str = "parquet") -> dict[str, DataFrame]:
@@ -59,12 +82,44 @@ def campaigns(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(campaign_id, campaign_name, channel, discount_pct, budget)")
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Full overwrite."""
-    writer = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", keep: int = 2) -> None:
+    """Full replace. The rows go to a folder of their own; only when it is whole is the pointer replaced, by one rename.
+    A job that is lost on the way leaves the table as it was, and a reader sees the old rows or the new. The last `keep`
+    versions stay for readers that have begun, so a frame may be written over the table it reads; older ones, and those of
+    lost jobs, are deleted by the next write. One job at a time may write a table."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    before = current_version(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
     if fmt == "csv":
         writer = writer.option("header", True)
-    writer.format(fmt).save(path)
+    writer.format(fmt).save(f"{path}/{version}")
+    _point_to(spark, path, version)
+    _drop_versions(spark, path, {version, before.rsplit("/", 1)[-1]}, keep)
+
+
+def _point_to(spark: SparkSession, path: str, version: str) -> None:
+    folder, files = _path(spark, path)
+    draft, pointer = (_path(spark, f"{path}/{name}")[0] for name in (f"{POINTER}.{version}", POINTER))
+    stream = files.create(draft, True)
+    stream.writeBytes(version + "\n")
+    stream.close()
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), files.getConf())
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    context.rename(files.makeQualified(draft), files.makeQualified(pointer), options)
+
+
+def _drop_versions(spark: SparkSession, path: str, kept: set, keep: int) -> None:
+    """Delete versions but those in `kept` and the newest `keep`."""
+    folder, files = _path(spark, path)
+    versions = [s for s in files.listStatus(folder) if s.getPath().getName().startswith("v-")]
+    versions.sort(key=lambda s: s.getModificationTime(), reverse=True)
+    for status in versions[keep:]:
+        if status.getPath().getName() not in kept:
+            files.delete(status.getPath(), True)
 
 
 def save_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 0) -> None:

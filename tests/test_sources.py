@@ -77,7 +77,7 @@ def test_feature_jobs_write_tables_that_give_the_same_reports(spark, csv_directo
 
 def test_a_small_stored_cost_table_is_broadcast_and_the_fact_not_shuffled(spark, csv_directory, tmp_path):
     shop = load_shop(spark, csv_directory, "csv")
-    tables.write_table(shop.items, str(tmp_path / "items.parquet"))
+    shop.items.write.parquet(str(tmp_path / "items.parquet"))
     tables.write_table(shop.costs, str(tmp_path / "product_costs.parquet"))
     items = spark.read.parquet(str(tmp_path / "items.parquet"))
     sales = sales_features(items, tables.read_table(spark, "product_costs", str(tmp_path)))
@@ -86,6 +86,41 @@ def test_a_small_stored_cost_table_is_broadcast_and_the_fact_not_shuffled(spark,
     assert sales.count() == 3
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_a_lost_write_leaves_the_table_as_it_was(spark, tmp_path, fmt):
+    def costs(rows):
+        return spark.createDataFrame(rows, "product_id string, cost_price double")
+
+    def read():
+        return sorted(rows_of(tables.read_table(spark, "product_costs", str(tmp_path), fmt)))
+
+    path = str(tmp_path / f"product_costs.{fmt}")
+    tables.write_table(costs([("a", 1.0), ("b", 2.0)]), path, fmt)
+    half = spark.range(0, 100, 1, 4).select(
+        F.col("id").cast("string").alias("product_id"),
+        F.when(F.col("id") < 90, 0.5).otherwise(F.raise_error(F.lit("lost")).cast("double")).alias("cost_price"),
+    )
+    with pytest.raises(PySparkException):
+        tables.write_table(half, path, fmt)
+    assert read() == [("a", 1.0), ("b", 2.0)]
+    begun = tables.read_table(spark, "product_costs", str(tmp_path), fmt)
+    # Written over the table that it reads.
+    tables.write_table(begun.select("product_id", (F.col("cost_price") * 2).alias("cost_price")), path, fmt)
+    assert read() == [("a", 2.0), ("b", 4.0)] and sorted(rows_of(begun)) == [("a", 1.0), ("b", 2.0)]
+    for n in range(3):
+        tables.write_table(costs([("c", float(n))]), path, fmt)
+    assert read() == [("c", 2.0)]
+    # The versions of lost jobs and old ones are gone, and so are drafts of the pointer.
+    names = sorted(f.name for f in (tmp_path / f"product_costs.{fmt}").iterdir() if not f.name.endswith(".crc"))
+    assert names[0] == tables.POINTER and len(names) == 3 and all(n.startswith("v-") for n in names[1:])
+
+
+def test_a_table_without_versions_is_read_as_it_is(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "plain.parquet"))
+    assert tables.current_version(spark, str(tmp_path / "plain.parquet")) == str(tmp_path / "plain.parquet")
+    assert tables.current_version(spark, str(tmp_path / "none.parquet")) == str(tmp_path / "none.parquet")
+
+
 def test_catalog_tables(spark):
     try:
         tables.save_table(spark.range(3), "numbers")
