@@ -6,7 +6,7 @@ from marginmill.operators.answers import adhoc_sql
 from marginmill.operators.campaigns import campaign_roi
 from marginmill.operators.categories import category_detail
 from marginmill.operators.features import sales_features
-from marginmill.plans.shop import FEATURES, load_shop, with_stored_features, write_features
+from marginmill.plans.shop import FEATURES, load_shop, with_remembered_totals, with_stored_features, write_features
 from marginmill.sources import tables
 
 from .conftest import rows_of
@@ -121,6 +121,58 @@ def test_a_table_without_versions_is_read_as_it_is(spark, tmp_path):
     assert tables.current_version(spark, str(tmp_path / "none.parquet")) == str(tmp_path / "none.parquet")
 
 
+def test_rows_that_cannot_be_read_are_set_aside_with_a_reason(spark, tmp_path):
+    folder = tmp_path / "order_items.csv"
+    folder.mkdir()
+    header = "order_id,item,product_id,price\n"
+    (folder / "1.csv").write_text(header + "o1,1,p1,58.90\no1,2,p2,cheap\no2,1,p1\n", encoding="utf-8")
+    (folder / "2.csv").write_text(header + 'o3,1,p1,\n"o,4",1,p1,1e2\no5,1,p1,7,extra\n', encoding="utf-8")
+    kept, aside = tables.read_checked(spark, "order_items", str(tmp_path))
+    assert kept.schema == tables.read_table(spark, "order_items", str(tmp_path), "csv").schema
+    assert sorted(rows_of(kept), key=str) == [("o,4", "1", "p1", 100.0), ("o1", "1", "p1", 58.9), ("o3", "1", "p1", None)]
+    found = {(r.table_name, r.file.rsplit("/", 1)[-1], r.reason, r.row) for r in aside.collect()}
+    assert found == {
+        ("order_items", "1.csv", "price is no double", "o1,2,p2,cheap"),
+        ("order_items", "1.csv", "not 4 fields", "o2,1,p1"),
+        ("order_items", "2.csv", "not 4 fields", "o5,1,p1,7,extra"),
+    }
+    # The counts alone, which need no column, add up as well.
+    assert (kept.count(), aside.count()) == (3, 3)
+    for n in (0, 1):
+        empty = tmp_path / f"none{n}"
+        empty.mkdir()
+        (empty / "orders.csv").write_text("order_id,customer_id,order_purchase_timestamp\n" + "o1,c1,soon\n" * n)
+        kept, aside = tables.read_checked(spark, "orders", str(empty))
+        assert (kept.count(), [r.reason for r in aside.collect()]) == (0, ["order_purchase_timestamp is no timestamp_ntz"] * n)
+
+
+def test_totals_are_worked_out_again_only_when_a_file_changes(spark, csv_directory, tmp_path):
+    out = str(tmp_path / "totals")
+
+    def load(session=spark, **options):
+        return with_remembered_totals(session, load_shop(session, csv_directory, "csv", **options), out)
+
+    def version(name="product_totals"):
+        return tables.current_version(spark, f"{out}/{name}.parquet")
+
+    plain = load_shop(spark, csv_directory, "csv")
+    first = load()
+    assert rows_of(category_detail(first.category_totals)) == rows_of(category_detail(plain.category_totals))
+    assert sorted(rows_of(first.forecast_base)) == sorted(rows_of(plain.forecast_base))
+    assert sorted(rows_of(first.campaign_roi)) == sorted(rows_of(plain.campaign_roi))
+    assert all("order_items" not in f for f in first.category_totals.inputFiles())
+    written = version()
+    load(spark.newSession())
+    assert version() == written
+    load(thresholds=[(1.0, "Premium")])
+    assert version() != written
+    with open(f"{csv_directory}/order_items.csv", "a") as f:
+        f.write("o2,2,p1,10.00\n")
+    assert load().product_totals.agg(F.sum("items")).first()[0] == 4
+    with pytest.raises(ValueError):
+        tables.inputs_key(spark, [spark.range(1)])
+
+
 def test_catalog_tables(spark):
     try:
         tables.save_table(spark.range(3), "numbers")
