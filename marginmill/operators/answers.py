@@ -2,6 +2,7 @@
 
 import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,29 @@ def plain_sql(text: str) -> str:
 REFLECTIVE = {"reflect", "java_method", "try_reflect"}
 
 
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _foreign_tables(plan, known: frozenset) -> Iterator[str]:
+    """Tables that a parsed plan names and that are neither `known` nor common table expressions where they stand. The names
+    come from the plan's nodes, never from text, which may hold anything in its literals."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "UnresolvedWith":
+        for relation in _items(plan.cteRelations()):
+            name = relation._1().lower()
+            yield from _foreign_tables(relation._2(), known | {name} if plan.allowRecursion() else known)
+            known |= {name}
+    elif kind == "UnresolvedRelation":
+        parts = _items(plan.multipartIdentifier())
+        if len(parts) > 1 or parts[0].lower() not in known:
+            yield ".".join(parts)
+    elif "UnresolvedIdentifier" in kind:
+        yield "a computed name"
+    for below in (*_items(plan.children()), *_items(plan.subqueries())):
+        yield from _foreign_tables(below, known)
+
+
 def adhoc_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None, limit: int = 20) -> DataFrame:
     """First rows of one query over the given tables, and nothing else.
 
@@ -53,12 +77,10 @@ def adhoc_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | Non
     """
     tables = tables or {}
     query = plain_sql(text)
-    plan = spark._jsparkSession.sessionState().sqlParser().parseQuery(query).treeString()
-    named = set(re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan))
-    own = {name.lower() for name in re.findall(r"(?i)(?:\bwith|,)\s+`?(\w+)`?\s*(?:\([^()]*\)\s*)?as\s*\(", query)}
-    if unknown := {n for n in named if n.lower() not in own | {t.lower() for t in tables}}:
+    plan = spark._jsparkSession.sessionState().sqlParser().parseQuery(query)
+    if unknown := set(_foreign_tables(plan, frozenset(t.lower() for t in tables))):
         raise ValueError(f"not one of the tables: {', '.join(sorted(unknown))}")
-    if called := REFLECTIVE & {f.lower() for f in re.findall(r"'(?:\w+\.)*(\w+)\(", plan)}:
+    if called := REFLECTIVE & {f.lower() for f in re.findall(r"'(?:\w+\.)*(\w+)\(", plan.treeString())}:
         raise ValueError(f"not allowed: {', '.join(sorted(called))}")
     views = {name: f"adhoc_{uuid.uuid4().hex}" for name in tables}
     try:

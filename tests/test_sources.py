@@ -214,6 +214,8 @@ def test_adhoc_sql_runs_one_query_and_nothing_else(spark):
     fenced = "```sql\nSELECT id FROM numbers ORDER BY id DESC -- newest first\n```"
     assert [r.id for r in adhoc_sql(spark, fenced, given).collect()] == list(range(49, 29, -1))
     assert adhoc_sql(spark, "WITH a AS (SELECT 1 AS x), b (y) AS (SELECT 2) SELECT * FROM a, b;").count() == 1
+    nested = "SELECT * FROM (WITH n AS (SELECT id FROM numbers), m AS (SELECT max(id) AS x FROM N) SELECT x FROM m) WHERE x > 0"
+    assert adhoc_sql(spark, nested, given).first().x == 49
     assert adhoc_sql(spark, "SELECT 'a```b' AS x, \"it's\" AS y").first().x == "a```b"
     assert adhoc_sql(spark, "SELECT * FROM numbers n JOIN NUMBERS m USING (id) WHERE id IN (SELECT id FROM numbers)", given).count() == 20
     for text in [
@@ -234,6 +236,15 @@ def test_adhoc_sql_runs_one_query_and_nothing_else(spark):
         "SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`",
         "SELECT * FROM numbers WHERE id IN (SELECT o_orderkey FROM parquet.`/root/testdata/sf0.001/orders.parquet`)",
         "WITH a AS (SELECT * FROM of_another) SELECT * FROM a",
+        "SELECT * FROM of_another WHERE ', of_another as (' <> ''",
+        "SELECT 1 /* with of_another as ( */ FROM `of_another`",
+        "SELECT * FROM of_another WHERE EXISTS (WITH of_another AS (SELECT 1) SELECT * FROM of_another)",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+        "WITH of_another AS (SELECT * FROM of_another) SELECT * FROM of_another",
+        "SELECT (SELECT max(id) FROM of_another) AS x FROM numbers",
+        "SELECT * FROM numbers, LATERAL (SELECT * FROM of_another WHERE of_another.id = numbers.id)",
+        "SELECT * FROM numbers WHERE id IN (SELECT id FROM numbers UNION SELECT id FROM of_another)",
+        "SELECT * FROM IDENTIFIER('of_' || 'another')",
     ]:
         with pytest.raises(ValueError):
             adhoc_sql(spark, text, given)
