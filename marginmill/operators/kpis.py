@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cents, money, month_key, month_start, ratio_pct, safe_ratio
-from .relational import month_range, ordered, top_k, with_keys
-from .joins import with_orders
+from ..functions.columns import cents, money, month_key, ratio_pct, safe_ratio
+from .relational import ordered, top_k, with_keys
+from .joins import in_months, with_orders
 from .totals import avg_margin_pct, cost, key_totals, margin_pct, order_totals, orders_count, profit, revenue, roll_up
 
 
@@ -46,11 +46,8 @@ def top_products(product_totals: DataFrame, k: int = 10) -> DataFrame:
 def monthly_trend(
     sales: DataFrame, orders: DataFrame, low: str, high: str, costs: DataFrame | None = None
 ) -> DataFrame:
-    """Revenue and profit per month of [low, high], given as 'yyyy-MM'. Only orders of those months are read on."""
-    kept = month_range(orders, "order_purchase_timestamp", low, high).select(
-        "order_id", month_start(F.col("order_purchase_timestamp")).alias("month_start")
-    )
-    monthly = key_totals(sales.join(kept, "order_id"), costs, ["month_start"])
+    """Revenue and profit per month of [low, high], given as 'yyyy-MM'."""
+    monthly = key_totals(in_months(sales, orders, low, high), costs, ["month_start"])
     return ordered(
         monthly.select(
             month_key(F.col("month_start")).alias("month"),

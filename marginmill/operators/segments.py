@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import SEGMENT_NAMES
 from ..functions.columns import recode, round_even
-from .joins import with_category
+from .joins import order_key, with_category
 from .relational import arg_max, filter_opt, top_k_per_group
 from .totals import avg_margin_pct, items_count, key_totals, order_totals, orders_count, product_totals, profit, revenue, roll_up
 
@@ -22,13 +22,13 @@ def segment_product_totals(
     sales: DataFrame, order_segments: DataFrame, costs: DataFrame | None = None, how: str = "inner"
 ) -> DataFrame:
     """Totals by segment and product: the only fact-sized join of this family."""
-    return product_totals(sales.join(order_segments, "order_id", how), costs, ["customer_segment"])
+    return product_totals(sales.join(order_segments, order_key(sales, order_segments), how), costs, ["customer_segment"])
 
 
 def segment_totals(
     sales: DataFrame, order_segments: DataFrame, costs: DataFrame | None = None, how: str = "inner"
 ) -> DataFrame:
-    return key_totals(sales.join(order_segments, "order_id", how), costs, ["customer_segment"])
+    return key_totals(sales.join(order_segments, order_key(sales, order_segments), how), costs, ["customer_segment"])
 
 
 def segment_profitability(totals: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def best_segment(profitability: DataFrame) -> DataFrame:
 
 def segment_order_totals(sales: DataFrame, order_segments: DataFrame, costs: DataFrame | None = None) -> DataFrame:
     """Totals by segment with distinct orders."""
-    return order_totals(sales.join(order_segments, "order_id"), costs, ["customer_segment"])
+    return order_totals(sales.join(order_segments, order_key(sales, order_segments)), costs, ["customer_segment"])
 
 
 def segment_summary(totals: DataFrame) -> DataFrame:

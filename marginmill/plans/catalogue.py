@@ -11,6 +11,7 @@ from ..operators import (
     answers,
     campaigns,
     categories,
+    distinct,
     features,
     forecast,
     joins,
@@ -61,12 +62,12 @@ REPORTS: dict[str, Callable[[Shop], DataFrame]] = {
     "q08_customer_segments": lambda s: s.segments,
     "q09_segment_counts": lambda s: features.segment_counts(s.segments),
     "q10_kpi_summary": lambda s: kpis.kpi_summary(s.whole_totals),
-    "q11_executive_kpis": lambda s: kpis.executive_kpis(s.fact, s.orders, s.fact_costs),
+    "q11_executive_kpis": lambda s: kpis.executive_kpis(s.fact, s.fact_orders, s.fact_costs),
     "q12_top_products": lambda s: kpis.top_products(s.product_totals),
     "q13_top_products_by_category": lambda s: categories.top_products_by_category(
         s.ordered_product_totals, s.products_tr
     ),
-    "q14_monthly_trend": lambda s: kpis.monthly_trend(s.fact, s.orders, *s.months, s.fact_costs),
+    "q14_monthly_trend": lambda s: kpis.monthly_trend(s.fact, s.fact_orders, *s.months, s.fact_costs),
     "q15_cost_profit_split": lambda s: kpis.cost_profit_split(s.ordered_product_totals),
     "q16_top_category_by_profit": lambda s: categories.top_category_by_profit(s.ordered_category_totals),
     "q17_margin_health": lambda s: kpis.margin_health(s.ordered_product_totals),
@@ -209,6 +210,7 @@ AGGREGATES: dict[str, Callable[[Shop], DataFrame]] = {
     "a1_total": lambda s: relational.total(s.items, "price", digits=2),
     "a2_mean": lambda s: compared(relational.mean(s.sales_with(), "profit_margin_pct")),
     "a3_n_distinct": lambda s: relational.n_distinct(s.items, "order_id"),
+    "a4_distinct_by_sketch": lambda s: distinct.reach_checked(s.sales_keys, s.reach_sketches, *s.months),
     "a4_group_distinct": lambda s: relational.group_agg(s.items, "product_id", distinct={"orders": "order_id"}),
     "a5_group_count": lambda s: relational.group_agg(s.items, "product_id", counts={"items": "price"}),
     "a6_row_count": lambda s: relational.row_count(s.items),

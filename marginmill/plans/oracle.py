@@ -348,6 +348,10 @@ QUERIES = {
     "a1_total": "SELECT {price} AS price FROM items",
     "a2_mean": "SELECT round(avg(profit_margin_pct), 6) AS profit_margin_pct FROM sales",
     "a3_n_distinct": "SELECT count(DISTINCT order_id) AS order_id FROM items",
+    "a4_distinct_by_sketch": """SELECT campaign_id, count(DISTINCT order_id) AS orders, count(DISTINCT product_id) AS products,
+      count(DISTINCT customer_id) AS customers, TRUE AS orders_close, TRUE AS products_close, TRUE AS customers_close
+      FROM camp_sales JOIN ord USING (order_id) WHERE placed >= '1996-01-01' AND placed < '2000-01-01' AND campaign_id IS NOT NULL
+      GROUP BY campaign_id""",
     "a4_group_distinct": "SELECT product_id, count(DISTINCT order_id) AS orders FROM items GROUP BY 1",
     "a5_group_count": "SELECT product_id, count(price) AS items FROM items GROUP BY 1",
     "a6_row_count": "SELECT count(*) AS rows FROM items",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import CAMPAIGN_IDS, SEGMENT_THRESHOLDS
-from ..operators import campaigns, categories, features, forecast, joins, pricing, segments, totals
+from ..operators import campaigns, categories, distinct, features, forecast, joins, pricing, segments, totals
 from ..schemas import RAW_TABLES
 from ..sources import tables
 
@@ -27,6 +27,9 @@ class Shop:
     stored_mapping: DataFrame | None = None
     stored_segments: DataFrame | None = None
     stored_sales: DataFrame | None = None
+    # Orders and mapping as they lie beside a laid-out fact (`layout.py`): a row for each part of a heavy order.
+    laid_orders: DataFrame | None = None
+    laid_mapping: DataFrame | None = None
 
     items = cached_property(lambda self: self.table("order_items"))
     orders = cached_property(lambda self: self.table("orders"))
@@ -61,6 +64,16 @@ class Shop:
             return self.stored_mapping
         return features.campaign_mapping(self.orders, self.campaign_ids)
 
+    @cached_property
+    def fact_orders(self) -> DataFrame:
+        """The orders that the fact is joined to."""
+        return self.orders if self.laid_orders is None else self.laid_orders
+
+    @cached_property
+    def fact_mapping(self) -> DataFrame:
+        """The mapping that the fact is joined to."""
+        return self.mapping if self.laid_mapping is None else self.laid_mapping
+
     @property
     def campaign_ids(self):
         """The ids a mapping draws from, in order: of a shop's own campaigns one row that a subquery reads."""
@@ -71,7 +84,7 @@ class Shop:
     @cached_property
     def sales(self) -> DataFrame:
         if self.stored_sales is not None:
-            return self.stored_sales
+            return self.stored_sales.drop(*joins.LAYOUT)
         return features.sales_features(self.items, self.costs)
 
     def sales_with(self, *columns: str) -> DataFrame:
@@ -105,12 +118,12 @@ class Shop:
 
     @cached_property
     def campaign_order_totals(self) -> DataFrame:
-        return campaigns.campaign_order_totals(self.fact, self.mapping, self.fact_costs)
+        return campaigns.campaign_order_totals(self.fact, self.fact_mapping, self.fact_costs)
 
     @cached_property
     def ordered_product_totals(self) -> DataFrame:
         """Totals per product of the items whose order exists."""
-        return totals.product_totals(joins.with_orders(self.fact, self.orders, cols=()), self.fact_costs)
+        return totals.product_totals(joins.with_orders(self.fact, self.fact_orders, cols=()), self.fact_costs)
 
     @cached_property
     def ordered_category_totals(self) -> DataFrame:
@@ -119,7 +132,7 @@ class Shop:
     @cached_property
     def customer_category_totals(self) -> DataFrame:
         """Totals per category of the items whose order and customer exist."""
-        known = self.orders.join(self.customers.select("customer_id"), "customer_id")
+        known = self.fact_orders.join(self.customers.select("customer_id"), "customer_id")
         by_product = totals.product_totals(joins.with_orders(self.fact, known, cols=()), self.fact_costs)
         return categories.category_totals(by_product, self.products_tr)
 
@@ -133,11 +146,11 @@ class Shop:
 
     @cached_property
     def campaign_product_totals(self) -> DataFrame:
-        return campaigns.campaign_product_totals(self.fact, self.mapping, self.fact_costs)
+        return campaigns.campaign_product_totals(self.fact, self.fact_mapping, self.fact_costs)
 
     @cached_property
     def campaign_totals(self) -> DataFrame:
-        return campaigns.campaign_totals(self.fact, self.mapping, self.fact_costs)
+        return campaigns.campaign_totals(self.fact, self.fact_mapping, self.fact_costs)
 
     @cached_property
     def campaign_roi(self) -> DataFrame:
@@ -152,7 +165,7 @@ class Shop:
         return pricing.discount_performance(self.discount_totals)
 
     def order_segments(self, how: str = "inner", plain_names: bool = False) -> DataFrame:
-        return joins.order_segments(self.orders, self.segments, how, plain_names)
+        return joins.order_segments(self.fact_orders, self.segments, how, plain_names)
 
     def segment_totals(self, how: str = "inner", plain_names: bool = False) -> DataFrame:
         return segments.segment_totals(self.fact, self.order_segments(how, plain_names), self.fact_costs, how)
@@ -173,15 +186,24 @@ class Shop:
     def forecast_base(self) -> DataFrame:
         return forecast.base_stats(self.category_segment_totals)
 
+    @cached_property
+    def sales_keys(self) -> DataFrame:
+        return distinct.sales_keys(self.fact, self.fact_orders, self.fact_mapping)
+
+    @cached_property
+    def reach_sketches(self) -> DataFrame:
+        """Sketches of the distinct orders, products and customers of each month and campaign."""
+        return distinct.sketches(self.sales_keys, distinct.KEYS, distinct.COUNTED)
+
     @cached_property
     def wide(self) -> DataFrame:
         return joins.sales_wide(
             self.fact,
             self.fact_costs,
-            self.orders,
+            self.fact_orders,
             self.segments,
             self.products_tr,
-            self.mapping,
+            self.fact_mapping,
             self.campaigns,
         )
 
@@ -236,8 +258,11 @@ def with_stored_features(spark: SparkSession, shop: Shop, directory: str, fmt: s
     )
 
 
-# The totals that most reports start from, as small as products, categories and campaigns.
-REMEMBERED = ["product_totals", "ordered_product_totals", "customer_category_totals", "category_segment_totals", "campaign_totals"]
+# The totals that most reports start from, as small as products, categories, campaigns and months.
+REMEMBERED = [
+    "product_totals", "ordered_product_totals", "customer_category_totals", "category_segment_totals", "campaign_totals",
+    "reach_sketches",
+]
 
 
 def with_remembered_totals(spark: SparkSession, shop: Shop, directory: str) -> Shop:

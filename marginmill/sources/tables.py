@@ -120,11 +120,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", keep: int = 2, l
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(f"{path}/{version}")
-    _point_to(spark, path, version)
+    point_to(spark, path, version)
     _drop_versions(spark, path, {version, before.rsplit("/", 1)[-1]}, keep)
 
 
-def _point_to(spark: SparkSession, path: str, version: str) -> None:
+def point_to(spark: SparkSession, path: str, version: str) -> None:
+    """Make `version` the one that `current_version` finds, by one rename."""
     folder, files = _path(spark, path)
     draft, pointer = (_path(spark, f"{path}/{name}")[0] for name in (f"{POINTER}.{version}", POINTER))
     stream = files.create(draft, True)
