@@ -1,7 +1,7 @@
 """Language identification of whole, possibly mixed-language texts.
 
-A word is a run of letters. The scripts of its characters narrow the candidate languages; each candidate scores it by
-the log probabilities of its byte trigrams; a Viterbi pass over the words of a text, with a penalty for each switch,
+A word is a run of letters of one script, so the script of its characters, told by ranges of code points, narrows the candidate
+languages; each candidate scores it by the log probabilities of its byte trigrams; a Viterbi pass over the words of a text, with a penalty for each switch,
 labels every word, and so the spans of each language. The language of most letters is that of the text.
 
 The model is counts of hashed trigrams for each language: `languages` x 32,768 numbers, whatever the size of the
@@ -9,7 +9,9 @@ corpus, and counted over all labelled rows. It is the one thing that reaches the
 """
 
 import math
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +29,94 @@ UNDETERMINED = "und"
 #: The score of a trigram where all are equally likely. Texts that fit their labels no better fit no learned language.
 LEAST_FIT = -math.log(BUCKETS)
 
-#: Scripts by the first byte of a character in UTF-8: (first, last, script). Fixed values of the encoding.
-SCRIPTS = [
-    (0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD6, 4), (0xD7, 0xD7, 5),
-    (0xD8, 0xDF, 6), (0xE0, 0xE0, 7), (0xE1, 0xE2, 8), (0xE3, 0xE3, 9), (0xE4, 0xE9, 10), (0xEA, 0xED, 11), (0xEE, 0xEF, 12), (0xF0, 0xF4, 13),
-]
-N_SCRIPTS = 14
-
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_SCRIPT = np.zeros(256, np.uint16)
-for _first, _last, _script in SCRIPTS:
-    _SCRIPT[_first : _last + 1] = _script
+#: Ranges of code points (first, last) of the scripts. Fixed values of Unicode. What is no letter in a range is in no script.
+SCRIPTS = {
+    "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0x2AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)],
+    "Greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "Cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "Armenian": [(0x530, 0x58F), (0xFB13, 0xFB17)],
+    "Hebrew": [(0x590, 0x5FF), (0xFB1D, 0xFB4F)],
+    "Arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE)],
+    "Syriac": [(0x700, 0x74F), (0x860, 0x86F)],
+    "Thaana": [(0x780, 0x7BF)],
+    "Devanagari": [(0x900, 0x97F), (0xA8E0, 0xA8FF)],
+    "Bengali": [(0x980, 0x9FF)],
+    "Gurmukhi": [(0xA00, 0xA7F)],
+    "Gujarati": [(0xA80, 0xAFF)],
+    "Oriya": [(0xB00, 0xB7F)],
+    "Tamil": [(0xB80, 0xBFF)],
+    "Telugu": [(0xC00, 0xC7F)],
+    "Kannada": [(0xC80, 0xCFF)],
+    "Malayalam": [(0xD00, 0xD7F)],
+    "Sinhala": [(0xD80, 0xDFF)],
+    "Thai": [(0xE00, 0xE7F)],
+    "Lao": [(0xE80, 0xEFF)],
+    "Tibetan": [(0xF00, 0xFFF)],
+    "Myanmar": [(0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)],
+    "Georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    "Hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xFFA0, 0xFFDC)],
+    "Ethiopic": [(0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)],
+    "Khmer": [(0x1780, 0x17FF)],
+    "Mongolian": [(0x1800, 0x18AF)],
+    "Kana": [(0x3031, 0x3035), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)],
+    "Bopomofo": [(0x3100, 0x312F), (0x31A0, 0x31BF)],
+    "Han": [(0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
+}
+#: No script, the scripts in order, letters of any other script.
+N_SCRIPTS = len(SCRIPTS) + 2
+#: Marks have the script of the character before.
+MARK = 255
+#: No letter has a code point of this or above.
+END_OF_LETTERS = 0x32400
+
+
+@lru_cache
+def script_table() -> np.ndarray:
+    """The script of every code point below END_OF_LETTERS, 0 for what is no letter and MARK for marks."""
+    kinds = np.array([ord(unicodedata.category(chr(c))[0]) for c in range(END_OF_LETTERS)], np.uint8)
+    scripts = np.full(END_OF_LETTERS, N_SCRIPTS - 1, np.uint8)
+    for number, ranges in enumerate(SCRIPTS.values(), 1):
+        for first, last in ranges:
+            scripts[first : last + 1] = number
+    scripts[kinds != ord("L")] = 0
+    scripts[kinds == ord("M")] = MARK
+    return scripts
+
+
+def scripts_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The script of each character of some texts in UTF-8, and its number of bytes."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    sizes = np.diff(np.append(lead, len(data)))
+    code = data[lead].astype(np.int32)
+    for size, bits in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
+        at = np.flatnonzero(sizes == size)
+        value = code[at] & bits
+        for step in range(1, size):
+            value = value << 6 | data[lead[at] + step] & 0x3F
+        code[at] = value
+    scripts = np.where(code < END_OF_LETTERS, script_table()[np.minimum(code, END_OF_LETTERS - 1)], 0)
+    first = np.searchsorted(lead, offsets[:-1][np.diff(offsets) > 0])
+    scripts[first[scripts[first] == MARK]] = 0
+    marks = np.flatnonzero(scripts == MARK)
+    if len(marks):
+        base = np.arange(len(scripts))
+        base[marks] = 0
+        scripts = scripts[np.maximum.accumulate(base)]
+    return scripts, sizes
 
 
 class _Words:
-    """Words of some rows: trigram buckets and scripts of their bytes."""
+    """Words of some rows: trigram buckets of their bytes, and the script of each word."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        inside = _LETTER[data]
         n = len(data)
+        by_character, sizes = scripts_of(data, offsets)
+        script = np.repeat(by_character, sizes)
+        inside = script > 0
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         joined = np.zeros(n, bool)  # a byte that goes on with the word of the byte before
-        joined[1:] = inside[1:] & inside[:-1] & ~edge[1:n]
+        joined[1:] = inside[1:] & (script[1:] == script[:-1]) & ~edge[1:n]
         goes_on = np.zeros(n, bool)
         goes_on[:-1] = joined[1:]
         at = np.flatnonzero(inside)
@@ -60,7 +126,7 @@ class _Words:
         self.buckets = ((before << 16 | own << 8 | after) * np.uint32(2654435761)) >> np.uint32(17)
         first = np.flatnonzero(~joined[at])
         self.first = first
-        self.scripts = _SCRIPT[data[at]]
+        self.scripts = script[at[first]]
         #: Words of row r: bounds[r] to bounds[r + 1].
         self.bounds = np.searchsorted(at[first], offsets)
         self.letter_rows = np.searchsorted(offsets, at, "right") - 1
@@ -83,10 +149,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = _Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
             own = langs[low:high]
             for lang in set(own):
-                mine = (own == lang)[found.letter_rows]
+                of_lang = own == lang
+                mine = of_lang[found.letter_rows]
+                words = np.repeat(of_lang, np.diff(found.bounds))
                 total = totals.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS, np.int64))
                 total[:BUCKETS] += np.bincount(found.buckets[mine], minlength=BUCKETS)
-                total[BUCKETS:] += np.bincount(found.scripts[mine], minlength=N_SCRIPTS)
+                total[BUCKETS:] += np.bincount(found.scripts[words], found.letters[words], N_SCRIPTS).astype(np.int64)
     for lang, total in totals.items():
         places = np.flatnonzero(total)
         columns = [pa.array([lang] * len(places), pa.string()), pa.array(places.astype(np.int32)), pa.array(total[places])]
@@ -151,10 +219,6 @@ def _best_path(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.nda
     return labels
 
 
-def _has_letter(data: np.ndarray) -> bool:
-    return any(c.isalpha() for c in data.tobytes().decode("utf-8", "ignore"))
-
-
 def _predict(texts: pa.Array, model: LanguageModel, penalty: float) -> pa.Array:
     data, offsets = _lowered(texts)
     n, wide = len(texts), len(model.languages)
@@ -167,8 +231,7 @@ def _predict(texts: pa.Array, model: LanguageModel, penalty: float) -> pa.Array:
         if not wide or not len(found.first):
             continue
         scores = np.add.reduceat(model.scores[found.buckets], found.first, axis=0)
-        allowed = np.logical_or.reduceat(model.of_script[found.scripts], found.first, axis=0)
-        scores[~allowed] -= np.float32(1e3)
+        scores[~model.of_script[found.scripts]] -= np.float32(1e3)
         labels = _best_path(scores, found.bounds, penalty)
         rows = np.repeat(np.arange(high - low), np.diff(found.bounds))
         np.add.at(letters, (low + rows, labels), found.letters)
@@ -180,12 +243,6 @@ def _predict(texts: pa.Array, model: LanguageModel, penalty: float) -> pa.Array:
         span_first.append(begins - found.bounds[rows[begins]])
         span_words.append(np.diff(np.concatenate((begins, [len(labels)]))))
     total = letters.sum(axis=1)
-    plain = np.zeros(256, bool)
-    plain[[*range(0x61, 0x7B)]] = True
-    sure = np.add.reduceat(np.concatenate((plain[data], [False])), offsets[:-1]) * (np.diff(offsets) > 0) if n else total
-    for row in np.flatnonzero((total > 0) & (sure == 0)):
-        if not _has_letter(data[offsets[row] : offsets[row + 1]]):
-            total[row] = 0
     best = letters.argmax(axis=1)
     score = np.where(total > 0, letters[np.arange(n), best] / np.maximum(total, 1), 0.0)
     names = np.array([*model.languages, UNDETERMINED], object)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -191,6 +192,124 @@ def test_languages(docs):
     assert {r.lang_pred for r in languages.identify_languages(docs([(1, "some text", None)])).collect()} == {"und"}
 
 
+def _words(texts):
+    data, offsets = languages._lowered(pa.array(texts))
+    found = languages._Words(data, offsets)
+    return found, ["none", *languages.SCRIPTS, "other"]
+
+
+def test_scripts_are_those_of_code_points():
+    text = "«Übung» déjà“ слово我们。かな漢 कहाँ १२ e\u0301x \u0301y ไทย한국 ⲁⲃ 😀x×÷2ª"
+    found, names = _words([text, "", "\u0301 —…。", "ab", "我"])
+    # A word is a run of letters of one script; a mark goes with the letter before it, and digits, marks and symbols cut.
+    scripts = [names[s] for s in found.scripts]
+    assert scripts == ["Latin", "Latin", "Cyrillic", "Han", "Kana", "Han", "Devanagari", "Latin", "Latin", "Thai", "Hangul", "other", "Latin", "Latin", "Latin", "Han"]
+    assert list(found.letters) == [5, 4, 5, 2, 2, 1, 4, 3, 1, 3, 2, 2, 1, 1, 2, 1]
+    assert list(found.bounds) == [0, 14, 14, 14, 15, 16]
+    # The rule in plain Python.
+    rng = random.Random(8)
+    alphabet = "aé ж我か、。“ก\u0301ा1-\n😀ª𠀀"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(30))) for _ in range(300)]
+    table = languages.script_table()
+    want = []
+    for t in texts:
+        before = 0
+        for c in t:
+            script = table[ord(c)] if ord(c) < languages.END_OF_LETTERS else 0
+            script = before if script == languages.MARK else script
+            if script and script != before:
+                want.append([script, 0])
+            if script:
+                want[-1][1] += 1
+            before = script
+    found, _ = _words(texts)
+    assert [list(x) for x in zip(found.scripts, found.letters)] == want
+
+
+def test_scripts_narrow_the_languages(docs):
+    """Letters of another script are no evidence for a language that does not use it, whatever stands around them."""
+    rows = [(i, t, lang) for i in range(30) for lang, t in [("de", "über das schöne Haus “gehen” wir"), ("ru", "мы идём домой — вот"), ("zh", "我们回家。今天很好")]]
+    rows = [(n, t, lang) for n, (_, t, lang) in enumerate(rows)]
+    model = languages.learn_languages(docs(rows))
+    own = lambda script: {l for l, x in zip(model.languages, model.of_script[1 + list(languages.SCRIPTS).index(script)]) if x}  # noqa: E731, E741
+    assert (own("Latin"), own("Cyrillic"), own("Han")) == ({"de"}, {"ru"}, {"zh"}) and own("Thai") == {"de", "ru", "zh"}
+    mixed = "wir gehen. мы идём домой 我们回家。今天 das Haus"
+    spans = docs([(1, mixed, None)]).select(languages.language_of(model, 0.0)("text").alias("f")).first().f.spans
+    assert [(s.lang, s.n_words) for s in spans] == [("de", 2), ("ru", 3), ("zh", 2), ("de", 2)]
+    # Letters of a script that no learned language has still get a learned one.
+    assert docs([(1, "ไทย", None)]).select(languages.language_of(model)("text").alias("f")).first().f.lang_pred in model.languages
+
+
+def _plain_languages(rows):
+    """The method word by word: doc_id to language and score."""
+    table, size, n_scripts = languages.script_table(), languages.BUCKETS, languages.N_SCRIPTS
+
+    def words_of(text):
+        found, before = [], 0
+        for c in text.lower():
+            script = table[ord(c)]
+            script = before if script == languages.MARK else script
+            if script and script != before:
+                found.append(["", script])
+            if script:
+                found[-1][0] += c
+            before = script
+        return found
+
+    def buckets_of(word):
+        b = [0, *word.encode(), 0]
+        return [((b[i - 1] << 16 | b[i] << 8 | b[i + 1]) * 2654435761 % 2**32) >> 17 for i in range(1, len(b) - 1)]
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    learned = [(t, lang) for i, t, lang in rows if t is not None and lang is not None and not held(i)]
+    known = sorted({lang for _, lang in learned})
+    trigrams = {lang: collections.Counter() for lang in known}
+    scripts = {lang: collections.Counter() for lang in known}
+    for text, lang in learned:
+        for word, script in words_of(text):
+            trigrams[lang].update(buckets_of(word))
+            scripts[lang][script] += len(word)
+    weight = {lang: sum(trigrams[lang].values()) + 0.5 * size for lang in known}
+    candidates = {x: [lang for lang in known if scripts[lang][x] >= 0.01 * sum(scripts[lang].values())] or known for x in range(n_scripts)}
+    out = {}
+    for i, text, _ in rows:
+        paths = {lang: (0.0, []) for lang in known}
+        words = words_of(text or "")
+        for n, (word, script) in enumerate(words):
+            best = max(known, key=lambda k: paths[k][0])
+            after = {}
+            for lang in known:
+                worth, path = paths[lang]
+                if n and paths[best][0] - languages.SWITCH_PENALTY > worth:
+                    worth, path = paths[best][0] - languages.SWITCH_PENALTY, paths[best][1]
+                own = sum(math.log((trigrams[lang][b] + 0.5) / weight[lang]) for b in buckets_of(word))
+                after[lang] = (worth + own - (0 if lang in candidates[script] else 1e3), [*path, lang])
+            paths = after
+        path = max(paths.values(), key=lambda x: x[0])[1] if words else []
+        letters = collections.Counter()
+        for lang, (word, _) in zip(path, words):
+            letters[lang] += len(word)
+        label = min(letters, key=lambda k: (-letters[k], k)) if words else "und"
+        out[i] = (held(i), label, letters[label] / max(sum(letters.values()), 1))
+    return out
+
+
+def test_languages_equal_the_plain_method(docs):
+    rng = random.Random(12)
+    syllables = {"aa": ["ka", "to", "mi", "é"], "bb": ["bre", "sul", "wen", "to"], "cc": ["жо", "ки", "ме"], "dd": ["ме", "го", "ка"], "ee": ["我", "们", "今"]}
+
+    def make(lang, n):
+        return "".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) + rng.choice([" ", ", ", "。", "\n", "7"]) for _ in range(n))
+
+    rows = [(i, make(lang, rng.randrange(1, 40)), lang if rng.random() < 0.9 else None) for i in range(120) for lang in [rng.choice(list(syllables))]]
+    rows += [(200 + i, "".join(make(rng.choice(list(syllables)), rng.randrange(1, 15)) for _ in range(4)), rng.choice([None, "aa", "dd"])) for i in range(60)]
+    rows += [(300, None, "aa"), (301, "", "bb"), (302, "12 — 34", "cc"), (303, "ไทย", None), (304, "e\u0301", None)]
+    want = _plain_languages(rows)
+    for r in languages.identify_languages(docs(rows)).collect():
+        held, label, score = want[r.doc_id]
+        assert (r.held_out, r.lang_pred) == (held, label) and r.score == pytest.approx(score), (r, label, score)
+
+
 def test_best_path_is_viterbi():
     rng = np.random.default_rng(3)
     lengths = [3, 0, 5, 1]
