@@ -175,10 +175,21 @@ def _search(texts: pa.Array, blocks, vocabulary: np.ndarray, shortest: int) -> p
 def contamination_of(benchmark: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS):
     """A column function of a text column that finds the phrases of the benchmark's items in it: struct of n_words,
     n_hit (words in occurrences), n_items, items_sha256, items (ids as strings, sorted), spans (first byte and end of
-    each merged run of hit words, in UTF-8) and cleaned (the text without the spans, null where there are none).
+    each merged run of hit words, in UTF-8) and cleaned (the text without the spans; a text without any as it is).
 
     Null has no words; items without an id, a text or a word are not searched; items may repeat.
     """
+    search = _search_of(benchmark, window, block_items)
+
+    def found_in(text):
+        found, text = search(text), F.col(text) if isinstance(text, str) else text
+        return found.withField("cleaned", F.coalesce(found["cleaned"], text))
+
+    return found_in
+
+
+def _search_of(benchmark: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS):
+    """contamination_of, but `cleaned` is null where a text has no spans: tasks copy only the texts they change."""
     context = benchmark.sparkSession.sparkContext
     blocks, vocabulary, shortest = [], np.zeros(0, np.uint64), window
     for phrases in _blocks(benchmark, window, block_items):
@@ -203,7 +214,7 @@ def contamination_of(benchmark: DataFrame, window: int = WINDOW, block_items: in
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row, repeated ids included."""
-    found = docs.select("doc_id", contamination_of(benchmark)("text").alias("found"))
+    found = docs.select("doc_id", _search_of(benchmark)("text").alias("found"))
     wanted = [F.col(f"found.{c}") for c in ("n_words", "n_hit", "n_items", "items_sha256")]
     return found.select("doc_id", *wanted, (F.col("found.n_hit") > 0).alias("contaminated"))
 
@@ -214,7 +225,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     name = "_contamination"
     while name in docs.columns:
         name += "_"
-    found = docs.withColumn(name, contamination_of(benchmark)("text"))
+    found = docs.withColumn(name, _search_of(benchmark)("text"))
     found = found.filter((F.col(f"{name}.n_hit") == 0) | (F.col(f"{name}.n_hit") < F.col(f"{name}.n_words")))
     hit = F.col(f"{name}.n_hit") > 0
     changed = {"text": F.when(hit, F.col(f"{name}.cleaned")).otherwise(F.col("text"))}
