@@ -225,7 +225,8 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     name = "_contamination"
     while name in docs.columns:
         name += "_"
-    found = docs.withColumn(name, _search_of(benchmark)("text"))
+    # Not deterministic to the planner, or the filter would search each text anew, in a second worker beside the first.
+    found = docs.withColumn(name, _search_of(benchmark).asNondeterministic()("text"))
     found = found.filter((F.col(f"{name}.n_hit") == 0) | (F.col(f"{name}.n_hit") < F.col(f"{name}.n_words")))
     hit = F.col(f"{name}.n_hit") > 0
     changed = {"text": F.when(hit, F.col(f"{name}.cleaned")).otherwise(F.col("text"))}

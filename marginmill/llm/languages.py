@@ -19,9 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import in_slices, row_blocks, text_bytes
+from .words import give_back, in_slices, keep, row_blocks, text_bytes
 
 BUCKETS = 1 << 15
+#: Bytes whose trigrams are worked out at once: many numbers for each byte, while several workers share an executor's memory.
+SCORED_BYTES = 1 << 18
 SWITCH_PENALTY = 10.0
 #: A language is a candidate for a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
@@ -142,10 +144,11 @@ def _lowered(texts: pa.Array):
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, place, amount: trigram buckets, and after them scripts."""
     totals: dict[str, np.ndarray] = {}
+    keep("", lambda: None)
     for batch in batches:
         langs = np.asarray(batch.column(0).to_pylist(), object)
         data, offsets = _lowered(batch.column(1))
-        for low, high in row_blocks(offsets):
+        for low, high in row_blocks(offsets, SCORED_BYTES):
             found = _Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
             own = langs[low:high]
             for lang in set(own):
@@ -155,6 +158,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = totals.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS, np.int64))
                 total[:BUCKETS] += np.bincount(found.buckets[mine], minlength=BUCKETS)
                 total[BUCKETS:] += np.bincount(found.scripts[words], found.letters[words], N_SCRIPTS).astype(np.int64)
+        give_back()
     for lang, total in totals.items():
         places = np.flatnonzero(total)
         columns = [pa.array([lang] * len(places), pa.string()), pa.array(places.astype(np.int32)), pa.array(total[places])]
@@ -219,6 +223,25 @@ def _best_path(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.nda
     return labels
 
 
+def _scored(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, ...]:
+    """For the words of some rows: their score in each language and their letters; for the rows: the bounds of their words and
+    their number of trigrams."""
+    scores, letters, counts, trigrams = [], [], [], []
+    for low, high in row_blocks(offsets, SCORED_BYTES):
+        found = _Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        counts.append(np.diff(found.bounds))
+        trigrams.append(np.bincount(found.letter_rows, minlength=high - low))
+        if len(found.first):
+            own = np.add.reduceat(model.scores[found.buckets], found.first, axis=0)
+            own[~model.of_script[found.scripts]] -= np.float32(1e3)
+            scores.append(own)
+            letters.append(found.letters)
+    scores = np.concatenate([np.zeros((0, len(model.languages)), np.float32), *scores])
+    letters = np.concatenate([np.zeros(0, np.int64), *letters])
+    bounds = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int64)
+    return scores, letters, bounds, np.concatenate(trigrams)
+
+
 def _predict(texts: pa.Array, model: LanguageModel, penalty: float) -> pa.Array:
     data, offsets = _lowered(texts)
     n, wide = len(texts), len(model.languages)
@@ -226,21 +249,19 @@ def _predict(texts: pa.Array, model: LanguageModel, penalty: float) -> pa.Array:
     fit, trigrams = np.zeros(n), np.zeros(n, np.int64)
     span_row, span_label, span_first, span_words = [], [], [], []
     for low, high in row_blocks(offsets, max(1 << 16, (1 << 23) // max(wide, 1))):
-        block, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-        found = _Words(block, at)
-        if not wide or not len(found.first):
+        if not wide:
+            continue
+        scores, lengths, word_bounds, trigrams[low:high] = _scored(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], model)
+        if not len(scores):
             continue
-        scores = np.add.reduceat(model.scores[found.buckets], found.first, axis=0)
-        scores[~model.of_script[found.scripts]] -= np.float32(1e3)
-        labels = _best_path(scores, found.bounds, penalty)
-        rows = np.repeat(np.arange(high - low), np.diff(found.bounds))
-        np.add.at(letters, (low + rows, labels), found.letters)
+        labels = _best_path(scores, word_bounds, penalty)
+        rows = np.repeat(np.arange(high - low), np.diff(word_bounds))
+        np.add.at(letters, (low + rows, labels), lengths)
         np.add.at(fit, low + rows, scores[np.arange(len(labels)), labels])
-        trigrams[low:high] += np.bincount(found.letter_rows, minlength=high - low)
         begins = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (rows[1:] != rows[:-1]))))
         span_row.append(low + rows[begins])
         span_label.append(labels[begins])
-        span_first.append(begins - found.bounds[rows[begins]])
+        span_first.append(begins - word_bounds[rows[begins]])
         span_words.append(np.diff(np.concatenate((begins, [len(labels)]))))
     total = letters.sum(axis=1)
     best = letters.argmax(axis=1)

@@ -92,7 +92,7 @@ def keep(name: str, drop) -> None:
     _kept[name] = drop
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed pages to the system: several workers share an executor's memory."""
     pa.default_memory_pool().release_unused()
     if _trim is not None:
@@ -117,7 +117,7 @@ def in_slices(of, texts: pa.Array, most: int = SLICE_BYTES, name: str = "") -> p
     offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
     parts = [of(texts.slice(low, high - low)) for low, high in row_blocks(offsets, most)]
     out = pa.concat_arrays(parts) if parts else of(texts)
-    _give_back()
+    give_back()
     return out
 
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -172,6 +173,29 @@ def test_decontamination_stage(spark, docs):
     assert decontamination.find_contamination(docs(rows), empty).filter("contaminated").count() == 0
 
 
+def test_decontamination_stage_searches_once(spark, docs):
+    """A second search would hold a second worker for each task."""
+    benchmark = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    out = decontamination.without_contamination(docs(EDGE), benchmark)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_a_worker_holds_little_besides_its_texts():
+    model = languages.LanguageModel(["xx", "yy"], np.ones((2, languages.BUCKETS + languages.N_SCRIPTS), np.int64))
+    texts = pa.array([prose(random.Random(i), 600) for i in range(1700)])
+    tracemalloc.start()
+    try:
+        languages._predict(texts.slice(0, 10), model, languages.SWITCH_PENALTY)
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        out = words.in_slices(lambda t: languages._predict(t, model, languages.SWITCH_PENALTY), texts)
+        peak = tracemalloc.get_traced_memory()[1] - held
+    finally:
+        tracemalloc.stop()
+    assert len(out) == len(texts) and texts.nbytes > 3_000_000
+    assert peak < 80e6, peak
+
+
 def test_languages(docs):
     rng = random.Random(4)
     syllables = {"xx": ["ka", "to", "mi"], "yy": ["bre", "sul", "wen"], "zz": ["жо", "ки", "ме"]}
