@@ -29,6 +29,8 @@ ARC_FIELDS = {
 }
 WARC_END = "\r\n\r\n"
 BATCH = 64
+#: How hard gzip tries (a name that Hadoop knows): a third of the time of its own choice, six, for archives some 4 % larger.
+GZIP_LEVEL = "FOUR"
 RECORD = (
     "record_id string, page_id long, uri string, ip string, date string, mime string, http string, payload binary, "
     "payload_bytes long, payload_digest string"
@@ -57,6 +59,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from batch.slice(at, BATCH).to_pylist()
 
 
+def _write_archives(records: DataFrame, path: str, end: str) -> None:
+    """A gzip file for each partition, with `end` after each record."""
+    options = {"lineSep": end, "compression": "gzip", "zlib.compress.level": GZIP_LEVEL}
+    records.write.options(**options).text(path)
+
+
 def _field(text: str | None) -> str:
     """A header field: without the white space that ends it."""
     return "".join(f"%{ord(c):02X}" if c.isspace() else c for c in text) if text else "-"
@@ -94,7 +102,7 @@ def write_arc(pages: DataFrame, version: int = 1, ip: str = "192.0.2.1", date: s
 
     path = new_path(pages.sparkSession, "arc")
     columns = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    columns.mapInArrow(records, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    _write_archives(columns.mapInArrow(records, "value string"), path, "\n")
     return path
 
 
@@ -235,8 +243,7 @@ def write_warc(records: DataFrame, least_bytes: int = 0) -> str:
         return _batches(rows(), pa.schema([("value", pa.string())]))
 
     path = new_path(records.sparkSession, "warc")
-    written = linked.mapInArrow(texts, "value string").write
-    written.option("lineSep", WARC_END).option("compression", "gzip").text(path)
+    _write_archives(linked.mapInArrow(texts, "value string"), path, WARC_END)
     return path
 
 

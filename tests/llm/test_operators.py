@@ -8,6 +8,7 @@ import re
 import time
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -470,6 +471,19 @@ def test_archives_round_trip(spark):
     assert archives.page_records(pages.limit(0)).count() == 0
 
 
+def test_archives_are_compressed_at_the_level_named(spark):
+    """Their sizes lie between those of the quickest level and of gzip's own, which takes three times as long."""
+    rng = random.Random(8)
+    rows = [(i, f"u{i}", prose(rng, 400, 3000)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    arc = archives.write_arc(pages)
+    for folder in (arc, archives.write_warc(archives.converted(spark, arc).coalesce(1))):
+        files = [f.read_bytes() for f in Path(folder.removeprefix("file:")).glob("part-*.gz")]
+        [content] = [f for f in files if len(f) > 10_000]
+        plain = zlib.decompress(content, 31)
+        assert len(zlib.compress(plain, 6)) * 1.005 < len(content) < len(zlib.compress(plain, 1))
+
+
 def test_payloads_that_are_no_text(spark):
     record = {"original": None, "uri": "u", "date": "d", "record_id": "1", "ip": "-", "payload": b"\xff\x00", "payload_digest": archives.digest(b"\xff\x00"), "http": "HTTP/1.1 200 OK\r\nX-Page-Id: 3"}
     [(headers, block)] = archives.read_warc(archives.warc_record(record).encode())
