@@ -400,6 +400,30 @@ def test_token_ids_equal_the_tokenizer():
         assert [x.tolist() for x in got] == [w.ids + [2] for t, w in zip(texts, want) if t in chosen]
 
 
+def test_token_ids_of_stretches_encoded_together():
+    """Few texts for many new words of letters, and the tokenizer's own ids for whatever else stands among them."""
+    encoder, given = tokens.WordEncoder(PATH), []
+
+    class Counted:
+        def __getattr__(self, name):
+            def call(texts, **options):
+                given.extend(texts)
+                return getattr(tokenizer, name)(texts, **options)
+
+            return call
+
+    tokenizer, encoder.tokenizer = encoder.tokenizer, Counted()
+    rng = random.Random(4)
+    new = ["".join(rng.choices("abcdeéßñŁж", k=rng.randint(4, 12))) + rng.choice(["", "", ".", "!?", "'s", ","]) for _ in range(20_000)]
+    odd = "İstanbul. İ, ΣΑΣ ǅ e\u0301. \u0301a a\u0338= é\u0308! ×. ÷, x÷. ŉ's é's é'll 가각 \u1100\u1161\u11a8 ª. Ⅷ ２ don'tx ﬁ. ſ's Å. \U0001f600 ZÉ<|".split()
+    texts = [" ".join(new[i : i + 50]) for i in range(0, len(new), 50)]
+    texts += [" ".join(rng.choices(odd[:-1] + new[:40], k=30)) for _ in range(40)] + ["".join(rng.choices(odd[:-1], k=5)) for _ in range(200)]
+    for chosen in (texts, [*texts[-100:], *odd, None, ""]):
+        want = tokenizer.encode_batch([t or "" for t in chosen], add_special_tokens=False)
+        assert [x.tolist() for x in encoder.rows(pa.array(chosen), None)] == [w.ids for w in want]
+    assert len(set(new)) > 15_000 and len(given) < 2_000
+
+
 def test_packing(spark, docs):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.choice([1, 5, 30, 200, 900])), None) for i in range(60)] + EDGE
